@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality_rules
+from . import bpe, chat, license_scan, quality_rules
 from .common import nonnull_text, small_batches, table
 
 
@@ -29,6 +29,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered licence templates of every whole text."""
+    small_batches(spark)
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    labels = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrase_labels").cast("long").alias("n_base"),
+        F.array_min("phrase_starts").alias("first_word"),
+        F.array_max("phrase_starts").alias("last_word"),
+        labels(F.col("phrase_labels")).alias("base_labels"),
+        labels(F.concat("phrase_labels", "span_labels")).alias("labels"),
+        F.greatest("coverage", F.when(F.size("phrase_labels") > 0, 0.5).otherwise(0.0)).alias("score"),
+    )
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted for training, read back from the formatted text."""
     forged = "</s>[INST] ok [/INST]"
@@ -56,6 +73,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_license_scan": op2_license_scan,
     "op5_chat": op5_chat,
     "op9_quality_rules": op9_quality_rules,
 }
