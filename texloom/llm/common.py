@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,3 +33,26 @@ def saved(df: DataFrame) -> DataFrame:
 def nonnull_text(column: str = "text"):
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def with_python(df: DataFrame, column: str, fields: list[tuple[str, str]], prepare) -> DataFrame:
+    """``df`` and ``fields`` (name, SQL type) made from one text column, in Arrow batches.
+
+    ``prepare()`` runs once for each task and gives the function from a text (null: empty) to a tuple of values. Columns
+    of ``df`` that are named like a field are replaced, all others pass through.
+    """
+    names = {name.lower() for name, _ in fields}
+    keep = [f for f in df.schema.fields if f.name.lower() not in names]
+    made = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields))
+    source = df.select(*[F.col(f"`{f.name}`") for f in keep], nonnull_text(f"`{column}`").alias("__text"))
+    kinds = list(to_arrow_schema(made))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = prepare()
+        for batch in batches:
+            rows = [one(value.as_py()) for value in batch.column(batch.num_columns - 1)]
+            columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+            arrays = [pa.array(list(c), k.type) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*(f.name for f in keep), *(k.name for k in kinds)])
+
+    return source.mapInArrow(run, StructType([*keep, *made.fields]))

@@ -213,7 +213,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
             for value in batch.column(batch.num_columns - 1):
                 words = words_of(value.as_py())
                 phrases, matches, whole = automaton.scan(words)
-                spans = sorted({*automaton.spans(matches), *whole}, key=lambda s: s[1:3] + s[:1]) if matches else []
+                spans = sorted({*automaton.spans(matches), *whole}, key=lambda s: s[1:3] + s[:1]) if matches or whole else []
                 phrases.sort(key=lambda p: (p[1], p[0]))
                 best = max((min(1.0, s[3] / len(automaton.templates[s[0]][1])) for s in spans), default=0.0)
                 rows.append((len(words), [automaton.phrases[p][0] for p, _ in phrases], [at for _, at in phrases], [automaton.templates[s[0]][0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], best))
