@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, license_scan, pii, quality_rules
+from . import bpe, chat, license_scan, pii, quality_model, quality_rules
 from .common import nonnull_text, small_batches, table
 
 
@@ -65,6 +65,14 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text; labels only of rows that are not held out."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_model.scored(docs, model).select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every whole text and the verdict of the adaptive rules."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -90,6 +98,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_license_scan": op2_license_scan,
     "op5_chat": op5_chat,
+    "op7_quality_model": op7_quality_model,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
 }
