@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, license_scan, pii, quality_model, quality_rules
+from . import bpe, chat, license_scan, packing, pii, quality_model, quality_rules
 from .common import nonnull_text, small_batches, table
 
 
@@ -46,6 +46,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed to sequences of 4096 tokens."""
+    small_batches(spark)
+    return packing.sequences(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json")).select(
+        "doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted for training, read back from the formatted text."""
     forged = "</s>[INST] ok [/INST]"
@@ -97,6 +105,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_license_scan": op2_license_scan,
+    "op4_packing": op4_packing,
     "op5_chat": op5_chat,
     "op7_quality_model": op7_quality_model,
     "op9_quality_rules": op9_quality_rules,
