@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, license_scan, packing, pii, quality_model, quality_rules
+from . import bpe, chat, embedding_dedup, license_scan, packing, pii, quality_model, quality_rules
 from .common import nonnull_text, small_batches, table
 
 
@@ -81,6 +81,11 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scored(docs, model).select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal label: links, components, and which one stays."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every whole text and the verdict of the adaptive rules."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -108,6 +113,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_chat": op5_chat,
     "op7_quality_model": op7_quality_model,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
 }
