@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, license_scan, packing, pii, quality_model, quality_rules
+from . import bpe, chat, embedding_dedup, jaccard, license_scan, packing, pii, quality_model, quality_rules
 from .common import nonnull_text, small_batches, table
 
 
@@ -46,6 +46,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate texts: classes, links, and which text stays."""
+    small_batches(spark)
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed to sequences of 4096 tokens."""
     small_batches(spark)
@@ -110,6 +116,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_license_scan": op2_license_scan,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_packing": op4_packing,
     "op5_chat": op5_chat,
     "op7_quality_model": op7_quality_model,
