@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, jaccard, license_scan, packing, pii, quality_model, quality_rules
+from . import bpe, chat, embedding_dedup, html_blocks, jaccard, license_scan, packing, pii, quality_model, quality_rules
 from .common import nonnull_text, small_batches, table
 
 
@@ -79,6 +79,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    small_batches(spark, 500)
+    return html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text; labels only of rows that are not held out."""
     small_batches(spark)
@@ -119,6 +125,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_packing": op4_packing,
     "op5_chat": op5_chat,
+    "op6_html_blocks": op6_html_blocks,
     "op7_quality_model": op7_quality_model,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality_rules": op9_quality_rules,
