@@ -1,14 +1,64 @@
-"""The training-text pipeline over ``documents``."""
+"""The training-text pipeline over ``documents``: which texts stay, what they hold, and how they are packed.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
+columns of ``documents``: doc_id, text, lang, source, n_chars. Null and empty texts fail the first stage; an empty table
+stays empty.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from texloom.llm import jaccard, packing, pii, quality_model, quality_rules
+from texloom.llm.common import small_batches, table
+from texloom.llm.queries import vocabulary
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text of a lower score goes: only what is likely bad, so that doubtful texts stay.
+LEAST_SCORE = 0.25
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts within the adaptive thresholds of their language and source."""
+    return quality_rules.judged(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that the compression classifier does not reject; it learns from the labelled rows of the whole table."""
+    small_batches(spark)
+    model = quality_model.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_model.scored(docs.select(*COLUMNS), model).where(F.col("score") >= LEAST_SCORE).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One text of each class of near-duplicates, that of the smallest id."""
+    small_batches(spark)
+    gone = jaccard.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind; n_chars follows."""
+    small_batches(spark)
+    return pii.redacted(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens and their place in sequences, with their ids."""
+    small_batches(spark)
+    return packing.sequences(docs.select("doc_id", "text"), vocabulary("word_bpe_49k.json"), with_ids=True)
+
+
+STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("jaccard_join", near_copies), ("pii", personal_data), ("packing", sequences)]
+
+#: No SQL expresses the classifier, the personal-data field or the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply STAGES to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other, over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -100,7 +100,8 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     counts = measured(docs, text)
     fences = thresholds(measured(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))), **options)
     both = counts.join(fences, F.col(lang).eqNullSafe(F.col("t_lang")) & F.col(source).eqNullSafe(F.col("t_source")), "left")
-    inside = F.lit(True)
+    # one sum, not a conjunction: parts of that would be pushed below the join, and each text measured again for them
+    faults = base_failed().cast("int")
     for m in MEASURES:
-        inside &= F.coalesce(share(m).between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(True))
-    return both.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop(*fences.columns)
+        faults += F.coalesce(~share(m).between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(False)).cast("int")
+    return both.withColumn("base_failed", base_failed()).withColumn("kept", faults == 0).drop(*fences.columns)
