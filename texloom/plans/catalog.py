@@ -1,11 +1,10 @@
-"""Registry of the library's queries and of SQL that gives the same rows."""
+"""All queries of the library and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import search_queries  # noqa: F401  (registers)
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "bm25_with_labels"
 
-FLAGSHIP = ""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
