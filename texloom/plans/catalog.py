@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, search_queries  # noqa: F401  (they register)
+from . import corpus_queries, memory_queries, search_queries  # noqa: F401  (they register)
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "bm25_with_labels"
