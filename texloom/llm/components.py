@@ -63,7 +63,8 @@ def tasks(batches: Iterator[pa.RecordBatch], key: str = "task") -> Iterator[pa.T
             held.append(table)
             continue
         cut = int(np.searchsorted(keys, keys[-1], "left"))
-        yield pa.concat_tables([*held, table.slice(0, cut)]).combine_chunks()
+        if held or cut:  # else the whole batch is of one task, which may go on in the next
+            yield pa.concat_tables([*held, table.slice(0, cut)]).combine_chunks()
         held = [table.slice(cut)]
     if held:
         yield pa.concat_tables(held).combine_chunks()
