@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 #: Names in the order in which alternatives are tried (fixed values).
 GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega".split()
-FUNCTIONS = "sin cos tan log ln exp sqrt max min sup inf lim det dim ker rank".split()
-OPERATORS = "sum int prod partial nabla cdot times div pm leq geq neq approx equiv subset supset in forall exists rightarrow leftarrow".split()
-CONSTANTS = "pi infty emptyset hbar ell".split()
+FUNCTIONS = "sin cos tan sinh cosh tanh log ln exp sqrt det sum prod int lim max min arg sup inf".split()
+OPERATORS = "cdot times div pm mp leq geq neq approx equiv subset supset subseteq supseteq in notin cap cup".split()
+CONSTANTS = "pi infty partial".split()
 
 
 def cleaned(latex: Column) -> Column:
@@ -22,8 +22,9 @@ def cleaned(latex: Column) -> Column:
 
 def kind(latex: Column) -> Column:
     """equation or inline."""
-    wide = latex.rlike(r"\\begin\{(?:equation|align|gather)|\\\[|^\$\$") | (F.length(latex) > 50) | F.contains(latex, F.lit("\\frac")) | F.contains(latex, F.lit("\\sum"))
-    return F.when(wide, "equation").otherwise("inline")
+    has = lambda x: F.contains(latex, F.lit(x))
+    wide = (F.length(latex) > 50) | has("\\frac") | has("\\sum")
+    return F.when(has("\\[") | has("$$") | has("equation}"), "equation").when(has("\\(") | has("$"), "inline").when(wide, "equation").otherwise("inline")
 
 
 def _named(latex: Column, names: list[str], strict: bool) -> Column:
@@ -42,12 +43,12 @@ def operators(latex: Column, strict: bool = False) -> Column:
 
 
 def constants(latex: Column, strict: bool = False) -> Column:
-    numbers = F.regexp_extract_all(latex, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1))
+    numbers = F.regexp_extract_all(latex, F.lit(r"\b([0-9]+(?:\.[0-9]+)?)\b"), F.lit(1))
     return F.array_sort(F.array_distinct(F.concat(_named(latex, CONSTANTS, strict), numbers)))
 
 
 def variables(latex: Column) -> Column:
-    letters = F.regexp_extract_all(F.regexp_replace(latex, r"\\[a-zA-Z]+", " "), F.lit(r"\b([a-zA-Z])\b"), F.lit(1))
+    letters = F.regexp_extract_all(latex, F.lit(r"\b([a-zA-Z])\b"), F.lit(1))
     greek = F.regexp_extract_all(latex, F.lit(r"\\(" + "|".join(GREEK) + ")"), F.lit(1))
     return F.array_sort(F.array_except(F.array_distinct(F.concat(letters, greek)), F.array(*map(F.lit, FUNCTIONS))))
 
@@ -57,5 +58,5 @@ def complexity(latex: Column, n_variables: Column, n_functions: Column, n_operat
     extra = F.when(F.contains(latex, F.lit("\\frac")), 2.0).otherwise(0.0)
     extra += F.when(F.contains(latex, F.lit("\\sum")) | F.contains(latex, F.lit("\\int")), 3.0).otherwise(0.0)
     extra += F.when(F.contains(latex, F.lit("\\sqrt")), 1.0).otherwise(0.0)
-    extra += F.when(F.contains(latex, F.lit("matrix")) | F.contains(latex, F.lit("\\begin")), 4.0).otherwise(0.0)
+    extra += F.when(F.contains(latex, F.lit("\\matrix")) | F.contains(latex, F.lit("\\begin{")), 4.0).otherwise(0.0)
     return F.least(F.lit(10.0), 0.01 * F.length(latex) + 0.5 * n_variables + n_functions + 0.3 * n_operators + extra)

@@ -13,16 +13,16 @@ WORD = r"[\p{L}\p{N}_]+"
 #: Heading class and the words that give it; the first class with a word in the heading wins (fixed values).
 CANONICAL = (
     ("abstract", ("abstract", "summary")),
-    ("introduction", ("introduction", "background", "motivation")),
-    ("related_work", ("related work", "literature review", "prior work", "previous work")),
-    ("methodology", ("method", "methodology", "approach", "model", "algorithm")),
-    ("experiments", ("experiment", "evaluation", "results", "experimental")),
-    ("results", ("result", "findings", "analysis", "performance")),
-    ("discussion", ("discussion", "limitations", "implications")),
-    ("conclusion", ("conclusion", "future work", "concluding")),
+    ("introduction", ("introduction", "intro", "background", "motivation")),
+    ("related_work", ("related work", "literature review", "prior work", "background")),
+    ("methodology", ("method", "methods", "methodology", "approach", "techniques")),
+    ("experiments", ("experiments", "experimental setup", "evaluation", "results")),
+    ("results", ("results", "findings", "analysis", "empirical results")),
+    ("discussion", ("discussion", "analysis", "interpretation")),
+    ("conclusion", ("conclusion", "conclusions", "future work", "summary")),
+    ("acknowledgments", ("acknowledgments", "acknowledgements", "thanks")),
     ("references", ("references", "bibliography", "citations")),
-    ("appendix", ("supplementary",)),
-)
+)
 
 
 def blank_tokens(text: Column) -> Column:

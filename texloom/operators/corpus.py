@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Stages that a finished document has been through, and the sections that it should have (fixed values).
-STAGES = ("content_download", "structure_parsing", "citation_parsing", "content_chunking", "entity_extraction")
-SECTIONS = ("abstract", "introduction", "methodology", "results", "conclusion")
+STAGES = ("document_structure", "math_processing", "citation_parsing", "content_chunking", "entity_extraction")
+SECTIONS = ("abstract", "introduction", "methodology", "results", "conclusion", "references")
 
 
 def counted(docs: DataFrame, parts: dict[str, DataFrame], key: str = "doc_id") -> DataFrame:

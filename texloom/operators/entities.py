@@ -5,18 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: type, pattern, words of context (fixed values). Order decides pairs and which mention is first.
-LEXICON = (
-    ("method", r"\b(?:transformer|bert|gpt|lstm|cnn|rnn|gan|vae)\b", ("train", "model", "learn", "predict", "architecture")),
-    ("method", r"\b(?:algorithm|approach|method|technique|framework)\b", ("train", "model", "learn", "predict", "architecture")),
-    ("dataset", r"\b(?:imagenet|mnist|cifar|squad|glue|coco)\b", ("data", "benchmark", "corpus", "collection", "samples")),
-    ("dataset", r"\b(?:dataset|corpus|benchmark)\b", ("data", "benchmark", "corpus", "collection", "samples")),
-    ("metric", r"\b(?:accuracy|precision|recall|f1|bleu|rouge|perplexity)\b", ("score", "performance", "measure", "evaluate", "result")),
-    ("tool", r"\b(?:pytorch|tensorflow|keras|numpy|scikit-learn)\b", ("library", "framework", "implement", "code")),
-    ("concept", r"\b(?:machine learning|deep learning|computer vision|attention)\b", ("theory", "field", "concept", "research")),
-    ("institution", r"\b(?:university|institute|laboratory) [^.]{1,50}", ("department", "affiliation", "research")),
-)
-STOP = ("the", "and", "for", "with", "that", "this")
+#: Patterns and words of context by type (fixed values). Order decides pairs and which mention is first.
+_TYPES = {
+    "method": (
+        (
+            r"\b(?:neural network|deep learning|machine learning|CNN|RNN|LSTM|GRU|transformer|BERT|GPT)\b",
+            r"\b(?:algorithm|approach|method|technique|framework|model|architecture)\b",
+            r"\b(?:gradient descent|backpropagation|attention mechanism|self-attention)\b",
+            r"\b(?:classification|regression|clustering|reinforcement learning)\b",
+        ),
+        ("propose", "introduce", "implement", "develop", "design"),
+    ),
+    "dataset": (
+        (r"\b(?:ImageNet|CIFAR|MNIST|COCO|WikiText|Common Crawl|OpenWebText)\b", r"\bdataset\b", r"\bcorpus\b", r"\bbenchmark\b"),
+        ("train", "evaluate", "test", "dataset", "data"),
+    ),
+    "metric": (
+        (r"\b(?:accuracy|precision|recall|F1|BLEU|ROUGE|perplexity|AUC|MAP)\b", r"\b(?:loss|error|score|performance|evaluation)\b"),
+        ("achieve", "measure", "evaluate", "score", "performance"),
+    ),
+    "tool": (
+        (r"\b(?:PyTorch|TensorFlow|Keras|scikit-learn|Hugging Face|OpenAI|LangChain)\b", r"\b(?:Python|R|MATLAB|Julia|framework|library|toolkit)\b"),
+        ("use", "implement", "build", "develop"),
+    ),
+    "concept": (
+        (
+            r"\b(?:artificial intelligence|AI|natural language processing|NLP|computer vision|CV)\b",
+            r"\b(?:supervised learning|unsupervised learning|semi-supervised|few-shot|zero-shot)\b",
+            r"\b(?:optimization|regularization|generalization|overfitting|underfitting)\b",
+        ),
+        ("concept", "idea", "theory", "principle"),
+    ),
+    "institution": (
+        (r"\b(?:University|Institute|Laboratory|Lab|Research|Center|Centre)\b[^.]{0,50}", r"\b(?:MIT|Stanford|Harvard|Berkeley|CMU|Google|Microsoft|Facebook|OpenAI)\b"),
+        ("affiliation", "university", "research"),
+    ),
+}
+LEXICON = tuple((kind, pattern, context) for kind, (patterns, context) in _TYPES.items() for pattern in patterns)
+STOP = ("the", "and", "or", "in", "on", "at")
+
+#: Phrases that tell a relationship (fixed values).
+RELATIONS = {
+    "uses": (r"\w+\s+(?:uses|utilizes|employs|applies)\s+\w+", r"using\s+\w+", r"based on\s+\w+"),
+    "implements": (r"implement(?:s|ed)?\s+\w+", r"\w+\s+implementation", r"develop(?:s|ed)?\s+\w+"),
+    "compares": (r"compar(?:e|es|ed)\s+(?:with|to|against)\s+\w+", r"\w+\s+(?:vs|versus)\s+\w+", r"baseline\s+\w+"),
+    "evaluates": (r"evaluat(?:e|es|ed)\s+(?:on|using)\s+\w+", r"test(?:s|ed)?\s+on\s+\w+", r"experiment(?:s)?\s+(?:with|on)\s+\w+"),
+    "extends": (r"extend(?:s|ed)?\s+\w+", r"build(?:s)?\s+(?:on|upon)\s+\w+", r"improv(?:e|es|ed)\s+\w+"),
+}
 
 
 def mentions(chunks: DataFrame, lexicon=LEXICON, doc_id: str = "doc_id", chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -67,15 +102,19 @@ def cooccurrence(found: DataFrame) -> DataFrame:
     return left.select("doc_id", "chunk_id", "source", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("target"))
 
 
-def relations(chunks: DataFrame, entities: DataFrame, verb: str, kind: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, relationship, source, target, context): pairs of a document's entities whose text stands in a phrase around ``verb``."""
-    phrases = chunks.select(F.col(doc_id).alias("doc_id"), F.explode(F.regexp_extract_all(text, F.lit(f"(?i)([^.!?\\n]{{0,80}}\\b(?:{verb})\\b[^.!?\\n]{{0,80}})"), F.lit(1))).alias("context")).distinct()
+def relations(chunks: DataFrame, entities: DataFrame, patterns: dict[str, tuple[str, ...]] = RELATIONS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, relationship, source, target, context): pairs of a document's entities whose text stands in a matched phrase."""
+    found = [F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({p})"), F.lit(1)), _named(kind)) for kind, ps in patterns.items() for p in ps]
+    phrases = chunks.select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(*found)).alias("p")).select("doc_id", "p.*").distinct()
     names = entities.select("doc_id", "normalized").distinct()
     inside = phrases.join(names, "doc_id").where(F.contains(F.lower("context"), F.col("normalized")))
-    each = inside.groupBy("doc_id", "context").agg(F.array_sort(F.collect_set("normalized")).alias("es"))
-    left = each.select("doc_id", "context", "es", F.posexplode("es").alias("i", "source"))
-    pairs = left.select("doc_id", "context", "source", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("target"))
-    return pairs.select("doc_id", F.lit(kind).alias("relationship"), "source", "target", "context")
+    each = inside.groupBy("doc_id", "relationship", "context").agg(F.array_sort(F.collect_set("normalized")).alias("es"))
+    left = each.select("doc_id", "relationship", "context", "es", F.posexplode("es").alias("i", "source"))
+    return left.select("doc_id", "relationship", "source", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("target"), "context")
+
+
+def _named(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("relationship"), x.alias("context"))
 
 
 def search(entities: DataFrame, terms: list[str], k: int = 20) -> DataFrame:

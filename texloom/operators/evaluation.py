@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from texloom.functions.text import word_set
 
 #: Phrases that tell an answer that knows nothing (fixed values).
-REFUSALS = ("don't have", "don't know", "no information", "cannot find", "unable to", "not sure", "i'm sorry", "i apologize")
+REFUSALS = ("don't have access", "cannot provide", "don't know", "no information", "unable to answer")
 
 
 def answer_match(truth: Column, answer: Column) -> Column:

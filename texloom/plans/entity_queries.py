@@ -17,7 +17,7 @@ PATTERNS = [("method", 0, "(?i)(\\b[a-z]*erth[a-z]*\\b)", "cast(contains(lower(t
 FOUND = "with f as (" + " union all ".join(
     f"select doc_id, '{kind}' as entity_type, {seq} as seq, i - 1 as position, m[i] as entity_text, {boost} as boost from (select doc_id, text, m, unnest(range(1, len(m) + 1)) as i from (select doc_id, text, regexp_extract_all(text, '{pattern}', 1) as m from documents))"
     for kind, seq, pattern, boost in PATTERNS
-) + """), g as (select *, least(1.0, 0.5 + case when regexp_matches(entity_text, '^[A-Z]') then 0.2 else 0.0 end + 0.1 * boost) as confidence from f where length(entity_text) >= 3 and lower(entity_text) not in ('the', 'and', 'for', 'with', 'that', 'this')),
+) + """), g as (select *, least(1.0, 0.5 + case when regexp_matches(entity_text, '^[A-Z]') then 0.2 else 0.0 end + 0.1 * boost) as confidence from f where length(entity_text) >= 3 and lower(entity_text) not in ('the', 'and', 'or', 'in', 'on', 'at')),
 e as (select doc_id, entity_type, lower(entity_text) as normalized, count(*) as mention_count, max(confidence) as confidence, arg_min(entity_text, seq * 1000000 + position) as entity_text from g group by 1, 2, 3)"""
 
 
@@ -60,7 +60,7 @@ def cooccurrence(t: Tables):
 x as (select distinct p.doc_id, context, normalized from p join e on p.doc_id = e.doc_id and contains(lower(context), normalized))
 select a.doc_id, a.normalized as source, b.normalized as target, md5(a.context) as context_md5 from x a join x b on a.doc_id = b.doc_id and a.context = b.context and a.normalized < b.normalized""")
 def relations_pairs(t: Tables):
-    return E.relations(t.documents, E.merged(_found(t)), "with", "uses").select("doc_id", "source", "target", F.md5("context").alias("context_md5"))
+    return E.relations(t.documents, E.merged(_found(t)), {"uses": (r"[^.!?\n]{0,80}\b(?:with)\b[^.!?\n]{0,80}",)}).select("doc_id", "source", "target", F.md5("context").alias("context_md5"))
 
 
 LATEX = r"\frac{a}{b} + \sqrt{x} = \alpha"
@@ -72,7 +72,7 @@ def _latex(t: Tables):
 
 
 _G, _FN, _OP, _K = ("|".join(x) for x in (L.GREEK, L.FUNCTIONS, L.OPERATORS, L.CONSTANTS))
-_VARS = f"list_distinct(list_concat(regexp_extract_all(regexp_replace(f, '\\\\[a-zA-Z]+', ' ', 'g'), '\\b([a-zA-Z])\\b', 1), regexp_extract_all(f, '\\\\({_G})', 1)))"
+_VARS = f"list_distinct(list_concat(regexp_extract_all(f, '\\b([a-zA-Z])\\b', 1), regexp_extract_all(f, '\\\\({_G})', 1)))"
 _FUNS = f"list_distinct(list_concat(regexp_extract_all(f, '\\\\({_FN})', 1), regexp_extract_all(f, '([a-zA-Z]+)\\s*\\(', 1)))"
 _OPS = f"list_distinct(list_concat(regexp_extract_all(f, '\\\\({_OP})', 1), regexp_extract_all(f, '([+\\-*/=<>])', 1)))"
 _CONS = f"list_distinct(list_concat(regexp_extract_all(f, '\\\\({_K})', 1), regexp_extract_all(f, '([0-9]+(?:\\.[0-9]+)?)', 1)))"

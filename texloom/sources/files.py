@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from texloom.functions.text import safe_filename
 from texloom.operators.corpus import unexpired
 
 #: A benchmark test with its sessions of turns.
-TEST = T.StructType.fromDDL("question_id string, question_type string, question string, answer string, haystack_dates array<string>, haystack_sessions array<array<struct<role:string,content:string>>>")
-RESULT = T.StructType.fromDDL("test_index int, question_id string, question_type string, question string, ground_truth_answer string, agent_answer string, latency_ms double, error string, timestamp string")
+TEST = "question_id string, question_type string, question string, answer string, haystack_dates array<string>, haystack_sessions array<array<struct<role:string,content:string>>>"
+RESULT = "test_index int, question_id string, question_type string, question string, ground_truth_answer string, agent_answer string, latency_ms double, error string, timestamp string"
 
 
 def read_tests(spark: SparkSession, path: str) -> DataFrame:
