@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, embedding_dedup, html_blocks, jaccard, license_scan, packing, pii, quality_model, quality_rules
 from .common import nonnull_text, small_batches, table
+from .oracle import ORACLE_SQL  # noqa: F401  (with the queries, for the entry point)
 
 
 def vocabulary(name: str) -> str:
@@ -131,5 +132,3 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
 }
-
-ORACLE_SQL: dict[str, str] = {}
