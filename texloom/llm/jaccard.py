@@ -4,7 +4,7 @@
 2. Chosen paths: in every run a class goes down a tree. At the root, and at every node of more than ``leaf`` classes, it
    follows shingles sampled by the node's own randomness (a minimum of a hash that all sets share), one or two, so that a
    pair at the threshold shares one branch on average. A node of at most ``leaf`` classes is compared by brute force on
-   the sketches of its classes; so is what is left at the last level, in blocks. Nodes of a single class end at once.
+   the sketches of its classes; so are groups of near copies, which no path parts, and what is left at the last level, in blocks. Nodes of a single class end at once.
    As many runs are made as the recall asks for.
 3. What a sketch does not exclude is connected to candidate groups. The sets of a group meet once, in blocks, where all
    intersections are counted exactly. Links are counted there, and only a spanning set of them leaves the task.
@@ -32,7 +32,7 @@ from .components import components, dealt, joined_pairs, roots, tasks
 #: Words of a shingle, bytes of a sketch, bytes of text hashed at a time.
 SIZE, SKETCH, SEGMENT = 5, 128, 1 << 19
 #: Classes of a node that is compared at once, levels below the root, rows of a block of sketches and of sets.
-LEAF, LEVELS, BLOCK, SET_BLOCK = 1000, 3, 1024, 512
+LEAF, LEVELS, BLOCK, SET_BLOCK = 2000, 4, 2048, 512
 
 _random = np.random.default_rng(20_240_601)
 _BYTE = _random.integers(1, 2**64, 256, np.uint64)
@@ -127,21 +127,30 @@ def sketched(docs: DataFrame, doc_id: str, text: str, runs: int) -> DataFrame:
 
 
 def descend(rows: DataFrame, sketches: DataFrame, leaf: int, levels: int) -> DataFrame:
-    """(path, cid) of the leaves. ``rows``: (path, cid) at the roots."""
+    """(path, cid) of the leaves. ``rows``: (path, cid) at the roots.
+
+    A large node whose classes mostly go on together is a group of near copies: no path parts it, so it is a leaf.
+    """
     leaves = []
     for level in range(levels + 1):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rows = saved(rows.join(sizes, "path"))
-        last = level == levels
-        leaves.append((rows if last else rows.where(F.col("n") <= leaf)).select("path", "cid"))
+        if level == levels:
+            leaves.append(rows.select("path", "cid"))
+            break
+        leaves.append(rows.where(F.col("n") <= leaf).select("path", "cid"))
         rows = rows.where(F.col("n") > leaf)
-        if last or rows.isEmpty():
+        if rows.isEmpty():
             break
         # one branch, or two at every fourth node: 1.25 on average, so that pairs at 0.8 go on sharing one
         draws = F.sequence(F.lit(0), F.when(F.pmod(F.xxhash64("path", F.lit(level)), F.lit(4)) == 0, 1).otherwise(0))
-        drawn = rows.select("path", "cid", F.explode(draws).alias("draw")).join(sketches.select("cid", "sketch"), "cid")
         at = F.pmod(F.xxhash64("path", "draw", F.lit(11)), F.lit(SKETCH)).cast("int")
-        rows = drawn.select(F.xxhash64("path", "draw", F.substring(F.col("sketch"), at + 1, F.lit(1))).alias("path"), "cid")
+        drawn = rows.join(sketches.select("cid", "sketch"), "cid").select("path", "n", "cid", "sketch", F.explode(draws).alias("draw"))
+        drawn = saved(drawn.select("path", "n", "cid", "draw", F.xxhash64("path", "draw", F.substring(F.col("sketch"), at + 1, F.lit(1))).alias("child")))
+        shares = drawn.groupBy("path", "n", "draw", "child").agg(F.count(F.lit(1)).alias("k"))
+        dense = shares.groupBy("path", "n").agg(F.max("k").alias("k")).where("k > n / 2").select("path")
+        leaves.append(rows.select("path", "cid").join(dense, "path", "left_semi"))
+        rows = drawn.join(dense, "path", "left_anti").select(F.col("child").alias("path"), "cid")
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
