@@ -1,0 +1,118 @@
+"""Licences and personal data against brute force."""
+
+import random
+import re
+
+from texloom.llm import license_scan, pii
+
+
+def brute_phrases(automaton, words):
+    return sorted((p, k) for p, (_, x) in enumerate(automaton.phrases) for k in range(len(words) - len(x) + 1) if words[k : k + len(x)] == x)
+
+
+def test_phrases():
+    a, r = license_scan.Automaton(), random.Random(3)
+    for _ in range(5000):
+        words = r.choices(["mit", "license", "apache", "general", "public", "the", "of", "gnu", "version", "x"], k=r.randint(0, 14))
+        assert sorted(a.scan(words)[0]) == brute_phrases(a, words)
+
+
+def test_matching_statistics():
+    """The automaton's match after each word is the longest suffix that occurs in a template."""
+    a, r = license_scan.Automaton(), random.Random(4)
+    all_words = [w for _, w in [*a.templates, *a.phrases]]
+    known = {tuple(w[i:j]) for w in all_words for i in range(len(w)) for j in range(i + 1, min(len(w), i + 12) + 1)}
+    vocabulary = sorted(a.number)
+    for _ in range(400):
+        t = r.choice(all_words)
+        at = r.randrange(len(t))
+        words = [*r.choices(vocabulary, k=3), *t[at : at + 6], *r.choices(vocabulary, k=2), "zzz", *t[at : at + 3]]
+        state = size = 0
+        for k, w in enumerate(words):
+            n = a.number.get(w)
+            while state and (n is None or n not in a.next[state]):
+                state = a.link[state]
+                size = a.length[state]
+            if n is not None and n in a.next[state]:
+                state, size = a.next[state][n], size + 1
+            else:
+                state = size = 0
+            best = next((m for m in range(min(11, k + 1), 0, -1) if tuple(words[k - m + 1 : k + 1]) in known), 0)
+            assert min(size, 11) == best
+
+
+def test_templates_with_changes():
+    a = license_scan.Automaton()
+    for t, (label, words) in enumerate(a.templates):
+        changed = ["intro", *words[: len(words) // 2], *(["odd"] if len(words) > 30 else []), *words[len(words) // 2 :], "end"]
+        phrases, matches, whole = a.scan(changed)
+        assert label in {a.templates[s[0]][0] for s in [*a.spans(matches), *whole]}, t
+
+
+def test_scan_rows(spark, odd, docs):
+    got = license_scan.scan(odd)
+    assert got.count() == odd.count() and got.where("size(phrase_labels) > 0").count() == 0 and license_scan.scan(odd.where("false")).count() == 0
+    a = license_scan.Automaton()
+    for r in license_scan.scan(docs).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        assert r.n_words == len(words) and sorted(r.phrase_starts) == sorted(k for _, k in brute_phrases(a, words))
+
+
+RULES = [re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def brute_spans(text):
+    out = []
+    for kind, rule in enumerate(RULES):
+        for m in rule.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == 1 and any(int(p) > 255 for p in m[0].split(".")) or kind == 2 and not (12 <= len(digits) <= 19 and pii.luhn(digits)) or kind == 3 and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), kind, m.end()))
+    return sorted(out)
+
+
+def test_rules(docs):
+    r = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(r.choice("aB1234567890@@...-- +()_%é\n") for _ in range(r.randint(0, 60)))
+        assert pii.rule_spans(text) == brute_spans(text), text
+    for text in ("x" * 500 + "@a.b", "a@" * 300 + "b.c", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "+1 2 3 4 5 6 7 8 9"):
+        assert pii.rule_spans(text) == brute_spans(text)
+    weights = pii.fit()
+    for row in docs.collect():
+        found = pii.find(row.text or "", weights)
+        assert [s[:3] for s in found if s[3]] == brute_spans(row.text or "")
+
+
+def test_viterbi_is_the_best_segmentation():
+    weights, r = pii.fit(), random.Random(6)
+    for text, _ in pii.sentences(40, 50):
+        text = text[:40]
+        borders, segments = pii.lattice(text, 0, len(text), [])
+        n = len(borders) - 1
+        score = lambda chosen: sum(max(weights[k, f].sum() for k in range(len(pii.KINDS))) for _, _, f in chosen)
+        best = {n: 0.0}
+        for i in range(n - 1, -1, -1):
+            best[i] = max([best[i + 1], *(score([s]) + best[s[1]] for s in segments if s[0] == i)])
+        found = pii.viterbi(n, segments, weights)
+        total = sum(weights[k, next(f for a, b, f in segments if (a, b) == (i, j))].sum() for i, j, k in found)
+        assert abs(total - best[0]) < 1e-9
+
+
+def test_field_on_unseen_sentences():
+    weights, right, wrong, missed = pii.fit(), 0, 0, 0
+    for text, spans in pii.sentences(200, 99):
+        found = {s[:3] for s in pii.find(text, weights)}
+        right += len(found & set(spans))
+        wrong += len(found - set(spans))
+        missed += len(set(spans) - found)
+    assert right / (right + missed) > 0.93 and right / (right + wrong) > 0.93
+
+
+def test_spans_and_redaction(spark, odd):
+    assert pii.spans(odd).count() == odd.count() and pii.spans(odd.where("false")).count() == 0
+    df = spark.createDataFrame([(1, "mail bob.1@mail.example.com or +1 (988) 555-2485, host 10.0.0.1 x", "k"), (2, "plain 1234", "k")], "doc_id long, text string, spans string")
+    out = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert out == {1: "mail [EMAIL] or [PHONE], host [IP] x", 2: "plain 1234"}
+    assert pii.redacted(df).columns == df.columns

@@ -260,8 +260,6 @@ def n_ids(packed: Column) -> Column:
 
 def unpack_ids(packed: Column) -> Column:
     """The packed ids as ARRAY<BIGINT>."""
-    digits = F.hex(packed)
-    n = (F.length(digits) / 8).cast("int")
-    byte = lambda i, k: F.substring(digits, i * 8 + 1 + 2 * k, F.lit(2))
-    number = lambda i: F.conv(F.concat(byte(i, 3), byte(i, 2), byte(i, 1), byte(i, 0)), 16, 10).cast("long")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), number)).otherwise(F.array().cast("array<bigint>"))
+    words = F.regexp_extract_all(F.hex(packed), F.lit("(.{8})"), F.lit(1))
+    byte = lambda w, k: F.substring(w, 2 * k + 1, 2)
+    return F.transform(words, lambda w: F.conv(F.concat(byte(w, 3), byte(w, 2), byte(w, 1), byte(w, 0)), 16, 10).cast("bigint"))
