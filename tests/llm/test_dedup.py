@@ -43,8 +43,8 @@ def test_dealt_meets_every_pair_once(spark, block):
     pairs = []
     for task in {m.task for m in met}:
         own = [m for m in met if m.task == task]
-        cross = len({m.part for m in own}) > 1
-        pairs += [tuple(sorted((a.id, b.id))) for i, a in enumerate(own) for b in own[i + 1 :] if not cross or a.part != b.part]
+        assert len({m.across for m in own}) == 1
+        pairs += [tuple(sorted((a.id, b.id))) for i, a in enumerate(own) for b in own[i + 1 :] if not a.across or a.part != b.part]
     assert sorted(pairs) == sorted((a, b) for g, a in rows for h, b in rows if g == h and a < b)
 
 
@@ -56,7 +56,7 @@ def test_tasks_and_pairs():
     assert [t.column("task").to_pylist() for t in C.tasks(iter(batches))] and sum(len(t) for t in C.tasks(iter(batches))) == 8
     assert all(len(t) for t in C.tasks(iter(batches)))
     for most in (2, 48):
-        got = [(int(i), int(j)) for a, b, _ in C.joined_pairs(keys, np.zeros(8, int), lambda i, j: np.ones(len(i)), most) for i, j in zip(a, b, strict=True)]
+        got = [(int(i), int(j)) for a, b, _ in C.joined_pairs(keys, np.zeros(8, int), np.zeros(8, bool), lambda i, j: np.ones(len(i)), most) for i, j in zip(a, b, strict=True)]
         assert sorted(got) == [(0, 1), (3, 4), (3, 5), (3, 6), (4, 5), (4, 6), (5, 6)]
     assert C.roots(5, np.array([0, 3]), np.array([1, 1]), np.array([9, 8, 7, 6, 5])).tolist() == [3, 3, 2, 3, 4]
 

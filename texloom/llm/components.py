@@ -37,10 +37,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def dealt(rows: DataFrame, group: str, node: str, block: int) -> DataFrame:
-    """``rows`` of groups of two or more, with ``task`` and ``part``, so that any two rows of a group meet in one task.
+    """``rows`` of groups of two or more, with ``task``, ``part`` and ``across``, so that any two rows of a group meet in one task.
 
     A group of more than ``block`` rows is cut to parts by the hash of ``node``; a task has one part, or two parts whose
-    rows are compared across only. So no task gets more than about two blocks, and every row goes to as many tasks as its
+    rows are compared across only, even if one of them turns out empty. So no task gets more than about two blocks, and every row goes to as many tasks as its
     group has parts.
     """
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
@@ -48,7 +48,7 @@ def dealt(rows: DataFrame, group: str, node: str, block: int) -> DataFrame:
     met = rows.join(sizes, group).withColumn("part", F.pmod(F.xxhash64(node, F.lit(7)), parts).cast("int"))
     other = F.explode(F.sequence(F.lit(0), parts - 1))
     met = met.withColumn("__other", other)
-    return met.withColumn("task", F.xxhash64(group, F.least("part", "__other"), F.greatest("part", "__other"))).drop("__n", "__other")
+    return met.withColumn("task", F.xxhash64(group, F.least("part", "__other"), F.greatest("part", "__other"))).withColumn("across", F.col("part") != F.col("__other")).drop("__n", "__other")
 
 
 def tasks(batches: Iterator[pa.RecordBatch], key: str = "task") -> Iterator[pa.Table]:
@@ -70,7 +70,7 @@ def tasks(batches: Iterator[pa.RecordBatch], key: str = "task") -> Iterator[pa.T
         yield pa.concat_tables(held).combine_chunks()
 
 
-def joined_pairs(keys: np.ndarray, parts: np.ndarray, alike, most: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def joined_pairs(keys: np.ndarray, parts: np.ndarray, across: np.ndarray, alike, most: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, value) of the pairs of each task, ``keys`` sorted, for which ``alike(i, j)`` is positive; each pair once.
 
     Short tasks are compared together, distance by distance; in a long one each row meets all later ones.
@@ -78,21 +78,20 @@ def joined_pairs(keys: np.ndarray, parts: np.ndarray, alike, most: int = 48) ->
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     ends = np.r_[starts[1:], len(keys)]
     size = ends - starts
-    several = np.repeat(np.minimum.reduceat(parts, starts) != np.maximum.reduceat(parts, starts), size)
     end_of = np.repeat(ends, size)
     short = np.repeat(size <= most, size)
     for step in range(1, min(most, int(size.max())) if len(size) else 0):
         i = np.flatnonzero(short & (np.arange(len(keys)) + step < end_of))
         if not len(i):
             break
-        i = i[~several[i] | (parts[i] != parts[i + step])]
+        i = i[~across[i] | (parts[i] != parts[i + step])]
         value = alike(i, i + step)
         on = value > 0
         yield i[on], i[on] + step, value[on]
     for s, e in zip(starts[size > most], ends[size > most], strict=True):
         for i in range(s, e - 1):
             j = np.arange(i + 1, e)
-            if several[i]:
+            if across[i]:
                 j = j[parts[j] != parts[i]]
             value = alike(np.full(len(j), i), j)
             on = value > 0

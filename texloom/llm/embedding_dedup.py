@@ -70,15 +70,15 @@ def signed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
 
 
 def candidates(rows: DataFrame, most: int) -> DataFrame:
-    """Spanning links (a, b) of the classes whose signatures differ in at most ``most`` bits; ``rows``: task, part, cid, signature."""
+    """Spanning links (a, b) of the classes whose signatures differ in at most ``most`` bits; ``rows``: task, part, across, cid, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
         for table in tasks(batches):
-            cid, keys, parts = (table.column(c).to_numpy() for c in ("cid", "task", "part"))
+            cid, keys, parts, across = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "task", "part", "across"))
             signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(cid), -1)
             alike = lambda i, j: most + 1 - ones[signature[i] ^ signature[j]].sum(1, dtype=np.int64)  # noqa: E731, B023
-            found = list(joined_pairs(keys, parts, alike))
+            found = list(joined_pairs(keys, parts, across, alike))
             if found:
                 a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 root = roots(len(cid), a, b, cid)
@@ -91,7 +91,7 @@ def candidates(rows: DataFrame, most: int) -> DataFrame:
 def verified(rows: DataFrame, cosine: float) -> DataFrame:
     """(cid, links, root) for each task: how many rows of other classes link, and the least class linked within the task.
 
-    ``rows``: task, part, cid, n, embedding.
+    ``rows``: task, part, across, cid, n, embedding.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def verified(rows: DataFrame, cosine: float) -> DataFrame:
                     x = np.array([vectors[r] for r in rows_d], np.float64)
                     x /= np.sqrt((x * x).sum(1))[:, None]
                     on = x @ x.T >= cosine
-                    if parts.min() != parts.max():
+                    if one.column("across")[0].as_py():
                         on &= parts[rows_d][:, None] != parts[rows_d][None, :]
                     np.fill_diagonal(on, False)
                     links[rows_d] += on @ n[rows_d]

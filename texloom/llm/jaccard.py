@@ -158,16 +158,16 @@ def descend(rows: DataFrame, sketches: DataFrame, leaf: int, levels: int) -> Dat
 
 
 def candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """Spanning links (a, b) of the classes whose sketches may belong to similar sets; ``rows``: task, part, cid, sketch."""
+    """Spanning links (a, b) of the classes whose sketches may belong to similar sets; ``rows``: task, part, across, cid, sketch."""
     expected = threshold + (1 - threshold) / 256
     least = math.floor(SKETCH * expected - 3.5 * math.sqrt(SKETCH * expected * (1 - expected)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tasks(batches):
-            cid, keys, parts = (table.column(c).to_numpy() for c in ("cid", "task", "part"))
+            cid, keys, parts, across = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "task", "part", "across"))
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(cid), -1)
             alike = lambda i, j: (sketch[i] == sketch[j]).sum(1, dtype=np.int64) - least + 1  # noqa: E731, B023
-            found = list(joined_pairs(keys, parts, alike))
+            found = list(joined_pairs(keys, parts, across, alike))
             if found:
                 a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 root = roots(len(cid), a, b, cid)
@@ -212,7 +212,7 @@ def verified(rows: DataFrame, threshold: float) -> DataFrame:
                 size = np.array([len(x) for x in sets], float)
                 shared = intersections(sets)
                 on = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-6
-                if parts.min() != parts.max():
+                if one.column("across")[0].as_py():
                     on &= parts[:, None] != parts[None, :]
                 np.fill_diagonal(on, False)
                 links = on @ n
