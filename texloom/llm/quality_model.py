@@ -3,7 +3,8 @@
 Two zstandard dictionaries hold snippets of good and bad labelled texts, two more the same snippets with letters and
 digits reduced to their class, which shows layout. A whole text is cut to blocks, so that a dictionary counts for long
 texts too, and each block is compressed with every dictionary. The size differences and sizes per byte, and the size of
-the whole text compressed by itself, are calibrated to a probability by a logistic regression.
+the whole text compressed by itself, are calibrated to a probability by a logistic regression. The sizes that it learns
+from are those under dictionaries of other folds: under a dictionary that holds its own snippet, any text shrinks.
 
 Fitted on at most ``rows`` labelled texts of each class, chosen by the hash of their id; every text is scored whole.
 Null texts count as empty; an empty text gets a score like any other. With no text of a class to learn from, the score
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import saved, with_python
 
-#: Bytes of a dictionary, characters of a snippet, bytes of a block, compression level.
-DICTIONARY, SNIPPET, BLOCK, LEVEL = 112_000, 1000, 1024, 3
+#: Bytes of a dictionary, characters of a snippet, bytes of a block, compression level, folds of the calibration.
+DICTIONARY, SNIPPET, BLOCK, LEVEL, FOLDS = 112_000, 1000, 1024, 3, 4
 #: The class of each byte: lower case (and all beyond ASCII), upper case, digit, itself.
 SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 NAMES = ("difference", "shape_difference", "alone", "bad", "good", "shape_bad", "shape_good")
@@ -99,19 +100,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 2000, doc_id: str = "doc
     each = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
     chosen = F.broadcast(each[0].unionByName(each[1]))  # two times ``rows`` ids
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    sample = saved(texts.join(chosen, "id").select("y", "text", F.xxhash64("id", F.lit(1)).alias("at")))
+    sample = saved(texts.join(chosen, "id").select("y", "text", F.xxhash64("id", F.lit(1)).alias("at"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(FOLDS)).alias("fold")))
     start = F.pmod(F.col("at"), F.greatest(F.length("text") - SNIPPET, F.lit(1))).cast("int") + 1
-    parts = []
-    for y in (0, 1):
-        snippets = sample.where(F.col("y") == y).orderBy("at").limit(2 * DICTIONARY // SNIPPET).select(F.substring(F.col("text"), start, F.lit(SNIPPET)).alias("s")).collect()
-        parts.append(b"\n".join(r.s.encode() for r in snippets)[:DICTIONARY])
-    if not all(parts):
+    chosen_snippets = [sample.where(F.col("y") == y).orderBy("at").limit(2 * DICTIONARY // SNIPPET).select("fold", F.substring(F.col("text"), start, F.lit(SNIPPET)).alias("s")).collect() for y in (0, 1)]
+    parts = lambda fold: [b"\n".join(r.s.encode() for r in rows if r.fold != fold)[:DICTIONARY] for rows in chosen_snippets]
+    if not all(parts(None)):
         share = known.agg(F.avg("y")).first()[0]
         return Model(constant=0.5 if share is None else float(share))
-    model = Model(*parts)
-    measured = with_python(sample, "text", [(n, "double") for n in NAMES], lambda: Compressors(*parts).measures).select("y", *NAMES).orderBy(*NAMES).collect()
-    values = np.array([tuple(r) for r in measured], float)
-    return model.calibrate(values[:, 1:], values[:, 0])
+    values = []
+    for fold in range(FOLDS):
+        other = [p or q for p, q in zip(parts(fold), parts(None), strict=True)]  # a lone text has no other fold
+        measured = with_python(sample.where(F.col("fold") == fold), "text", [(n, "double") for n in NAMES], lambda other=other: Compressors(*other).measures)
+        values += [tuple(r) for r in measured.select("y", *NAMES).orderBy(*NAMES).collect()]
+    values = np.array(values, float)
+    return Model(*parts(None)).calibrate(values[:, 1:], values[:, 0])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
