@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries hold snippets of good and bad labelled texts, two more the same snippets with letters and
 digits reduced to their class, which shows layout. A whole text is cut to blocks, so that a dictionary counts for long
-texts too, and each block is compressed with every dictionary. The size differences and sizes per byte, and the size of
+texts too, and each block is compressed with every dictionary. The size differences per byte, and the size per byte of
 the whole text compressed by itself, are calibrated to a probability by a logistic regression. The sizes that it learns
 from are those under dictionaries of other folds: under a dictionary that holds its own snippet, any text shrinks.
 
@@ -25,7 +25,7 @@ from .common import saved, with_python
 DICTIONARY, SNIPPET, BLOCK, LEVEL, FOLDS = 112_000, 1000, 1024, 3, 4
 #: The class of each byte: lower case (and all beyond ASCII), upper case, digit, itself.
 SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
-NAMES = ("difference", "shape_difference", "alone", "bad", "good", "shape_bad", "shape_good")
+NAMES = ("difference", "shape_difference", "alone")
 
 
 class Compressors:
@@ -48,11 +48,11 @@ class Compressors:
         shapes = [b.translate(SHAPE) for b in blocks]
         bad, good = sum(len(self.bad(b)) for b in blocks), sum(len(self.good(b)) for b in blocks)
         shape_bad, shape_good = sum(len(self.shape_bad(b)) for b in shapes), sum(len(self.shape_good(b)) for b in shapes)
-        return (bad - good) / n, (shape_bad - shape_good) / n, len(self.alone(raw)) / n, bad / n, good / n, shape_bad / n, shape_good / n
+        return (bad - good) / n, (shape_bad - shape_good) / n, len(self.alone(raw)) / n
 
 
 def _design(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    z = np.clip((x - mean) / spread, -8, 8)
+    z = np.clip((x - mean) / spread, -3, 3)  # what lies further out than the sample counts no more
     return np.column_stack([np.ones(len(z)), z, z * z])
 
 
@@ -104,16 +104,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 2000, doc_id: str = "doc
     start = F.pmod(F.col("at"), F.greatest(F.length("text") - SNIPPET, F.lit(1))).cast("int") + 1
     chosen_snippets = [sample.where(F.col("y") == y).orderBy("at").limit(2 * DICTIONARY // SNIPPET).select("fold", F.substring(F.col("text"), start, F.lit(SNIPPET)).alias("s")).collect() for y in (0, 1)]
     parts = lambda fold: [b"\n".join(r.s.encode() for r in rows if r.fold != fold)[:DICTIONARY] for rows in chosen_snippets]
-    if not all(parts(None)):
+    whole = parts(None)
+    if not all(whole):
         share = known.agg(F.avg("y")).first()[0]
         return Model(constant=0.5 if share is None else float(share))
     values = []
     for fold in range(FOLDS):
-        other = [p or q for p, q in zip(parts(fold), parts(None), strict=True)]  # a lone text has no other fold
+        other = [p or q for p, q in zip(parts(fold), whole, strict=True)]  # a lone text has no other fold
         measured = with_python(sample.where(F.col("fold") == fold), "text", [(n, "double") for n in NAMES], lambda other=other: Compressors(*other).measures)
         values += [tuple(r) for r in measured.select("y", *NAMES).orderBy(*NAMES).collect()]
     values = np.array(values, float)
-    return Model(*parts(None)).calibrate(values[:, 1:], values[:, 0])
+    return Model(*whole).calibrate(values[:, 1:], values[:, 0])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
