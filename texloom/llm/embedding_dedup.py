@@ -107,6 +107,7 @@ def verified(rows: DataFrame, cosine: float) -> DataFrame:
                 for d in np.unique(dims):
                     rows_d = np.flatnonzero(dims == d)
                     x = np.array([vectors[r] for r in rows_d], np.float64)
+                    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])  # exact, so that no square overflows or vanishes
                     x /= np.sqrt((x * x).sum(1))[:, None]
                     on = x @ x.T >= cosine
                     if one.column("across")[0].as_py():
