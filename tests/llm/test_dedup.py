@@ -131,3 +131,12 @@ def test_embeddings(spark, block):
     root = reached(len(rows), pairs)
     want = sorted((rows[i][0], sum(i in p for p in pairs), rows[root[i]][0], root[i] == i) for i in range(len(rows)))
     assert got == want
+
+
+def test_embeddings_of_extreme_length(spark):
+    """Squares of these components overflow or vanish in double precision."""
+    up = [1.0] * 8
+    rows = [(5, [1e200 * x for x in up], 0), (6, up, 0), (7, [1e-200 * x for x in up], 0), (8, [-x for x in up], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(x) for x in embedding_dedup.near_duplicates(df, recall=0.9999).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == [(5, 2, 5, True), (6, 2, 5, False), (7, 2, 5, False), (8, 0, 8, True)]
