@@ -27,6 +27,11 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def document_frequency(docs: DataFrame, text: str = "text", tokens=blank_tokens) -> DataFrame:
+    """(term, df), a row of ``docs`` being a document: each text gives a term once, so only partial counts are shuffled."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
@@ -48,10 +53,10 @@ def okapi(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text: str =
     terms = list(dict.fromkeys(query))
     counts = term_counts(docs, terms, doc_id, text)
     stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
-    if floor is None:
-        low = epsilon * (term_stats(postings(docs, doc_id, text)).agg(F.avg(idf(F.lit(stats.n), F.col("df")))).first()[0] or 0.0)
+    if floor is None and any(2 * stats[f"df{i}"] > stats.n for i in range(len(terms))):  # else no idf is negative
+        low = epsilon * (document_frequency(docs, text).agg(F.avg(idf(F.lit(stats.n), F.col("df")))).first()[0] or 0.0)
     else:
-        low = floor
+        low = floor or 0.0
     length = k1 * (1 - b + b * F.col("dl") / F.lit(stats.avgdl or 1.0))
     score = F.lit(0.0)
     for i, term in enumerate(terms):
