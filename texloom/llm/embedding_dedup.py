@@ -1,14 +1,16 @@
 """Near-duplicate embeddings: random-hyperplane signs in several tables, exact cosines, connected components.
 
 1. Vectors that are equal within their label are one class; only classes go on.
-2. Signs on fixed pseudo-random hyperplanes give each class a signature; each table takes some of its bits as bucket.
-   Classes of one bucket whose signatures differ in few bits are connected, and what is connected is a candidate group.
+2. Signs on fixed pseudo-random hyperplanes give each class a signature, and signs on further ones, of its own for each
+   table, a bucket in every table. Classes of one bucket whose signatures differ in few bits are connected, and what is
+   connected is a candidate group.
 3. The vectors of a group meet once, in blocks, and all their cosines are computed in double precision. Links are
    counted there and only a spanning set of them leaves the task, so no pairs are listed.
 4. Components of the spanning links, and counts weighted by the size of the classes, go back to every row.
 
-Bits and tables follow from the number of classes, the threshold and the recall asked for (``plan``), so buckets stay
-small at any size. Vectors that are null, zero, or hold null or non-finite components, null labels and null ids link
+Bits and tables follow from the classes of the largest label, the threshold and the recall asked for (``plan``), so buckets
+stay small at any size. No hyperplane serves twice, so the chances of the tables and of the signature are independent and
+the recall is that of the plan. Vectors that are null, zero, or hold null or non-finite components, null labels and null ids link
 with nothing, nor do vectors of different length. Repeated rows are vectors of their own. Other columns are not used.
 """
 
@@ -29,15 +31,23 @@ from .components import components, dealt, joined_pairs, roots, tasks
 BITS, BLOCK = 512, 1024
 
 
-def plan(classes: int, cosine: float, recall: float) -> tuple[int, int]:
-    """(bits of a bucket, tables): buckets of about 16 unrelated classes, and the tables that the recall takes at the threshold."""
-    same = 1 - math.acos(cosine) / math.pi
+def plan(classes: int, cosine: float, recall: float) -> tuple[int, int, int]:
+    """(bits of a bucket, tables, most): the recall holds at the threshold for a pair that no others link.
+
+    Buckets hold about 16 unrelated classes of a label of ``classes``. Signatures that differ in more than ``most`` bits are
+    not compared; a tenth of the pairs that the recall may lose can be lost by that, the tables make up for it.
+    """
+    differ = math.acos(cosine) / math.pi
     bits = min(28, max(6, math.ceil(math.log2(max(classes, 1) / 16 + 1))))
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same**bits))
+    chance = [math.exp(math.lgamma(BITS + 1) - math.lgamma(k + 1) - math.lgamma(BITS - k + 1) + k * math.log(differ) + (BITS - k) * math.log(1 - differ)) for k in range(BITS + 1)]
+    most = next(k for k in range(BITS + 1) if sum(chance[k + 1 :]) <= (1 - recall) / 10)
+    met = recall / (1 - sum(chance[most + 1 :]))
+    return bits, math.ceil(math.log(1 - met) / math.log(1 - (1 - differ) ** bits)), most
 
 
-def planes(dims: int) -> np.ndarray:
-    return np.random.default_rng(20_240_501 + dims).standard_normal((dims, BITS))
+def planes(dims: int, more: int) -> np.ndarray:
+    """The hyperplanes of the signature and ``more`` of the tables."""
+    return np.random.default_rng(20_240_501 + dims).standard_normal((dims, BITS + more))
 
 
 def signed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -45,7 +55,6 @@ def signed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        picks = [np.random.default_rng(77 + t).choice(BITS, bits, replace=False) for t in range(tables)]
         for batch in batches:
             lists = batch.column(1)
             sizes = np.diff(lists.offsets.to_numpy())
@@ -54,13 +63,12 @@ def signed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
             signatures, keys = np.empty((len(sizes), BITS // 8), np.uint8), np.empty((len(sizes), tables), np.int64)
             for dims in np.unique(sizes):
                 if dims not in held:
-                    held[dims] = planes(int(dims))
+                    held[dims] = planes(int(dims), bits * tables)
                 rows = np.flatnonzero(sizes == dims)
                 x = np.stack([flat[at[r] : at[r] + dims] for r in rows])
                 signs = x @ held[dims] >= 0
-                signatures[rows] = np.packbits(signs, axis=1)
-                for t, pick in enumerate(picks):
-                    keys[rows, t] = signs[:, pick] @ (1 << np.arange(bits, dtype=np.int64))
+                signatures[rows] = np.packbits(signs[:, :BITS], axis=1)
+                keys[rows] = signs[:, BITS:].reshape(len(rows), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s.tobytes() for s in signatures], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel()))],
                 ["cid", "signature", "buckets"],
@@ -123,16 +131,15 @@ def verified(rows: DataFrame, cosine: float) -> DataFrame:
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "cid long, links long, root long")
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = 0.93, recall: float = 0.99, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = 0.93, recall: float = 0.9999, block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     e = F.col(embedding).cast("array<double>")
     fine = F.col(label).isNotNull() & F.col(vec_id).isNotNull() & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.when(fine, F.col(embedding)).alias("embedding"))
     # the least id of a class is its number
     classes = saved(rows.where("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n")))
-    bits, tables = plan(classes.count(), cosine, recall)
-    same = math.acos(cosine) / math.pi
-    most = math.ceil(BITS * same + 3.3 * math.sqrt(BITS * same * (1 - same)))
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+    bits, tables, most = plan(largest or 0, cosine, recall)
     signatures = saved(signed(classes, bits, tables).join(classes.select("cid", "label"), "cid"))
     spread = signatures.select("cid", "label", F.posexplode("buckets").alias("t", "key")).select("cid", F.xxhash64("label", "t", "key").alias("bucket"))
     met = dealt(spread, "bucket", "cid", block).join(signatures.select("cid", "signature"), "cid")
