@@ -105,6 +105,25 @@ def test_jaccard(spark, small, monkeypatch):
         assert jaccard.near_duplicates(df.where("false")).count() == 0
 
 
+def test_recall_of_paths_at_the_deepest_level(spark):
+    """Pairs of which each byte agrees with chance 0.8, all in large nodes: the runs asked for lose few of them."""
+    r, pairs, runs = np.random.default_rng(9), 3000, jaccard.runs_for(0.8, 0.9999)
+    a = r.integers(0, 4, (pairs, jaccard.SKETCH), np.uint8)
+    b = np.where(r.random(a.shape) < 0.8, a, (a + r.integers(1, 4, a.shape)) % 4).astype(np.uint8)
+    own = [(2 * k + h, x[k].tobytes(), [10 * run + int(x[k, run]) for run in range(runs)]) for k in range(pairs) for h, x in enumerate((a, b))]
+    own = spark.createDataFrame(own, "cid long, sketch binary, paths array<long>")
+    leaves = jaccard.descend(own.select(F.explode("paths").alias("path"), "cid"), own, 1, jaccard.LEVELS)
+    met = leaves.distinct().groupBy("path", F.shiftright("cid", 1).alias("pair")).count().where("count = 2").select("pair").distinct().count()
+    assert pairs - met <= 2
+
+
+def test_sketch_filter_loses_less_than_the_recall(spark):
+    """Of pairs at 0.8, 8 in a million have at most 81 of 128 equal bytes, but 2 in 10,000 at most 85."""
+    rows = [(1, 0, False, c, bytes(x)) for c, x in ((1, [0] * 128), (2, [0] * 82 + [1] * 46))]
+    met = spark.createDataFrame(rows, "task long, part int, across boolean, cid long, sketch binary")
+    assert jaccard.least_equal(0.8, 0.9999) <= 82 and jaccard.candidates(met, 0.8, 0.9999).count() == 1
+
+
 def test_shingles_of_long_and_odd_texts(odd, monkeypatch):
     long = " ".join(str(i * i) for i in range(3000))
     whole = jaccard.shingles(long)

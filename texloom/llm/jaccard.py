@@ -2,8 +2,8 @@
 
 1. Every whole text becomes its set of hashed five-word shingles. Texts of equal sets are one class.
 2. Chosen paths: in every run a class goes down a tree. At the root, and at every node of more than ``leaf`` classes, it
-   follows shingles sampled by the node's own randomness (a minimum of a hash that all sets share), one or two, so that a
-   pair at the threshold shares one branch on average. A node of at most ``leaf`` classes is compared by brute force on
+   follows shingles sampled by the node's own randomness (a minimum of a hash that all sets share), two at most nodes, so
+   that a pair at the threshold still shares a branch at the deepest level in most runs. A node of at most ``leaf`` classes is compared by brute force on
    the sketches of its classes; so are groups of near copies, which no path parts, and what is left at the last level, in blocks. Nodes of a single class end at once.
    As many runs are made as the recall asks for.
 3. What a sketch does not exclude is connected to candidate groups. The sets of a group meet once, in blocks, where all
@@ -33,6 +33,8 @@ from .components import components, dealt, joined_pairs, roots, tasks
 SIZE, SKETCH, SEGMENT = 5, 128, 1 << 19
 #: Classes of a node that is compared at once, levels below the root, rows of a block of sketches and of sets.
 LEAF, LEVELS, BLOCK, SET_BLOCK = 2000, 4, 2048, 512
+#: Of four nodes, those that are left by two branches; the others by one.
+DOUBLE = 3
 
 _random = np.random.default_rng(20_240_601)
 _BYTE = _random.integers(1, 2**64, 256, np.uint64)
@@ -98,9 +100,33 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
+def agreeing(threshold: float) -> np.ndarray:
+    """The chance of each number of equal bytes in the sketches of a pair at the threshold."""
+    same = threshold + (1 - threshold) / 256
+    return np.array([math.comb(SKETCH, k) * same**k * (1 - same) ** (SKETCH - k) for k in range(SKETCH + 1)])
+
+
+def least_equal(threshold: float, recall: float) -> int:
+    """Equal bytes that a pair must have to be verified: a tenth of the pairs that the recall may lose can have fewer."""
+    return int(np.searchsorted(np.cumsum(agreeing(threshold)), (1 - recall) / 10, "right"))
+
+
 def runs_for(threshold: float, recall: float) -> int:
-    """A pair at the threshold meets in a run with the threshold's chance at the root; deeper levels lose some of it."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**2))
+    """Runs so that the recall holds for a pair at the threshold whose nodes are large down to the deepest level.
+
+    A run finds the pair if its root and some branch at each level are shared, each with the share of equal bytes; as all
+    runs use one sketch, the chance to fail in all is averaged over that share. What the sketch excludes counts as lost.
+    """
+    chance, least = agreeing(threshold), least_equal(threshold, recall)
+    share = np.arange(SKETCH + 1) / SKETCH
+    met = np.ones(SKETCH + 1)
+    for _ in range(LEVELS):
+        one = share * met
+        met = one + DOUBLE / 4 * one * (1 - one)
+    runs = 1
+    while chance[:least].sum() + (chance * (1 - share * met) ** runs)[least:].sum() > 1 - recall:
+        runs += 1
+    return runs
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str, runs: int) -> DataFrame:
@@ -142,8 +168,7 @@ def descend(rows: DataFrame, sketches: DataFrame, leaf: int, levels: int) -> Dat
         rows = rows.where(F.col("n") > leaf)
         if rows.isEmpty():
             break
-        # one branch, or two at every fourth node: 1.25 on average, so that pairs at 0.8 go on sharing one
-        draws = F.sequence(F.lit(0), F.when(F.pmod(F.xxhash64("path", F.lit(level)), F.lit(4)) == 0, 1).otherwise(0))
+        draws = F.sequence(F.lit(0), F.when(F.pmod(F.xxhash64("path", F.lit(level)), F.lit(4)) < DOUBLE, 1).otherwise(0))
         at = F.pmod(F.xxhash64("path", "draw", F.lit(11)), F.lit(SKETCH)).cast("int")
         drawn = rows.join(sketches.select("cid", "sketch"), "cid").select("path", "n", "cid", "sketch", F.explode(draws).alias("draw"))
         drawn = saved(drawn.select("path", "n", "cid", "draw", F.xxhash64("path", "draw", F.substring(F.col("sketch"), at + 1, F.lit(1))).alias("child")))
@@ -157,10 +182,9 @@ def descend(rows: DataFrame, sketches: DataFrame, leaf: int, levels: int) -> Dat
     return out
 
 
-def candidates(rows: DataFrame, threshold: float) -> DataFrame:
+def candidates(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Spanning links (a, b) of the classes whose sketches may belong to similar sets; ``rows``: task, part, across, cid, sketch."""
-    expected = threshold + (1 - threshold) / 256
-    least = math.floor(SKETCH * expected - 3.5 * math.sqrt(SKETCH * expected * (1 - expected)))
+    least = least_equal(threshold, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tasks(batches):
@@ -239,7 +263,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = saved(own.select("cid", "paths", "sketch").dropDuplicates(["cid"]))
     leaves = descend(own.select(F.explode("paths").alias("path"), "cid"), own, LEAF, LEVELS)
     met = dealt(leaves, "path", "cid", BLOCK).join(own.select("cid", "sketch"), "cid")
-    groups = components(candidates(met, threshold))
+    groups = components(candidates(met, threshold, recall))
     inside = saved(groups.select(F.col("node").alias("cid"), F.col("root").alias("grp")).join(classes.select("cid", "first", "n"), "cid"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
