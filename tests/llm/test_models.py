@@ -128,3 +128,13 @@ def test_pipeline_on_an_empty_table(spark, sf_dir):
     none = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, none, sf_dir).count() == 0
+
+
+def test_blocks_of_formulas_fallbacks_and_pages_without_head_tags():
+    texts = lambda page: [b[0] for b in html_blocks.blocks(page)]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == ["so x=1 holds"]
+    assert texts("<p>a <svg viewBox='0'/> b</p><p>c</p>") == texts("<p>a <svg><path d=1> b</p><p>c</p>") == ["a b", "c"]
+    assert texts("<object data=x><p>fall</p></object><noscript><p>n</p></noscript><template><p>t</p></template>z") == ["fall", "n", "t", "z"]
+    assert texts("<title>t</title><meta x><p>body</p>") == texts("<head><title>t</title><meta x><p>body</p>") == ["body"]
+    assert texts("<html><head><title>t</title>plain text") == ["plain text"]
+    assert texts("<p>a</p><script>x<p>y") == ["a"]

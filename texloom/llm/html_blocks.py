@@ -4,7 +4,7 @@ A page is cut to leaf blocks: the text between two borders of block-level elemen
 their classes. Each block is a vector of hashed path names, hashed words and a few sizes; a bidirectional LSTM in numpy
 reads all blocks of the page in order and labels each as text or not, so a label depends on the whole page. The weights
 are fitted here on generated pages (``fit``), in seconds, always the same. Markup, comments, scripts and styles are no
-blocks at all.
+blocks at all; the text of formulas, drawings and fallback elements is text like any other.
 
 Null and empty pages give empty text. Long pages are read whole. Unclosed and stray tags are tolerated: a block-level tag
 closes an open paragraph, an end tag closes what is open inside it, and one that fits nothing is dropped. The input's
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 PATHS, WORDS, SIZES, HIDDEN = 160, 32, 8, 16
 INPUTS = PATHS + WORDS + SIZES
 
-SKIPPED = "script|style|noscript|template|svg|iframe|object|canvas|math"
+SKIPPED = "script|style"
 MARKUP = re.compile(
     r"<!--(?:.*?-->|.*)"
     rf"|<(?P<raw>{SKIPPED})\b[^>]*>(?:.*?</(?P=raw)\s*>|.*)"
@@ -38,8 +38,13 @@ MARKUP = re.compile(
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 NAME = re.compile(r"[A-Za-z]+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math svg object canvas iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements of other kinds of markup, within which every tag is inline, and those that are empty if they end in a slash.
+FOREIGN, EMPTY = ("math", "svg"), frozenset("math svg object canvas iframe noscript template".split())
+#: Block-level elements that end foreign markup, and all that can stand in a head: another one ends the head.
+BREAKS = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr img li menu ol p pre table ul article aside footer header main nav section".split())
+HEAD = frozenset("html head title base link meta template noscript bgsound basefont noframes".split())
 #: An element closes these when it opens, up to the nearest of its containers.
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr",)), "th": ("td", ("tr",)), "option": ("option", ("select",)), "body": ("head", ())}
 
@@ -54,6 +59,8 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
 
     def add(raw: str) -> None:
         nonlocal path, linked
+        if hidden and stack[-1][0] == "head" and raw.strip():
+            close(len(stack) - 1)
         if not hidden:
             if not parts and raw.strip():
                 path = tuple(n for _, names in stack for n in names)
@@ -85,18 +92,29 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if hidden and tag not in HEAD and not m["end"] and stack[-1][0] in ("head", "noscript"):
+            close(next(k for k in range(len(stack)) if stack[k][0] == "head"))
+        foreign = next((k for k, (t, _) in enumerate(stack) if t in FOREIGN), None)
+        if foreign is not None and tag not in FOREIGN:
+            if m["end"]:
+                if any(t == "*" + tag for t, _ in stack[foreign:]):
+                    tag = "*" + tag
+            elif tag in BREAKS:
+                close(foreign)
+            else:
+                tag = "*" + tag
         if tag == "br":
             parts.append(" ")
             continue
-        inline = tag in INLINE
+        inline = tag in INLINE or tag[0] == "*"
         if not inline:
             flush()
         if m["end"]:
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if at is not None and (not inline or not any(t not in INLINE for t, _ in stack[at:])):
+            if at is not None and (not inline or not any(t not in INLINE and t[0] != "*" for t, _ in stack[at:])):
                 close(at)
             continue
-        if tag in VOID:
+        if tag in VOID or m["more"].endswith("/") and (tag in EMPTY or tag[0] == "*"):
             continue
         if not inline:
             for k in range(len(stack) - 1, -1, -1):
@@ -114,7 +132,7 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
                     if stack[k][0] in until:
                         break
         more = m["more"]
-        names = (tag,) if tag not in ("html", "body") else ()
+        names = (tag.lstrip("*"),) if tag not in ("html", "body") else ()
         if "=" in more:
             names += tuple("." + w.lower() for n in NAMED.findall(more) for w in NAME.findall(n[0] or n[1] or n[2]))
         stack.append((tag, names))
