@@ -72,10 +72,12 @@ def test_encode_takes_odd_rows(spark, odd):
     assert bpe.encode(odd.where("false"), BYTE).count() == 0
 
 
-def test_words_are_exact():
+def test_words_are_exact(monkeypatch):
     coder, given = packing.Words(open(WORD, encoding="utf-8").read()), texts()
-    for text, want in zip(given, library(WORD).encode_batch(given, add_special_tokens=False), strict=True):
-        assert np.frombuffer(coder.ids(text), "<u4").tolist() == want.ids, repr(text)
+    for entries in (packing.CACHE_ENTRIES, 50, 0):
+        monkeypatch.setattr(packing, "CACHE_ENTRIES", entries)
+        for text, got, want in zip(given, coder.ids(given), library(WORD).encode_batch(given, add_special_tokens=False), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(text)
 
 
 def test_best_fit_keeps_every_constraint():

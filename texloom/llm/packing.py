@@ -27,18 +27,20 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import nonnull_text, saved
 
 #: Words that a worker remembers in each half of its memory, and the longest remembered.
-CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+#: Characters of the texts whose words are looked up together.
+TOGETHER = 1 << 20
 
-
-#: Words, numerals and runs of other characters of a lower-case text below U+0180 (but U+0130, whose lower case lies beyond), as the vocabulary's pattern parts them.
-_L, _N, _S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
-PARTS = re.compile(f"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{_S}{_L}{_N}]+")
-WIDE = re.compile("[^\x00-\u012f\u0131-\u017f]")
+#: A character at or beyond U+0180, or U+0130 (its lower case lies beyond), or one that ``str.split`` but not the vocabulary's pattern takes for a blank.
+ODD = re.compile("[^\x00-\u012f\u0131-\u017f]|[\x1c-\x1f]")
 
 
 class Words:
-    """Ids by the tokenizers library, word by word, as most words were seen before. Texts beyond Latin letters, and those
-    that hold a special token's name, go to the library whole."""
+    """Ids by the tokenizers library, word by word, as most words were seen before.
+
+    No token of the vocabulary's pattern crosses a blank, so what stands between blanks has its ids whatever surrounds it.
+    Texts with ``ODD`` characters, and those that hold a special token's name, go to the library whole.
+    """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,28 +61,39 @@ class Words:
         found = {w: self.old[w] for w in words if w in self.old}
         if new := [w for w in words if w not in found]:
             coded = self.tokenizer.encode(" ".join(new), add_special_tokens=False)  # one call for all; blanks are dropped
-            ids, word = np.array(coded.ids, "<u4"), np.array(coded.word_ids)
-            cuts = np.flatnonzero(np.diff(word)) + 1
-            if len(cuts) + 1 == len(new):
-                found.update(zip(new, (part.tobytes() for part in np.split(ids, cuts)), strict=True))
-            else:
-                found.update((w, self.whole(w)) for w in new)
+            ids, begin = np.array(coded.ids, "<u4"), np.array([a for a, _ in coded.offsets])
+            cuts = np.searchsorted(begin, np.cumsum([0, *(len(w) + 1 for w in new)]))
+            found.update((w, ids[a:b].tobytes()) for w, a, b in zip(new, cuts, cuts[1:], strict=False))
         if len(self.young) >= CACHE_ENTRIES:
             self.old, self.young = self.young, {}
         self.young.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS)
         return found
 
-    def ids(self, text: str) -> bytes:
-        """Packed as little-endian unsigned 32-bit."""
-        if WIDE.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        words = PARTS.findall(text.lower())
-        get = self.young.get
-        coded = [get(w) for w in words]
-        if None in coded:
-            found = self.learn({w for w, c in zip(words, coded, strict=True) if c is None})
-            coded = [found[w] if c is None else c for w, c in zip(words, coded, strict=True)]
-        return b"".join(coded)
+    def simple(self, text: str) -> bool:
+        """Whether the words can be looked up one by one."""
+        if "<|" in text and any(s in text for s in self.special):
+            return False
+        return not any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else not ODD.search(text)
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Of each text, packed as little-endian unsigned 32-bit; texts of about ``TOGETHER`` characters learn their new words at once."""
+        begin = 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and size < TOGETHER:
+                size += len(texts[end])
+                end += 1
+            words = [t.lower().split() if self.simple(t) else None for t in texts[begin:end]]
+            coded = [w and list(map(self.young.get, w)) for w in words]
+            found = self.learn({w for ws, cs in zip(words, coded, strict=True) if cs and None in cs for w, c in zip(ws, cs, strict=True) if c is None})
+            for text, ws, cs in zip(texts[begin:end], words, coded, strict=True):
+                if ws is None:
+                    yield self.whole(text)
+                elif None in cs:
+                    yield b"".join([found[w] if c is None else c for w, c in zip(ws, cs, strict=True)])
+                else:
+                    yield b"".join(cs)
+            begin = end
 
 
 _loaded: dict[int, Words] = {}
@@ -106,8 +119,8 @@ def pieces(docs: DataFrame, path: str, length: int = 4096, end: int = 1, doc_id:
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             row, number, begin, ids = [], [], [], []
-            for at, value in enumerate(batch.column(1)):
-                coded = coder.ids(value.as_py()) + last
+            for at, coded in enumerate(coder.ids(batch.column(1).to_pylist())):
+                coded += last
                 for k, b in enumerate(range(0, len(coded), 4 * length)):
                     row.append(at)
                     number.append(k)
@@ -147,11 +160,12 @@ def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights:
     return sequence, offset
 
 
-def packed(parts: DataFrame, key: list[str], length: int = 4096, max_docs: int = 4096, max_cost: float = 4096.0**2, weights: tuple[float, float, float] = (1.0, 0.001, 0.001), rule: str = "norm", shard_rows: int = 20_000) -> DataFrame:
+def packed(parts: DataFrame, key: list[str], length: int = 4096, max_docs: int = 4096, max_cost: float = 4096.0**2, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm", shard_rows: int = 20_000) -> DataFrame:
     """``parts`` with sequence_id and offset. ``key``: columns that order pieces of equal length, and deal them to shards.
 
-    A sequence holds at most ``length`` tokens, ``max_docs`` pieces and ``max_cost`` of squared lengths. ``parts`` must
-    have a column ``length`` of 1 to ``length``; it is read twice, so save it before.
+    A sequence holds at most ``length`` tokens, ``max_docs`` pieces and ``max_cost`` of squared lengths; at the defaults
+    the tokens imply the other two, which then only weigh in the choice. ``parts`` must have a column ``length`` of 1 to
+    ``length``; it is read twice, so save it before.
     """
     shards = max(1, -(-parts.count() // shard_rows))
     source = parts.drop("sequence_id", "offset").withColumn("__shard", F.pmod(F.xxhash64(*key), F.lit(shards)))
@@ -167,7 +181,12 @@ def packed(parts: DataFrame, key: list[str], length: int = 4096, max_docs: int =
 
 
 def sequences(docs: DataFrame, path: str, with_ids: bool = False, **options) -> DataFrame:
-    """The pieces of ``docs`` with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids on request."""
+    """The pieces of ``docs`` with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids on request.
+
+    Only the lengths meet in the shards; ids are joined to their places after it.
+    """
     cut = pieces(docs, path).withColumn("ids_crc32", F.crc32("ids"))
-    cut = saved(cut if with_ids else cut.drop("ids"))
-    return packed(cut, ["doc_id", "piece", "ids_crc32"], **options)
+    # the number of a row of a saved table is the same whenever it is read; it spreads repeated rows over the shards
+    cut = saved(cut if with_ids else cut.drop("ids")).withColumn("__row", F.monotonically_increasing_id())
+    placed = packed(cut.drop("ids"), ["doc_id", "piece", "ids_crc32", "__row"], **options)
+    return (placed.join(cut.select("__row", "ids"), "__row") if with_ids else placed).drop("__row")
