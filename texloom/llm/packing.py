@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .bpe import byte_names
 from .common import nonnull_text, saved
 
 #: Words that a worker remembers in each half of its memory, and the longest remembered.
@@ -33,41 +34,49 @@ TOGETHER = 1 << 20
 
 #: A character at or beyond U+0180, or U+0130 (its lower case lies beyond), or one that ``str.split`` but not the vocabulary's pattern takes for a blank.
 ODD = re.compile("[^\x00-\u012f\u0131-\u017f]|[\x1c-\x1f]")
+#: Words, numerals and runs of other characters of a lower-case text without such, as the vocabulary's pattern parts them.
+_L, _N, _S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
+PARTS = re.compile(f"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
 class Words:
     """Ids by the tokenizers library, word by word, as most words were seen before.
 
     No token of the vocabulary's pattern crosses a blank, so what stands between blanks has its ids whatever surrounds it.
-    Texts with ``ODD`` characters, and those that hold a special token's name, go to the library whole.
+    New words are parted here and go through the library's merges only. Texts with ``ODD`` characters, and those that hold
+    a special token's name, go to the library whole.
     """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.special = [t["content"] for t in json.loads(spec)["added_tokens"]]
+        vocab = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes[list(vocab.values())] = [len(t.removesuffix("</w>")) for t in vocab]
+        self.names = {b: c for c, b in byte_names().items()}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that are not in the younger half; the short ones are remembered."""
-        found = {w: self.old[w] for w in words if w in self.old}
-        if new := [w for w in words if w not in found]:
-            coded = self.tokenizer.encode(" ".join(new), add_special_tokens=False)  # one call for all; blanks are dropped
-            ids, begin = np.array(coded.ids, "<u4"), np.array([a for a, _ in coded.offsets])
-            cuts = np.searchsorted(begin, np.cumsum([0, *(len(w) + 1 for w in new)]))
-            found.update((w, ids[a:b].tobytes()) for w, a, b in zip(new, cuts, cuts[1:], strict=False))
-        if len(self.young) >= CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
-        self.young.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS)
-        return found
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of words that are not in the younger half there."""
+        self.young |= {w: self.old[w] for w in words if w in self.old}
+        if new := [w for w in words if w not in self.old]:
+            raw = [part.encode().decode("latin-1").translate(self.names) for part in PARTS.findall(" ".join(new))]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(raw)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in new])
+            cuts = [0, *(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1).tolist()]  # a word's tokens have its bytes
+            packed = ids.tobytes()
+            self.young |= {w: packed[4 * a : 4 * b] for w, a, b in zip(new, cuts, cuts[1:], strict=False)}
 
     def simple(self, text: str) -> bool:
         """Whether the words can be looked up one by one."""
@@ -84,15 +93,16 @@ class Words:
                 size += len(texts[end])
                 end += 1
             words = [t.lower().split() if self.simple(t) else None for t in texts[begin:end]]
-            coded = [w and list(map(self.young.get, w)) for w in words]
-            found = self.learn({w for ws, cs in zip(words, coded, strict=True) if cs and None in cs for w, c in zip(ws, cs, strict=True) if c is None})
-            for text, ws, cs in zip(texts[begin:end], words, coded, strict=True):
-                if ws is None:
-                    yield self.whole(text)
-                elif None in cs:
-                    yield b"".join([found[w] if c is None else c for w, c in zip(ws, cs, strict=True)])
-                else:
-                    yield b"".join(cs)
+            new = set().union(*filter(None, words)).difference(self.young)
+            self.learn(new)
+            get = self.young.__getitem__
+            for text, ws in zip(texts[begin:end], words, strict=True):
+                yield self.whole(text) if ws is None else b"".join(map(get, ws))
+            for w in new:
+                if len(w) > CACHE_CHARS:
+                    del self.young[w]
+            if len(self.young) >= CACHE_ENTRIES:
+                self.old, self.young = self.young, {}
             begin = end
 
 
