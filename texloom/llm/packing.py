@@ -17,6 +17,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .common import nonnull_text, saved
 #: Words that a worker remembers in each half of its memory, and the longest remembered.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 #: Characters of the texts whose words are looked up together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 21
 
 #: A character at or beyond U+0180, or U+0130 (its lower case lies beyond), or one that ``str.split`` but not the vocabulary's pattern takes for a blank.
 ODD = re.compile("[^\x00-\u012f\u0131-\u017f]|[\x1c-\x1f]")
@@ -117,12 +118,17 @@ def words_of(spec: str) -> Words:
     return _loaded[key]
 
 
-def pieces(docs: DataFrame, path: str, length: int = 4096, end: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece (from 0), start (ids of the document before it), length, ids (packed); ``path`` is read on the driver."""
+def pieces(docs: DataFrame, path: str, length: int = 4096, end: int = 1, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """doc_id, piece (from 0), start (ids of the document before it), length, ids_crc32, and ids (packed) if asked for.
+
+    ``path`` is read on the driver.
+    """
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: its size does not depend on the data
     source = docs.select(F.col(doc_id), nonnull_text(text).alias("__text"))
-    schema = StructType([source.schema[0], *(StructField(n, LongType()) for n in ("piece", "start", "length"))]).add("ids", "binary")
+    schema = StructType([source.schema[0], *(StructField(n, LongType()) for n in ("piece", "start", "length", "ids_crc32"))])
+    if with_ids:
+        schema = schema.add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = words_of(spec.value)
@@ -136,8 +142,9 @@ def pieces(docs: DataFrame, path: str, length: int = 4096, end: int = 1, doc_id:
                     number.append(k)
                     begin.append(b // 4)
                     ids.append(coded[b : b + 4 * length])
-            size = pa.array([len(i) // 4 for i in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int64()), pa.array(begin, pa.int64()), size, pa.array(ids, pa.binary())], schema.names)
+            columns = [number, begin, [len(i) // 4 for i in ids], [crc32(i) for i in ids]]
+            made = [pa.array(c, pa.int64()) for c in columns] + ([pa.array(ids, pa.binary())] if with_ids else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *made], schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -195,8 +202,7 @@ def sequences(docs: DataFrame, path: str, with_ids: bool = False, **options) ->
 
     Only the lengths meet in the shards; ids are joined to their places after it.
     """
-    cut = pieces(docs, path).withColumn("ids_crc32", F.crc32("ids"))
     # the number of a row of a saved table is the same whenever it is read; it spreads repeated rows over the shards
-    cut = saved(cut if with_ids else cut.drop("ids")).withColumn("__row", F.monotonically_increasing_id())
+    cut = saved(pieces(docs, path, with_ids=with_ids)).withColumn("__row", F.monotonically_increasing_id())
     placed = packed(cut.drop("ids"), ["doc_id", "piece", "ids_crc32", "__row"], **options)
     return (placed.join(cut.select("__row", "ids"), "__row") if with_ids else placed).drop("__row")
