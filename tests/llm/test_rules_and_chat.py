@@ -52,6 +52,23 @@ def test_thresholds_follow_the_source(spark):
     assert got.pop(200) is False and all(got.values())
 
 
+def test_rules_leave_good_texts(spark, docs, sf_dir):
+    """Of the texts labelled good that pass the base rules none goes, of the others most do, and repeats alone can be too many."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = collections.Counter((r.quality, r.kept) for r in quality_rules.judged(docs).where("not base_failed").join(labels, "doc_id").collect())
+    assert got[1, False] == 0 and got[0, False] > got[0, True]
+    fresh, some = iter(range(10**6)), " ".join(f"again{i}" for i in range(9))
+    plain = lambda n: " ".join(f"w{next(fresh) % 10}x{next(fresh)}" for _ in range(n))
+    rows = [(i, plain(100), "en", "a") for i in range(300)] + [(900, f"{some} {plain(60)} {some}", "en", "a")]
+    out = quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("doc_id = 900").first()
+    assert out.n_repeat_words == 18 and not out.base_failed and not out.kept
+
+
+def test_many_fences_are_salted(docs):
+    few, many = (sorted((r.doc_id, r.kept) for r in quality_rules.judged(docs, with_text=w, few=n).collect()) for w, n in ((True, 1000), (False, 0)))
+    assert few == many
+
+
 def test_native_plan(docs):
     plan = quality_rules.judged(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -25,18 +25,18 @@ e as (select *, 11 + 2 * length(role || text) - length(regexp_replace(role || te
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256, cast(sum(length(learnt)) as bigint) as loss_chars,
  sha256(string_agg(learnt, '' order by turn)) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars from e group by conv_id"""
 
-_M = {"symbols": ("n_symbols", "n_words", 100, False), "dup_lines": ("n_dup_lines", "n_lines", 200, False), "repeats": ("n_repeat_words", "n_words", 100, False), "word_length": ("word_chars", "n_words", 1000, True)}
+_M = {"symbols": ("n_symbols", "n_words", 0.25, 0.75, 3, False), "dup_lines": ("n_dup_lines", "n_lines", 0.5, 0.99, 2, False), "repeats": ("n_repeat_words", "n_words", 0.5, 0.99, 2, False), "word_length": ("word_chars", "n_words", 0.25, 0.75, 5, True)}
 _INSIDE = " and ".join(
-    f"coalesce({m} <= q{m}[2] + 3 * greatest(q{m}[2] - q{m}[1], {spread})" + (f" and {m} >= q{m}[1] - 3 * greatest(q{m}[2] - q{m}[1], {spread})" if low else "") + ", true)" for m, (_, _, spread, low) in _M.items()
+    f"coalesce({m} <= q{m}[2] + {reach} * greatest(q{m}[2] - q{m}[1], 5)" + (f" and {m} >= q{m}[1] - {reach} * greatest(q{m}[2] - q{m}[1], 5)" if low else "") + ", true)" for m, (_, _, _, _, reach, low) in _M.items()
 )
-_OWN = ", ".join(f"quantile_disc({m}, [0.25, 0.75]) filter (not base_failed) as q{m}" for m in _M)
+_OWN = ", ".join(f"quantile_disc({m}, [{p}, {q}]) filter (not base_failed) as q{m}" for m, (_, _, p, q, _, _) in _M.items())
 RULES = f"""with d as (select doc_id, lang, source, coalesce(text, '') as t from documents),
 w as (select *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from d),
 g as (select doc_id, i, array_to_string(w[i : i + 7], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from w)),
 h as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from (select doc_id, i, count(*) over (partition by doc_id, s) as k from g) where k > 1) group by 1),
 m as (select w.doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, len(l) as n_lines,
  len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(h.n, 0) as n_repeat_words from w left join h on w.doc_id = h.doc_id),
-b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, {", ".join(f"floor(1000.0 * {a} / greatest({c}, 1)) as {n}" for n, (a, c, _, _) in _M.items())} from m),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, {", ".join(f"floor(1000.0 * {a} / greatest({c}, 1)) as {n}" for n, (a, c, *_) in _M.items())} from m),
 s as (select lang, source, count(*) filter (not base_failed) as k, {_OWN} from b group by 1, 2), g1 as (select lang, {_OWN} from b group by 1),
 f as (select s.lang, s.source, {", ".join(f"case when k >= 50 then s.q{m} else g1.q{m} end as q{m}" for m in _M)} from s left join g1 on s.lang is not distinct from g1.lang)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_INSIDE} as kept from b left join f on b.lang is not distinct from f.lang and b.source is not distinct from f.source"""

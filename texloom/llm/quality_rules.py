@@ -1,8 +1,9 @@
 """Quality rules whose thresholds adapt to language and source, with DataFrame functions only.
 
-Each text is measured in its own row. Mergeable quantile summaries (``approx_percentile``: partial summaries are built
-on every partition and merged) give the quartiles of each measure per language and source, and a text is kept if no
-measure lies beyond the fences that the quartiles set. So a hot source adds rows to partial summaries, never to one task.
+Each text is measured once, in its own row, and the counts are saved. Mergeable quantile summaries (``approx_percentile``:
+partial summaries are built on every partition and merged) give two quantiles of each measure per language and source, and
+a text is kept if no measure lies beyond the fences that they set. So a hot source adds rows to partial summaries, never to
+one task. The fences are joined by broadcast if they are few, else hot sources are salted; texts are never shuffled.
 
 Nulls: a null text has no words and fails; null language or source is a group like any other. Empty texts fail. Texts of
 any length are measured whole. Repeated rows are judged each. An empty table gives an empty result. Columns of the
@@ -18,13 +19,19 @@ from .common import saved
 
 #: The columns that ``measured`` adds.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: Share of each count in thousandths: numerator, denominator, least spread, whether it also has a lower fence.
+#: Share of each count in thousandths: numerator, denominator, the two quantiles, how many times their distance a fence lies
+#: beyond them, whether it also has a lower fence. Repeated lines and words are rare in most sources, so their upper
+#: quantile is a high one, and the fence follows the few texts that have some.
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 100, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 200, False),
-    "repeats": ("n_repeat_words", "n_words", 100, False),
-    "word_length": ("word_chars", "n_words", 1000, True),
+    "symbols": ("n_symbols", "n_words", 0.25, 0.75, 3, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.5, 0.99, 2, False),
+    "repeats": ("n_repeat_words", "n_words", 0.5, 0.99, 2, False),
+    "word_length": ("word_chars", "n_words", 0.25, 0.75, 5, True),
 }
+#: The distance of the quantiles counts as so many thousandths at least, where most texts of a source are equal.
+LEAST = 5
+#: Pairs of language and source whose fences are broadcast (about 100 bytes each), and the salts of a pair beyond that.
+FEW, SALTS = 100_000, 32
 BLANK = "[\\x20\\x09-\\x0D]+"
 
 
@@ -70,37 +77,41 @@ def base_failed(min_words: int = 20, max_repeat_percent: int = 30) -> Column:
 
 
 def share(measure: str) -> Column:
-    above, below, _, _ = MEASURES[measure]
+    above, below, *_ = MEASURES[measure]
     return F.floor(1000 * F.col(above) / F.greatest(F.col(below), F.lit(1))).cast("long")
 
 
-def thresholds(counts: DataFrame, lang: str = "lang", source: str = "source", min_rows: int = 50, fence: int = 3, accuracy: int = 10_000) -> DataFrame:
+def thresholds(counts: DataFrame, lang: str = "lang", source: str = "source", min_rows: int = 50, accuracy: int = 10_000) -> DataFrame:
     """Fences per language and source: t_lang, t_source, and low_ and high_ of each measure.
 
     Rows that fail the base rules do not count. A group of fewer than ``min_rows`` rows takes the fences of its language.
     The result has a row for each pair of language and source.
     """
-    # no filter here: it would be pushed below the counts, and each text measured twice
     rows = counts.select(F.col(lang).alias("t_lang"), F.col(source).alias("t_source"), *[F.when(~base_failed(), share(m)).alias(m) for m in MEASURES])
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in MEASURES]
-    levels = saved(rows.groupingSets([["t_lang", "t_source"], ["t_lang"]], "t_lang", "t_source").agg(F.grouping_id().alias("level"), F.count("symbols").alias("n"), *quartiles))
+    levels = [F.percentile_approx(m, [low, high], accuracy).alias(m) for m, (_, _, low, high, _, _) in MEASURES.items()]
+    levels = saved(rows.groupingSets([["t_lang", "t_source"], ["t_lang"]], "t_lang", "t_source").agg(F.grouping_id().alias("level"), F.count("symbols").alias("n"), *levels))
     groups, langs = levels.where("level = 0").alias("g"), levels.where("level = 1").alias("l")
     both = groups.join(langs, F.col("g.t_lang").eqNullSafe(F.col("l.t_lang")), "left")
     found = both.select("g.t_lang", "g.t_source", *[F.when(F.col("g.n") >= min_rows, F.col(f"g.{m}")).otherwise(F.col(f"l.{m}")).alias(m) for m in MEASURES])
     fences = []
-    for m, (_, _, spread, lower) in MEASURES.items():
+    for m, (_, _, _, _, reach, lower) in MEASURES.items():
         low, high = F.get(m, F.lit(0)), F.get(m, F.lit(1))
-        reach = fence * F.greatest(high - low, F.lit(spread))
-        fences += [(high + reach).alias(f"high_{m}"), (low - reach if lower else F.lit(-1).cast("long")).alias(f"low_{m}")]
+        beyond = reach * F.greatest(high - low, F.lit(LEAST))
+        fences += [(high + beyond).alias(f"high_{m}"), (low - beyond if lower else F.lit(-1).cast("long")).alias(f"low_{m}")]
     return found.select("t_lang", "t_source", *fences)
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
-    """``docs``, COUNTS, ``base_failed`` and ``kept``. The texts are measured in two passes and never shuffled for it."""
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", with_text: bool = True, few: int = FEW, **options) -> DataFrame:
+    """``docs``, COUNTS, ``base_failed`` and ``kept``; without the text if that is not asked for, which is then not saved either."""
     counts = measured(docs, text)
-    fences = thresholds(measured(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))), **options)
-    both = counts.join(fences, F.col(lang).eqNullSafe(F.col("t_lang")) & F.col(source).eqNullSafe(F.col("t_source")), "left")
-    # one sum, not a conjunction: parts of that would be pushed below the join, and each text measured again for them
+    counts = saved(counts if with_text else counts.drop(text))
+    fences = saved(thresholds(counts, lang, source, **options))
+    same = F.col(lang).eqNullSafe(F.col("t_lang")) & F.col(source).eqNullSafe(F.col("t_source"))
+    if fences.count() <= few:
+        both = counts.join(F.broadcast(fences), same, "left")
+    else:
+        salted = fences.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = counts.withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).join(salted, same & (F.col("__part") == F.col("__salt")), "left").drop("__part", "__salt")
     faults = base_failed().cast("int")
     for m in MEASURES:
         faults += F.coalesce(~share(m).between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(False)).cast("int")

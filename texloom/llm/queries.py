@@ -102,7 +102,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every whole text and the verdict of the adaptive rules."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality_rules.judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.judged(docs, with_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
