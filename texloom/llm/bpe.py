@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Chunks of text and pairs that one worker remembers, and the longest chunk remembered. They bound memory only.
 CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 
@@ -229,7 +231,7 @@ def _mapped(df: DataFrame, column: str, out: str, kind: str, path: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tables(spec.value)
-        for batch in batches:
+        for batch in slices(batches):
             given = batch.column(batch.num_columns - 1)
             if kind == "binary":
                 made = pa.array([bpe.encode(v.as_py() or "") for v in given], pa.binary())

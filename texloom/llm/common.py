@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -17,16 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of one Arrow batch, as a few texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Parts of about ``most`` bytes in the last column, a row each at least; Spark bounds the batches themselves by bytes."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy().astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(size) - size) // most)) + 1).tolist(), len(size)]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            if begin < end:
+                yield batch.slice(begin, end - begin)
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder of the session; a folder of our own only where none is set."""
+    """Cut lineage through the shared checkpoint folder of the session; where none is set, a folder of our own on a single machine only."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="texloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="texloom-"))
     return df.checkpoint()
 
 
@@ -49,7 +59,7 @@ def with_python(df: DataFrame, column: str, fields: list[tuple[str, str]], prepa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = prepare()
-        for batch in batches:
+        for batch in slices(batches):
             rows = [one(value.as_py()) for value in batch.column(batch.num_columns - 1)]
             columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
             arrays = [pa.array(list(c), k.type) for c, k in zip(columns, kinds, strict=True)]

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Sizes of the vectors and of the hidden state in each direction.
 PATHS, WORDS, SIZES, HIDDEN = 160, 32, 8, 16
 INPUTS = PATHS + WORDS + SIZES
@@ -364,7 +366,7 @@ def extract(pages: DataFrame, html: str = "html", model: Labeller | None = None)
     source = pages.select(*[F.col(f"`{f.name}`") for f in keep], F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cut = [blocks(v.as_py()) for v in batch.column(batch.num_columns - 1)]
             good = held.value.label([vectors(c) for c in cut])
             texts = ["\n\n".join(b[0] for b, on in zip(c, g, strict=True) if on) for c, g in zip(cut, good, strict=True)]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import nonnull_text, saved
+from .common import nonnull_text, saved, slices
 from .components import components, dealt, joined_pairs, roots, tasks
 
 #: Words of a shingle, bytes of a sketch, bytes of text hashed at a time.
@@ -133,7 +133,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str, runs: int) -> DataFrame:
     """doc_id, set_a and set_b (128 bits that stand for the set; null: no words), paths (of the roots), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             a, b, paths, sketches = [], [], [], []
             for value in batch.column(1):
                 sets = shingles(value.as_py())
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     inside = saved(groups.select(F.col("node").alias("cid"), F.col("root").alias("grp")).join(classes.select("cid", "first", "n"), "cid"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(v.as_py()).astype("<u8").tobytes() for v in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["cid", "grp", "n", "shingles"])
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .bpe import byte_names
-from .common import nonnull_text, saved
+from .common import nonnull_text, saved, slices
 
 #: Words that a worker remembers in each half of its memory, and the longest remembered.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
@@ -133,7 +133,7 @@ def pieces(docs: DataFrame, path: str, length: int = 4096, end: int = 1, doc_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = words_of(spec.value)
         last = np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             row, number, begin, ids = [], [], [], []
             for at, coded in enumerate(coder.ids(batch.column(1).to_pylist())):
                 coded += last

@@ -1,12 +1,15 @@
 """Personal data by a semi-Markov conditional random field.
 
-A text is cut to tokens (runs of ASCII letters and digits, single other characters) around digits and ``@``. Candidate
-segments of at most MAX_TOKENS tokens are scored by features of the whole span (its shape, checksums, digits, context);
-a Viterbi pass over the bounded segments chooses boundaries and kinds jointly. The weights are fitted here by gradient
-ascent on the conditional likelihood of generated sentences (``fit``), which takes seconds and always gives the same.
+A text is cut to tokens (runs of ASCII letters and digits, single other characters) around triggers: digits, ``@``, key
+words such as ``password=``, and access keys. Candidate segments of at most MAX_TOKENS tokens and MAX_CHARS characters,
+and unbroken runs of any length, are scored by features of the whole span (its shape, checksums, digits, context) and by
+the kind of the segment that ends where it starts; a Viterbi pass over the bounded segments chooses boundaries and kinds
+jointly. The weights are fitted here by gradient ascent on the conditional likelihood of generated sentences (``fit``),
+which takes seconds, once in a process, and always gives the same.
 
 Spans that pass the exact rules of ``rule_spans`` are segments that the field must keep: they are always in the result,
-marked ``base``; the field adds spans between them. Text without a digit or ``@`` has no span.
+marked ``base``; the field adds spans between them. A span that it adds holds a digit or ``@``, or follows a key word, or
+is an access key; text without any trigger has no span.
 
 Null and empty texts have no spans. Long texts are scanned whole, in time in proportion to their length; no pattern
 backtracks over more than its own match. The input's columns are kept, those named like an added one are replaced;
@@ -18,6 +21,7 @@ from __future__ import annotations
 import random
 import re
 from bisect import bisect_left, bisect_right
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -27,10 +31,14 @@ from .common import with_python
 
 #: Kinds in the order that breaks ties of equal starts.
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Longest segment in tokens and in characters, and how far around a digit or @ tokens are looked at.
+#: Longest segment in tokens and in characters, unless it is an unbroken run, and how far around a trigger tokens are looked at.
 MAX_TOKENS, MAX_CHARS, AROUND = 24, 96, 40
 
-TRIGGER = re.compile(r"[0-9@]")
+DIGIT_OR_AT = re.compile(r"[0-9@]")
+#: Digits, @, access keys of letters, and = and : (which count after a key word only); one class of first characters scans fast.
+TRIGGER = re.compile(r"[0-9@=:A](?:(?<=[0-9@])[0-9@]*|(?<=[=:])|(?<=A)[A-Z]{19})")
+ALNUM = re.compile(r"[A-Za-z0-9]*")
+RUN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_+/.~-]*")
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -89,11 +97,22 @@ QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 GROUPED = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 DIALLED = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")
 DATED = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}")
-KEYED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|key)\s*[=:]\s*[\"']?$")
+KEYED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|key)[\"']?[ \t]*[=:][ \t]*[\"']?$")
 ACCESS = re.compile(r"A[A-Z]{3}[A-Z0-9]{16}")
 MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9]{12,}")
 
-N_FEATURES = 28
+
+
+def keyed(text: str, at: int) -> bool:
+    """Whether a key word with = or : ends at this place; only 24 characters before it are read."""
+    low = max(0, at - 4)
+    return (text.find("=", low, at) >= 0 or text.find(":", low, at) >= 0) and KEYED.search(text, max(0, at - 24), at) is not None
+
+
+HEX = re.compile(r"[0-9a-fA-F]+")
+
+N_FEATURES = 34
+NONE = len(KINDS)  # the label of a token in no segment
 
 
 def features(text: str, start: int, end: int, tokens: int) -> list[int]:
@@ -117,13 +136,19 @@ def features(text: str, start: int, end: int, tokens: int) -> list[int]:
         on.append(19)
     if span[0] == "+":
         on.append(20)
-    if KEYED.search(text[max(0, start - 24) : start]):
+    before, after = text[start - 1 : start], text[end : end + 1]
+    if keyed(text, start):
         on.append(21)
+        if RUN.fullmatch(span):
+            on.append(28 + (len(span) > 7))
+        if not n:
+            on.append(30 + (before in "=\"'"))
     if ACCESS.fullmatch(span):
         on.append(22)
     if MIXED.fullmatch(span):
         on.append(23)
-    before, after = text[start - 1 : start], text[end : end + 1]
+    if len(span) >= 32 and RUN.fullmatch(span):
+        on.append(33 if HEX.fullmatch(span) else 32)
     if before and not before.isspace():
         on.append(24 if before in "\"'=:(<[," else 25)
     if after and not after.isspace():
@@ -134,93 +159,120 @@ def features(text: str, start: int, end: int, tokens: int) -> list[int]:
 def lattice(text: str, low: int, high: int, blocked: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
     """Token borders in text[low:high], and candidate segments (first token, end token, features), ordered by their end.
 
-    A segment starts with a letter, digit, + or (, ends with a letter or digit, holds a digit or @ and no line feed,
-    does not cut a run of letters and digits, and does not overlap ``blocked``.
+    A segment starts with a letter, digit, + or (, ends with a letter or digit, holds a digit or @, or follows a key word, or
+    is an access key, holds of other characters ``WITHIN`` only, does not cut a run of letters and digits, and does not overlap ``blocked``.
     """
     borders = [low, *(m.end() for m in TOKEN.finditer(text, low, high))]
-    segments = []
+    segments = {}
     last = len(borders) - 1
+    runs = [(m.start(), m.start() + len(m[0].rstrip("_+/.~-"))) for m in RUN.finditer(text, low, high) if m.end() - m.start() > 20]
+    inside = bytearray(last + 1)  # borders within a run that is longer than any other segment: only the whole is one
+    for s, e in runs:
+        if e - s > MAX_CHARS:
+            for k in range(bisect_right(borders, s), bisect_left(borders, e)):
+                inside[k] = 1
     free = [True] * last
     for s, e in blocked:
         for k in range(max(0, bisect_right(borders, s) - 1), bisect_left(borders, e, hi=last)):
             free[k] = False
     for i in range(last):
         first = text[borders[i]]
-        if not (first.isascii() and first.isalnum() or first in "+(") or not free[i]:
+        if not (first.isascii() and first.isalnum() or first in "+(") or not free[i] or inside[i]:
             continue
         blanks = 0
+        led = keyed(text, borders[i])
         for j in range(i + 1, min(last, i + MAX_TOKENS) + 1):
-            if not free[j - 1] or borders[j] - borders[i] > MAX_CHARS:
+            if not free[j - 1] or borders[j] - borders[i] > MAX_CHARS and j > i + 1:
                 break
             tail = text[borders[j] - 1]
-            if tail == "\n":
+            if not (tail.isascii() and (tail.isalnum() or tail in WITHIN)):
                 break
             if tail == " ":
                 blanks += 1
                 if blanks > 4 or j > 1 and text[borders[j] - 2] == " ":
                     break
-            if not (tail.isascii() and tail.isalnum()):
+            if not (tail.isascii() and tail.isalnum()) or inside[j]:
                 continue
             if blanks and not DIGIT_LED.match(text, borders[j - 1]):
                 break  # words after a blank belong to no kind
-            if TRIGGER.search(text, borders[i], borders[j]):
-                segments.append((i, j, features(text, borders[i], borders[j], j - i)))
-    segments.sort(key=lambda s: s[1])
-    return borders, segments
+            if DIGIT_OR_AT.search(text, borders[i], borders[j]) or led and not blanks or j == i + 1 and ACCESS.fullmatch(text, borders[i], borders[j]):
+                segments[i, j] = features(text, borders[i], borders[j], j - i)
+    for s, e in runs:  # as they are, up to their last letter or digit
+        i, j = bisect_left(borders, s), bisect_left(borders, e)
+        if (i, j) not in segments and all(islice(free, i, j)) and (DIGIT_OR_AT.search(text, s, e) or keyed(text, s)):
+            segments[i, j] = features(text, s, e, j - i)
+    return borders, [(i, j, on) for (i, j), on in sorted(segments.items(), key=lambda x: (x[0][1], x[0][0]))]
 
 
 DIGIT_LED = re.compile(r"[0-9]")
+#: What may stand between the letters and digits of a segment.
+WITHIN = "@._%+-() /~"
 
 
-def viterbi(n: int, segments: list, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation of n tokens: (first token, end token, kind). A token in no segment scores 0."""
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
+def viterbi(n: int, segments: list, weights: np.ndarray, steps: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation of n tokens: (first token, end token, kind). A token in no segment scores 0.
+
+    ``steps``: score of a label after another, NONE among them; the state of a border is the label of what ends there.
+    """
+    best = np.full((n + 1, NONE + 1), -np.inf)
+    best[0, NONE] = 0
+    back = np.zeros((n + 1, NONE + 1, 2), np.int64)  # border and label before
+    reach, come = np.empty((n + 1, NONE + 1)), np.empty((n + 1, NONE + 1), np.int64)
+    used = {i for i, _, _ in segments}
     at = 0
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        while at < len(segments) and segments[at][1] == j:
-            i, _, on = segments[at]
-            scores = weights[:, on].sum(1)
-            kind = int(scores.argmax())
-            if best[i] + scores[kind] > best[j]:
-                best[j], back[j] = best[i] + scores[kind], (i, kind)
-            at += 1
-    found, j = [], n
+    for j in range(n + 1):
+        if j:
+            best[j, NONE], back[j, NONE] = reach[j - 1, NONE], (j - 1, come[j - 1, NONE])
+            while at < len(segments) and segments[at][1] == j:
+                i, _, on = segments[at]
+                total = reach[i, :NONE] + weights[:, on].sum(1)
+                better = np.flatnonzero(total > best[j, :NONE])
+                best[j, better], back[j, better, 0], back[j, better, 1] = total[better], i, come[i, better]
+                at += 1
+        if j in used or np.isfinite(best[j, :NONE]).any():
+            all_steps = best[j][:, None] + steps
+            come[j] = all_steps.argmax(0)
+            reach[j] = all_steps.max(0)
+        else:  # only NONE can end here
+            come[j], reach[j] = NONE, best[j, NONE] + steps[NONE]
+    found, j, label = [], n, int(best[n].argmax())
     while j:
-        if back[j] is None:
-            j -= 1
-        else:
-            i, kind = back[j]
-            found.append((i, j, kind))
-            j = i
+        i, before = back[j, label]
+        if label != NONE:
+            found.append((int(i), j, label))
+        j, label = int(i), int(before)
     return found[::-1]
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Where to look: around digits and @, merged, not cutting a run of letters and digits."""
+    """Where to look: around triggers, merged, not cutting a run of letters and digits; every character is passed once."""
     found: list[list[int]] = []
-    for m in TRIGGER_RUN.finditer(text):
-        low, high = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if found and low <= found[-1][1]:
+    for m in TRIGGER.finditer(text):
+        if m[0] in "=:" and not keyed(text, m.end()):
+            continue
+        done = found[-1][1] if found else 0
+        high = min(len(text), m.end() + AROUND)
+        if high <= done:
+            continue
+        low = max(0, m.start() - AROUND)
+        while low > done and _ascii(text[low - 1]) and _ascii(text[low]):
+            low -= 1
+        if high < len(text) and _ascii(text[high - 1]):
+            high = ALNUM.match(text, high).end()
+        if found and low <= done:
             found[-1][1] = high
         else:
             found.append([low, high])
-    for r in found:
-        while r[0] > 0 and text[r[0] - 1].isalnum() and text[r[0]].isalnum():
-            r[0] -= 1
-        while r[1] < len(text) and text[r[1] - 1].isalnum() and text[r[1]].isalnum():
-            r[1] += 1
     return [(a, b) for a, b in found]
 
 
-TRIGGER_RUN = re.compile(r"[0-9@]+")
+def _ascii(c: str) -> bool:
+    return c.isascii() and c.isalnum()
 
 
-def find(text: str, weights: np.ndarray) -> list[tuple[int, int, int, bool]]:
+def find(text: str, model: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int, bool]]:
     """(start, kind number, end, base) of all spans, sorted."""
-    if not TRIGGER.search(text):
-        return []
-    base = rule_spans(text)
+    base = rule_spans(text) if DIGIT_OR_AT.search(text) else []
     found = [(*s, True) for s in base]
     held = 0
     for low, high in regions(text):
@@ -232,7 +284,7 @@ def find(text: str, weights: np.ndarray) -> list[tuple[int, int, int, bool]]:
                 break
             blocked.append((s, e))
         borders, segments = lattice(text, low, high, blocked)
-        found += [(borders[i], kind, borders[j], False) for i, j, kind in viterbi(len(borders) - 1, segments, weights)] if segments else []
+        found += [(borders[i], kind, borders[j], False) for i, j, kind in viterbi(len(borders) - 1, segments, *model)] if segments else []
     return sorted(set(found))
 
 
@@ -258,11 +310,18 @@ def sentences(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int
             return "", card(True), 2
         if kind == 3:
             return "", r.choice([f"+1 ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+49 {num(3)} {num(7)}"]), 3
-        if r.random() < 0.4:
-            return "", "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16)), 4
+        x = r.random()
+        if x < 0.3:
+            return "", "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" if x < 0.2 else "ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=16)), 4
+        if x < 0.45:
+            return r.choice(["password=", "secret=\"", "pwd='", "token=", "api_key="]), "".join(r.choices("aeiourstnlhdmkvbg", k=r.randint(8, 28))), 4
+        if x < 0.6:
+            return r.choice(["key: ", "token: ", "secret = ", "api_key=", "password: ", ""]), ".".join("".join(r.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789_-", k=r.randint(30, 70))) + "k7" for _ in range(r.choice([1, 1, 3]))), 4
+        if x < 0.7:
+            return r.choice(["key: ", "sha=", ""]), "".join(r.choices("0123456789abcdef", k=r.choice([64, 128]))), 4
         return r.choice(["password=", "token = \"", "api_key: ", "secret="]), num(1) + "".join(r.choices("0123456789abcdef", k=r.randint(15, 39))), 4
 
-    plain = lambda: r.choice([num(r.randint(1, 6)), num(16), card(False), f"{num(4)}-0{num(1)}-1{num(1)}", f"{num(1)}.{num(1)}", f"{num(3)}.{num(3)}.{num(3)}.{400 + r.randrange(500)}", f"{num(2)}%", f"{num(3)} {num(3)}", word() + num(2), "@" + word(), num(24), f"{num(2)}:{num(2)}"])
+    plain = lambda: r.choice([num(r.randint(1, 6)), num(16), card(False), f"{num(4)}-0{num(1)}-1{num(1)}", f"{num(1)}.{num(1)}", f"{num(3)}.{num(3)}.{num(3)}.{400 + r.randrange(500)}", f"{num(2)}%", f"{num(3)} {num(3)}", word() + num(2), "@" + word(), f"{r.choice(['key', 'token', 'secret', 'password'])}: {word()}{r.choice([word(), ''])}", f"key={word()[:7]}", f"the {r.choice(['key', 'token', 'password'])} {word()}", f"{word()}{word()}{word()}{word()}", f"https://{word()}.org/{word()}/{word()}-{word()}/{num(4)}", num(24), f"{num(2)}:{num(2)}"])
     made = []
     for _ in range(n):
         text, spans = "", []
@@ -278,8 +337,17 @@ def sentences(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int
     return made
 
 
-def fit(n: int = 240, rounds: int = 25, rate: float = 0.5) -> np.ndarray:
-    """Weights (kind, feature) by gradient ascent on the conditional log-likelihood of ``sentences``, with forward and backward sums."""
+def _sum(x: np.ndarray, axis: int) -> np.ndarray:
+    most = x.max(axis, keepdims=True)
+    most = np.where(np.isfinite(most), most, 0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - most).sum(axis)) + most.squeeze(axis)
+
+
+@cache
+def fit(n: int = 200, rounds: int = 20, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (kind, feature) and steps (label, label after it) by gradient ascent on the conditional log-likelihood of
+    ``sentences``, with forward and backward sums; fitted once in a process."""
     data = []
     for text, spans in sentences(n):
         borders, segments = lattice(text, 0, len(text), [])
@@ -287,53 +355,69 @@ def fit(n: int = 240, rounds: int = 25, rate: float = 0.5) -> np.ndarray:
         on = np.zeros((len(segments), N_FEATURES))
         for k, (_, _, f) in enumerate(segments):
             on[k, f] = 1
-        data.append((len(borders) - 1, [s[:2] for s in segments], on, [(at[s, e], kind) for s, kind, e in spans if (s, e) in at]))
-    weights, memory = np.zeros((len(KINDS), N_FEATURES)), np.full((len(KINDS), N_FEATURES), 1e-6)
+        gold = {segments[at[s, e]][0]: (at[s, e], segments[at[s, e]][1], kind) for s, kind, e in spans if (s, e) in at}
+        path, j = [], 0
+        while j < len(borders) - 1:
+            _, j, label = gold.get(j, (None, j + 1, NONE))
+            path.append(label)
+        data.append((len(borders) - 1, [s[:2] for s in segments], on, [(k, kind) for k, _, kind in gold.values()], path))
+    shapes = (NONE, N_FEATURES), (NONE + 1, NONE + 1)
+    weights, steps = (np.zeros(s) for s in shapes)
+    memory = [np.full(s, 1e-6) for s in shapes]
     weights[:, 0] = -2
     for _ in range(rounds):
-        slope = -0.02 * weights
-        for n_tokens, ends, on, gold in data:
+        slopes = [-0.02 * weights, -0.02 * steps]
+        for n_tokens, ends, on, gold, path in data:
             scores = on @ weights.T
-            total = np.logaddexp.reduce(scores, axis=1)
-            forward, backward = np.zeros(n_tokens + 1), np.zeros(n_tokens + 1)
-            at = 0
-            for j in range(1, n_tokens + 1):
-                forward[j] = forward[j - 1]
-                while at < len(ends) and ends[at][1] == j:
-                    forward[j] = np.logaddexp(forward[j], forward[ends[at][0]] + total[at])
-                    at += 1
-            by_start = sorted(range(len(ends)), key=lambda k: -ends[k][0])
-            at = 0
+            ending: list[list[int]] = [[] for _ in range(n_tokens + 1)]
+            starting: list[list[int]] = [[] for _ in range(n_tokens + 1)]
+            for k, (i, j) in enumerate(ends):
+                starting[i].append(k)
+                ending[j].append(k)
+            forward = np.full((n_tokens + 1, NONE + 1), -np.inf)  # up to a border, by the label of what ends there
+            into = np.empty((n_tokens + 1, NONE + 1))  # ... by the label of what starts there
+            forward[0, NONE] = 0
+            for j in range(n_tokens + 1):
+                if j:
+                    forward[j, NONE] = into[j - 1, NONE]
+                    if ending[j]:
+                        forward[j, :NONE] = _sum(np.array([into[ends[k][0], :NONE] + scores[k] for k in ending[j]]), 0)
+                into[j] = _sum(forward[j][:, None] + steps, 0) if ending[j] else forward[j, NONE] + steps[NONE]
+            backward, start = np.zeros((n_tokens + 1, NONE + 1)), np.full((n_tokens + 1, NONE + 1), -np.inf)
             for i in range(n_tokens - 1, -1, -1):
-                backward[i] = backward[i + 1]
-                while at < len(by_start) and ends[by_start[at]][0] == i:
-                    backward[i] = np.logaddexp(backward[i], total[by_start[at]] + backward[ends[by_start[at]][1]])
-                    at += 1
+                start[i, NONE] = backward[i + 1, NONE]
+                if starting[i]:
+                    start[i, :NONE] = _sum(np.array([scores[k] + backward[ends[k][1], :NONE] for k in starting[i]]), 0)
+                backward[i] = _sum(steps + start[i][None, :], 1) if starting[i] else steps[:, NONE] + start[i, NONE]
+            total = backward[0, NONE]
             if len(ends):
                 i, j = np.array(ends).T
-                chance = np.exp(forward[i][:, None] + scores + backward[j][:, None] - forward[-1])
-                slope -= chance.T @ on
+                slopes[0] -= np.exp(into[i, :NONE] + scores + backward[j, :NONE] - total).T @ on
+            slopes[1] -= np.exp(forward[:-1, :, None] + steps[None] + start[:-1, None, :] - total).sum(0)
             for k, kind in gold:
-                slope[kind] += on[k]
-        memory += slope**2
-        weights += rate * slope / np.sqrt(memory)
-    return weights
+                slopes[0][kind] += on[k]
+            for a, b in zip([NONE, *path], path, strict=False):
+                slopes[1][a, b] += 1
+        for x, slope, m in zip((weights, steps), slopes, memory, strict=True):
+            m += slope**2
+            x += rate * slope / np.sqrt(m)
+    return weights, steps
 
 
 def spans(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` and ``spans``: ARRAY<STRUCT<kind, start, end, base>> by start, then kind as in KINDS; code points, end exclusive."""
-    weights = fit()
-    one = lambda value: ([{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, k, e, b in find(value, weights)],)
+    model = fit()
+    one = lambda value: ([{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, k, e, b in find(value, model)],)
     return with_python(df, text, [("spans", "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")], lambda: one)
 
 
 def redacted(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every span in ``text`` replaced by its kind, as ``[EMAIL]``; overlapping spans are replaced together by the first's. Null becomes empty."""
-    weights = fit()
+    model = fit()
 
     def one(value: str) -> tuple[str]:
         out, done = [], 0
-        for start, kind, end, _ in find(value, weights):
+        for start, kind, end, _ in find(value, model):
             if start >= done:
                 out += [value[done:start], f"[{KINDS[kind].upper()}]"]
             done = max(done, end)

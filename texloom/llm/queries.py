@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, embedding_dedup, html_blocks, jaccard, license_scan, packing, pii, quality_model, quality_rules
-from .common import nonnull_text, small_batches, table
+from .common import nonnull_text, table
 from .oracle import ORACLE_SQL  # noqa: F401  (with the queries, for the entry point)
 
 
@@ -18,7 +18,6 @@ def vocabulary(name: str) -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every whole text, as digests."""
-    small_batches(spark)
     path = vocabulary("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", nonnull_text().alias("text"))
     coded = bpe.encode(docs, path).select("doc_id", "ids")
@@ -32,7 +31,6 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and covered licence templates of every whole text."""
-    small_batches(spark)
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     labels = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     return found.select(
@@ -49,13 +47,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate texts: classes, links, and which text stays."""
-    small_batches(spark)
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed to sequences of 4096 tokens."""
-    small_batches(spark)
     return packing.sequences(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json")).select(
         "doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset"
     )
@@ -82,13 +78,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    small_batches(spark, 500)
     return html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text; labels only of rows that are not held out."""
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
     return quality_model.scored(docs, model).select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -107,7 +101,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: counts and digest of the rule spans, and all spans."""
-    small_batches(spark)
     found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s.base)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
