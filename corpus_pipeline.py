@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texloom.llm import jaccard, packing, pii, quality_model, quality_rules
-from texloom.llm.common import small_batches, table
+from texloom.llm.common import table
 from texloom.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,27 +26,23 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the compression classifier does not reject; it learns from the labelled rows of the whole table."""
-    small_batches(spark)
     model = quality_model.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_model.scored(docs.select(*COLUMNS), model).where(F.col("score") >= LEAST_SCORE).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One text of each class of near-duplicates, that of the smallest id."""
-    small_batches(spark)
     gone = jaccard.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind; n_chars follows."""
-    small_batches(spark)
     return pii.redacted(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their place in sequences, with their ids."""
-    small_batches(spark)
     return packing.sequences(docs.select("doc_id", "text"), vocabulary("word_bpe_49k.json"), with_ids=True)
 
 
