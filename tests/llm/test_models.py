@@ -1,6 +1,7 @@
 """The block labeller and the quality classifier on rows they have not seen, and the pipeline stage by stage."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -20,7 +21,7 @@ def test_labeller_on_unseen_pages(labeller):
     for page, labels in html_blocks.generated(150, 99):
         found = html_blocks.blocks(page)
         assert len(found) == len(labels)
-        right += (labeller.label([html_blocks.vectors(found)])[0] == np.array(labels)).sum()
+        right += (labeller.label([found])[0] == np.array(labels)).sum()
         total += len(labels)
     assert right / total > 0.985
 
@@ -50,6 +51,64 @@ def test_blocks():
         html_blocks.blocks(odd)
 
 
+def unlike(n, seed):
+    """Pages of layouts that the labeller was not fitted to: (page, texts of the article)."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices(["ka", "lo", "mu", "ter", "vin", "os", "qua", "b"], k=r.randint(1, 4)))
+    text = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
+    for _ in range(n):
+        good = [text(2, 8), *(text(8, 90) + "." for _ in range(r.randint(2, 9)))]
+        body = f"<H2 title=it's>{good[0]}</H2>" + "".join(f"<P align=left>{x}" + r.choice(["</P>", ""]) for x in good[1:])
+        menu = "<DIV CLASS=topnav>" + " | ".join(f"<A HREF=/{word()}>{word()}</A>" for _ in range(6)) + "</DIV>"
+        side = f'<div class="sidebar-left widget"><h4>{text(1, 2)}</h4><ol>' + "".join(f"<li><a href='{word()}'>{text(1, 4)}</a>" for _ in range(5)) + "</ol></div>"
+        note = f'<section id="comments-area"><h3>{text(1, 3)}</h3><div class="comment-body"><p>{text(5, 50)}.</p></div></section>'
+        foot = f"<footer role=contentinfo><span>&copy; {text(2, 8)}</span></footer>"
+        shape = r.randrange(4)
+        if shape == 0:
+            page = f"<html><title>{word()}</title><body>{menu}<td class=story>{body}</td>{side}{foot}"
+        elif shape == 1:
+            page = f"<div id=outer>{menu}<div class=columns><div class=col-8>{body}</div><div class=col-4>{side}</div></div>{note}{foot}</div>"
+        elif shape == 2:
+            page = body
+        else:
+            page = f"<body><main role=main><div><div>{body}</div></div>{note}</main><aside>{side}</aside>{foot}</body>"
+        yield page, good
+
+
+def test_labeller_on_other_layouts(labeller):
+    right = wrong = missed = 0
+    for page, good in unlike(200, 5):
+        found = html_blocks.blocks(page)
+        kept = [b[0] for b, on in zip(found, labeller.label([found])[0], strict=True) if on]
+        right += len(set(kept) & set(good))
+        wrong += len(set(kept) - set(good))
+        missed += len(set(good) - set(kept))
+    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
+
+
+def test_pages_without_a_container(labeller):
+    def texts(page):
+        found = html_blocks.blocks(page)
+        return [b[0] for b, on in zip(found, labeller.label([found])[0], strict=True) if on]
+
+    assert texts("<p>First <a title=it's href=x>link</a> para text.</p>") == ["First link para text."]
+    assert texts("<p>Only a plain paragraph of some words, with nothing around it.</p>") == ["Only a plain paragraph of some words, with nothing around it."]
+    assert texts("A page of plain text, without any markup at all.") == ["A page of plain text, without any markup at all."]
+    assert texts("<nav><a href=x>Home</a></nav><p>The words of the article stand here.</p><footer>&copy; us</footer>") == ["The words of the article stand here."]
+
+
+def test_long_pages_in_parts(labeller):
+    found = html_blocks.blocks("".join(page for page, _ in unlike(60, 9)))
+    assert (labeller.label_long(found, 50) == labeller.label([found])[0]).all() and len(found) > 500
+
+
+@pytest.mark.parametrize("part", ["<script ", "<a ", "<div class=a>a", "<", "<p>", "<i>x", "<!--", "<a x='<b y=\"", "<svg><p>", "<li><b>", "</i><b>"])
+def test_cutting_takes_time_in_proportion(part):
+    began = time.process_time()
+    html_blocks.blocks(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 10
+
+
 def test_pages(spark, sf_dir, labeller):
     from texloom.llm.queries import op6_html_blocks
 

@@ -17,6 +17,7 @@ import html as entities
 import random
 import re
 from collections.abc import Iterator
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -30,15 +31,12 @@ from .common import slices
 PATHS, WORDS, SIZES, HIDDEN = 160, 32, 8, 16
 INPUTS = PATHS + WORDS + SIZES
 
-SKIPPED = "script|style"
-MARKUP = re.compile(
-    r"<!--(?:.*?-->|.*)"
-    rf"|<(?P<raw>{SKIPPED})\b[^>]*>(?:.*?</(?P=raw)\s*>|.*)"
-    r"|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<more>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>",
-    re.S | re.I,
-)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: A tag's name, and one attribute: its name and its value in either quotes or bare, where a quote is a character like any other.
+TAG = re.compile(r"</?[A-Za-z][^\s/>]*+")
+ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+REST = re.compile(r"[\s/]*+")
+#: Elements whose content is no markup, and how they end.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style")}
 NAME = re.compile(r"[A-Za-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math svg object canvas iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,23 +49,72 @@ HEAD = frozenset("html head title base link meta template noscript bgsound basef
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr",)), "th": ("td", ("tr",)), "option": ("option", ("select",)), "body": ("head", ())}
 
 
-def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path names, characters inside links) of the page's blocks in order."""
-    found: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+def markup(html: str) -> Iterator[tuple[int, int, str, bool, str, bool]]:
+    """(start, end, name, whether an end tag, names in its class, id and role, whether it ends in a slash) of every tag in
+    order; name is empty for comments, declarations, and the content of RAW elements.
+
+    One pass: a comment, a RAW element or a tag that is never closed goes to the end of the page, as in browsers.
+    """
+    n, at = len(html), html.find("<")
+    while at >= 0:
+        m = TAG.match(html, at)
+        if m is None:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 2)
+                end = n if end < 0 else end + 3
+            elif html.startswith(("<!", "<?", "</"), at):
+                end = html.find(">", at)
+                end = n if end < 0 else end + 1
+            else:  # a character of the text
+                at = html.find("<", at + 1)
+                continue
+            yield at, end, "", False, "", False
+        else:
+            closing = html[at + 1] == "/"
+            name = m[0][1 + closing :].lower()
+            end, classes = m.end(), []
+            while a := ATTRIBUTE.match(html, end):
+                end = a.end()
+                if a[1].lower() in ("class", "id", "role"):
+                    classes.append(a[2] or a[3] or a[4] or "")
+            end = REST.match(html, end).end()
+            slash = html[end - 1] == "/"
+            end = min(n, end + 1)
+            yield at, end, name, closing, " ".join(classes), slash
+            if name in RAW and not closing:
+                m = RAW[name].search(html, end)
+                stop = m.start() if m else n
+                yield end, stop, "", False, "", False
+                end = stop
+        at = html.find("<", end)
+
+
+def blocks(html: str) -> list[tuple[str, int, int]]:
+    """(text, path, characters inside links) of the page's blocks in order; ``path`` has a bit for each slot of a name of the open elements.
+
+    The open elements are kept in a stack, with the places of each kind in it, so a tag costs no more than what it closes.
+    """
+    found: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, list[int]]] = []
+    where: dict[str, list[int]] = {}  # places of the open elements of a kind; "" those that are not inline
+    often = [0] * PATHS
     parts: list[str] = []
-    linked = links = hidden = done = 0
-    path: tuple[str, ...] = ()
+    linked = done = bits = path = 0
+
+    def inside(tag: str) -> int:
+        """The place of the last open element of this kind, or -1."""
+        places = where.get(tag)
+        return places[-1] if places else -1
 
     def add(raw: str) -> None:
         nonlocal path, linked
-        if hidden and stack[-1][0] == "head" and raw.strip():
+        if stack and stack[-1][0] == "head" and raw.strip():
             close(len(stack) - 1)
-        if not hidden:
+        if inside("head") < 0 and inside("title") < 0:
             if not parts and raw.strip():
-                path = tuple(n for _, names in stack for n in names)
+                path = bits
             parts.append(raw)
-            if links:
+            if inside("a") >= 0:
                 linked += len(raw)
 
     def flush() -> None:
@@ -80,26 +127,30 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
         linked = 0
 
     def close(at: int) -> None:
-        nonlocal links, hidden
-        for tag, _ in stack[at:]:
-            links -= tag == "a"
-            hidden -= tag in ("head", "title")
-        del stack[at:]
-
-    for m in MARKUP.finditer(html):
-        if m.start() > done:
-            add(html[done : m.start()])
-        done = m.end()
-        tag = m["tag"]
-        if tag is None:
+        nonlocal bits
+        while len(stack) > at:
+            tag, slots = stack.pop()
+            where[tag].pop()
+            if not is_inline(tag):
+                where[""].pop()
+            for k in slots:
+                often[k] -= 1
+                if not often[k]:
+                    bits ^= 1 << k
+
+    for start, end, tag, closing, classes, slash in markup(html):
+        if start > done:
+            add(html[done:start])
+        done = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if hidden and tag not in HEAD and not m["end"] and stack[-1][0] in ("head", "noscript"):
-            close(next(k for k in range(len(stack)) if stack[k][0] == "head"))
-        foreign = next((k for k, (t, _) in enumerate(stack) if t in FOREIGN), None)
-        if foreign is not None and tag not in FOREIGN:
-            if m["end"]:
-                if any(t == "*" + tag for t, _ in stack[foreign:]):
+        head = inside("head")
+        if head >= 0 and tag not in HEAD and not closing and stack[-1][0] in ("head", "noscript"):
+            close(head)
+        foreign = min((where[t][0] for t in FOREIGN if where.get(t)), default=-1)
+        if foreign >= 0 and tag not in FOREIGN:
+            if closing:
+                if inside("*" + tag) >= foreign:
                     tag = "*" + tag
             elif tag in BREAKS:
                 close(foreign)
@@ -108,44 +159,44 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
         if tag == "br":
             parts.append(" ")
             continue
-        inline = tag in INLINE or tag[0] == "*"
+        inline = is_inline(tag)
         if not inline:
             flush()
-        if m["end"]:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if at is not None and (not inline or not any(t not in INLINE and t[0] != "*" for t, _ in stack[at:])):
+        if closing:
+            at = inside(tag)
+            if at >= 0 and (not inline or at > inside("")):
                 close(at)
             continue
-        if tag in VOID or m["more"].endswith("/") and (tag in EMPTY or tag[0] == "*"):
+        if tag in VOID or slash and (tag in EMPTY or tag[0] == "*"):
             continue
         if not inline:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-            other, until = CLOSES.get(tag, (None, ()))
-            if other:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in (tag, other):
-                        close(k)
-                        break
-                    if stack[k][0] in until:
-                        break
-        more = m["more"]
-        names = (tag.lstrip("*"),) if tag not in ("html", "body") else ()
-        if "=" in more:
-            names += tuple("." + w.lower() for n in NAMED.findall(more) for w in NAME.findall(n[0] or n[1] or n[2]))
-        stack.append((tag, names))
-        links += tag == "a"
-        hidden += tag in ("head", "title")
+            if inside("p") >= 0 and inside("p") == inside(""):
+                close(inside("p"))
+            if tag in CLOSES:
+                other, until = CLOSES[tag]
+                at = max(inside(tag), inside(other))
+                if at > max((inside(t) for t in until), default=-1):
+                    close(at)
+        slots = []
+        for name in [] if tag in ("html", "body") else [tag.lstrip("*"), *("." + w.lower() for w in NAME.findall(classes))]:
+            k = slot(name) % PATHS
+            slots.append(k)
+            often[k] += 1
+            bits |= 1 << k
+        where.setdefault(tag, []).append(len(stack))
+        if not inline:
+            where.setdefault("", []).append(len(stack))
+        stack.append((tag, slots))
     if done < len(html):
         add(html[done:])
     flush()
     return found
 
 
+def is_inline(tag: str) -> bool:
+    return tag in INLINE or tag[0] == "*"
+
+
 _slot: dict[str, int] = {}
 
 
@@ -158,17 +209,17 @@ def slot(name: str) -> int:
     return found
 
 
-def vectors(page: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
-    """A row for each block."""
-    out = np.zeros((len(page), INPUTS), np.float32)
-    for k, (text, path, linked) in enumerate(page):
-        for name in path:
-            out[k, slot(name) % PATHS] = 1
+def vectors(page: list[tuple[str, int, int]], begin: int = 0, end: int | None = None) -> np.ndarray:
+    """A row for each block, or for those from ``begin`` to ``end``."""
+    last, some = len(page) - 1, page[begin:end]
+    out = np.zeros((len(some), INPUTS), np.float32)
+    for k, (text, path, linked) in enumerate(some):
+        out[k, :PATHS] = np.unpackbits(np.frombuffer(path.to_bytes(PATHS // 8, "little"), np.uint8), bitorder="little")
         words = text.split(" ")
         counts = np.bincount([slot(w) % WORDS for w in words], minlength=WORDS)
         out[k, PATHS : PATHS + WORDS] = counts / len(words)
         n = len(text)
-        out[k, PATHS + WORDS :] = (min(1.0, np.log1p(n) / 8), min(1.0, np.log1p(len(words)) / 6), min(1.0, linked / n), text[-1] in ".!?\"'", k == 0, k == len(page) - 1, (k + 1) / len(page), n > 200)
+        out[k, PATHS + WORDS :] = (min(1.0, np.log1p(n) / 8), min(1.0, np.log1p(len(words)) / 6), min(1.0, linked / n), text[-1] in ".!?\"'", k + begin == 0, k + begin == last, (k + begin + 1) / len(page), n > 200)
     return out
 
 
@@ -188,11 +239,11 @@ class Labeller:
             self.p["c" + d] = np.r_[np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]
         self.p["o"] = r.normal(0, 0.1, (2 * HIDDEN + INPUTS + 1,))
 
-    def run(self, x: np.ndarray, there: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States (page, block, unit) of one direction; ``there``: 1 where a page has the block."""
+    def run(self, x: np.ndarray, there: np.ndarray, d: str, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """States (page, block, unit) of one direction; ``there``: 1 where a page has the block; ``state``: where it goes on, replaced."""
         n, steps, _ = x.shape
         given = x @ self.p["x" + d] + self.p["c" + d]
-        h = c = np.zeros((n, HIDDEN))
+        h, c = state or (np.zeros((n, HIDDEN)),) * 2
         out = np.zeros((n, steps, HIDDEN))
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = given[:, t] + h @ self.p["h" + d]
@@ -205,6 +256,8 @@ class Labeller:
                 keep.append((t, h, c, i, f, o, g, s, on))
             h, c = on * o * s, new
             out[:, t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def logits(self, x: np.ndarray, there: np.ndarray) -> np.ndarray:
@@ -233,18 +286,38 @@ class Labeller:
             slopes |= {"x" + d: sx, "h" + d: sh, "c" + d: sc}
         return slopes
 
-    def label(self, pages: list[np.ndarray], together: int = 64) -> list[np.ndarray]:
-        """Whether each block of each page is text; pages of like length go together."""
+    def label(self, pages: list[list[tuple[str, int, int]]], together: int = 64, most: int = 8192) -> list[np.ndarray]:
+        """Whether each block of each page is text; pages of like length go together, at most ``most`` blocks with what pads them."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
-        for at in range(0, len(order), together):
-            some = order[at : at + together]
-            x, there = padded([pages[k] for k in some])
-            z = self.logits(x, there)
+        at = 0
+        while at < len(order):
+            if len(pages[order[at]]) > most:
+                out[order[at]] = self.label_long(pages[order[at]], most)
+                at += 1
+                continue
+            size = 1
+            while size < together and at + size < len(order) and (size + 1) * len(pages[order[at + size]]) <= most:
+                size += 1
+            some = order[at : at + size]
+            z = self.logits(*padded([vectors(pages[k]) for k in some]))
             for k, row in zip(some, z, strict=True):
                 out[k] = row[: len(pages[k])] > 0
+            at += size
         return out
 
+    def label_long(self, page: list[tuple[str, int, int]], most: int) -> np.ndarray:
+        """The same for one page, ``most`` blocks at a time; the states go on from one part to the next."""
+        z = np.empty(len(page))
+        weight = {"f": self.p["o"][:HIDDEN], "b": self.p["o"][HIDDEN : 2 * HIDDEN]}
+        for d in "fb":
+            state = [np.zeros((1, HIDDEN))] * 2
+            for begin in range(0, len(page), most) if d == "f" else range((len(page) - 1) // most * most, -1, -most):
+                x = vectors(page, begin, begin + most)
+                part = self.run(x[None], np.ones((1, len(x))), d, state=state)[0] @ weight[d]
+                z[begin : begin + most] = part + x @ self.p["o"][2 * HIDDEN : -1] + self.p["o"][-1] if d == "f" else z[begin : begin + most] + part
+        return z > 0
+
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     x, there = np.zeros((len(pages), max(map(len, pages)), INPUTS)), np.zeros((len(pages), max(map(len, pages))))
@@ -322,22 +395,37 @@ def generated(n: int, seed: int = 11) -> Iterator[tuple[str, list[bool]]]:
                 out.append(junk())
         return "".join(out)
 
+    def sentence() -> str:
+        labels.append(True)
+        return phrase(3, 80) + r.choice([".", ".", ""])
+
+    name = lambda: "".join(r.choices("bcdfgklmnprstvz", k=r.randint(3, 7)))
     for _ in range(n):
         labels.clear()
-        out = ["<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>"]
+        x = r.random()
+        if x < 0.03:  # nothing but text
+            yield sentence(), list(labels)
+            continue
+        if x < 0.08:  # an article and nothing else
+            yield prose() if x < 0.055 else "".join(block("p", phrase(3, 80) + ".", True) for _ in range(r.randint(1, 4))), list(labels)
+            continue
+        out = [r.choice(["<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>"] * 4 + ["<html><body>", "<title>x</title>"])]
+        opened, closed = r.choice([("", "")] * 4 + [(f"<div class={name()}>", "</div>"), (f'<div id="{name()}"><div class="{name()} {name()}">', "</div></div>"), ('<div id="wrapper">', "</div>"), ("<table><tr><td>", "</td></tr></table>")])
+        out.append(opened)
         if r.random() < 0.4:
             out.append(head())
         out += [junk() for _ in range(r.randint(0, 3))]
-        opened, closed = r.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"), ('<div class="post-body entry">', "</div>"), ('<section class="story text">', "</section>"), ('<article class="post">', "</article>"), ("<div>", "</div>")])
-        out += [opened, prose(), closed]
+        inner, outer = r.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"), ('<div class="post-body entry">', "</div>"), ('<section class="story text">', "</section>"), ('<article class="post">', "</article>"), ("<div>", "</div>"), ("", ""), ("", ""), (f'<div class="{name()}">', "</div>"), (f'<div id="{name()}"><div>', "</div></div>"), (f"<section class={name()}>", "</section>")])
+        out += [inner, prose(), outer]
         out += [junk() for _ in range(r.randint(0, 3))]
         if r.random() < 0.7:
             out.append(foot())
-        yield "".join(out) + "</body></html>", list(labels)
+        yield "".join(out) + closed + r.choice(["</body></html>", ""]), list(labels)
 
 
-def fit(n: int = 500, rounds: int = 10, rate: float = 0.01, batch: int = 25) -> Labeller:
-    """A labeller fitted to generated pages with Adam."""
+@cache
+def fit(n: int = 1500, rounds: int = 10, rate: float = 0.01, batch: int = 25) -> Labeller:
+    """A labeller fitted to generated pages with Adam, once in a process."""
     pages = [(vectors(found), np.array(labels, float)) for text, labels in generated(n) if len(found := blocks(text)) == len(labels)]
     model, r = Labeller(), random.Random(5)
     first, second, step = {k: 0 for k in model.p}, {k: 0 for k in model.p}, 0
@@ -368,7 +456,7 @@ def extract(pages: DataFrame, html: str = "html", model: Labeller | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             cut = [blocks(v.as_py()) for v in batch.column(batch.num_columns - 1)]
-            good = held.value.label([vectors(c) for c in cut])
+            good = held.value.label(cut)
             texts = ["\n\n".join(b[0] for b, on in zip(c, g, strict=True) if on) for c, g in zip(cut, good, strict=True)]
             added = [pa.array(texts, pa.string()), pa.array([len(c) for c in cut], pa.int64()), pa.array([int(g.sum()) for g in good], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], [*(f.name for f in keep), *names])
