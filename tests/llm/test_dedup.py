@@ -132,6 +132,37 @@ def test_shingles_of_long_and_odd_texts(odd, monkeypatch):
     assert jaccard.near_duplicates(odd).count() == odd.count()
 
 
+def test_repeated_and_null_ids(spark):
+    """One id on different texts, ids that are null, and rows repeated whole: links depend on the texts alone."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, words(1)), (1, words(2)), (2, words(1) + " end"), (None, words(3)), (None, words(3) + " end"), (None, words(2) + " end"), (7, words(7)), (7, words(7)), (8, words(7)), (None, None), (9, " ")]
+    got = sorted(((x.doc_id or 0, x.class_id or 0, x.n_links) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (0, 0, 1), (0, 0, 1), (0, 1, 1), (7, 7, 2), (7, 7, 2), (8, 7, 2), (0, 0, 0), (9, 9, 0)])
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_hot_keys_are_matched_whole(spark, few):
+    rows = spark.range(300).select(F.when(F.col("id") < 200, 1).otherwise(F.col("id") % 20).alias("k"), "id")
+    sizes = rows.groupBy("k").agg(F.count("id").alias("n"))
+    got = sorted(tuple(r) for r in C.matched(rows, sizes, ["k"], hot=50, few=few).select("k", "id", "n").collect())
+    assert got == sorted(tuple(r) for r in rows.join(sizes, "k").select("k", "id", "n").collect()) and len(got) == 300
+
+
+def test_repeated_ids_of_embeddings(spark):
+    """Different vectors of one id, and of one id in two labels, are vectors of their own."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (1, [1.0, 0.0], 1), (4, [1.0, -0.0], 0), (4, [1.0, -0.0], 0)]
+    got = sorted((x.vec_id, x.component_id, x.n_links) for x in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == sorted([(1, 1, 3), (1, 1, 1), (2, 1, 3), (3, 1, 1), (1, 1, 0), (4, 1, 3), (4, 1, 3)])
+
+
+def test_chain_of_near_misses(spark):
+    """Each text is near the next, none to the one after it; the least id reaches along the whole chain."""
+    n = 400
+    rows = [(i, " ".join(f"w{j}" for j in range(5 * i, 5 * i + 60))) for i in range(n)]
+    got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (0, 1 if i in (0, n - 1) else 2) for i in range(n)}
+
+
 @pytest.mark.parametrize("block", [16, 1024])
 def test_embeddings(spark, block):
     r = np.random.default_rng(4)

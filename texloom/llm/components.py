@@ -15,6 +15,27 @@ from pyspark.sql import functions as F
 from .common import saved
 
 
+#: Rows of a key from which on it counts as hot, hot keys that are broadcast at most (some 50 bytes each), and salts beyond that.
+HOT, FEW, SALTS = 10_000, 200_000, 32
+
+
+def matched(rows: DataFrame, small: DataFrame, keys: list[str], size: str = "n", hot: int = HOT, few: int = FEW) -> DataFrame:
+    """``rows`` joined with ``small``, which has one row for each key and in ``size`` the number of the key's rows.
+
+    The rows of hot keys stay where they are: what ``small`` has for these keys is broadcast after a count, or, if they are
+    too many for that, all of it is salted. Both tables are read more than once.
+    """
+    known = saved(small.where(F.col(size) > hot))
+    n = known.count()
+    if not n:
+        return rows.join(small, keys)
+    if n <= few:
+        rest = rows.join(F.broadcast(known.select(*keys)), keys, "left_anti")
+        return rows.join(F.broadcast(known), keys).unionByName(rest.join(small.where(F.col(size) <= hot), keys))
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(copies, [*keys, "__salt"]).drop("__salt")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node reachable, for every node that has a link to another; nulls and loops are left out.
 
@@ -29,10 +50,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = saved(matched(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = matched(large, least, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
 
@@ -41,11 +62,11 @@ def dealt(rows: DataFrame, group: str, node: str, block: int) -> DataFrame:
 
     A group of more than ``block`` rows is cut to parts by the hash of ``node``; a task has one part, or two parts whose
     rows are compared across only, even if one of them turns out empty. So no task gets more than about two blocks, and every row goes to as many tasks as its
-    group has parts.
+    group has parts. The rows of a group that is cut are not gathered for it. ``rows`` is read more than once.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    sizes = saved(rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
     parts = F.ceil(F.col("__n") / block).cast("int")
-    met = rows.join(sizes, group).withColumn("part", F.pmod(F.xxhash64(node, F.lit(7)), parts).cast("int"))
+    met = matched(rows, sizes, [group], "__n", block).withColumn("part", F.pmod(F.xxhash64(node, F.lit(7)), parts).cast("int"))
     other = F.explode(F.sequence(F.lit(0), parts - 1))
     met = met.withColumn("__other", other)
     return met.withColumn("task", F.xxhash64(group, F.least("part", "__other"), F.greatest("part", "__other"))).withColumn("across", F.col("part") != F.col("__other")).drop("__n", "__other")

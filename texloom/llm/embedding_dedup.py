@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .components import components, dealt, joined_pairs, roots, tasks
+from .components import components, dealt, joined_pairs, matched, roots, tasks
 
 #: Bits of a signature, and rows of a block.
 BITS, BLOCK = 512, 1024
@@ -135,23 +135,25 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """One row per vector: vec_id, n_links, component_id, kept."""
     e = F.col(embedding).cast("array<double>")
     fine = F.col(label).isNotNull() & F.col(vec_id).isNotNull() & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
+    same = F.transform(F.col("embedding"), lambda x: x + F.lit(0.0).cast("float"))  # no negative zeros, which are equal but have other hashes
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.when(fine, F.col(embedding)).alias("embedding"))
-    # the least id of a class is its number
-    classes = saved(rows.where("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n")))
+    rows = rows.withColumns({"a": F.xxhash64("label", same), "b": F.xxhash64(F.lit(5), same, "label")})  # 128 bits that stand for a class
+    some = rows.where("embedding is not null")
+    classes = some.groupBy("a", "b", "label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = saved(classes).withColumn("cid", F.monotonically_increasing_id())  # of a saved table: the same whenever it is read
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
     bits, tables, most = plan(largest or 0, cosine, recall)
     signatures = saved(signed(classes, bits, tables).join(classes.select("cid", "label"), "cid"))
     spread = signatures.select("cid", "label", F.posexplode("buckets").alias("t", "key")).select("cid", F.xxhash64("label", "t", "key").alias("bucket"))
     met = dealt(spread, "bucket", "cid", block).join(signatures.select("cid", "signature"), "cid")
     groups = components(candidates(met, most))
-    inside = groups.select(F.col("node").alias("cid"), F.col("root").alias("grp")).join(classes, "cid")
+    inside = saved(groups.select(F.col("node").alias("cid"), F.col("root").alias("grp")).join(classes.select("cid", "n", "embedding"), "cid"))
     found = saved(verified(dealt(inside, "grp", "cid", block), cosine))
     linked = components(found, "cid", "root").select(F.col("node").alias("cid"), "root")
-    result = classes.join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(linked, "cid", "left")
-    result = result.select(
-        F.col("label").alias("l"), F.col("embedding").alias("e"),
-        (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("component_id"),
-    )
-    both = rows.join(result, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return both.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    counted = classes.select("cid", "a", "b", "first", "n").join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(linked, "cid", "left")
+    counted = saved(counted.withColumn("comp", F.coalesce("root", "cid")))
+    first = counted.groupBy("comp").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    result = matched(counted, first, ["comp"], "size").select("a", "b", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    both = matched(some.select("vec_id", "a", "b"), saved(result), ["a", "b"]).select("vec_id", "n_links", "component_id")
+    both = both.unionByName(rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return both.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

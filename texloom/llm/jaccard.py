@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import nonnull_text, saved, slices
-from .components import components, dealt, joined_pairs, roots, tasks
+from .components import components, dealt, joined_pairs, matched, roots, tasks
 
 #: Words of a shingle, bytes of a sketch, bytes of text hashed at a time.
 SIZE, SKETCH, SEGMENT = 5, 128, 1 << 19
@@ -129,27 +129,37 @@ def runs_for(threshold: float, recall: float) -> int:
     return runs
 
 
+def halves(sets: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    return int((mixed(sets).sum() ^ np.uint64(len(sets))).astype(np.int64)), int(mixed(sets ^ np.uint64(0x5555)).sum().astype(np.int64))
+
+
+def text_key(doc_id: str, text: str):
+    """What finds a text again; null ids have one, too."""
+    return F.xxhash64(F.col(doc_id), nonnull_text(text)).alias("key")
+
+
 def sketched(docs: DataFrame, doc_id: str, text: str, runs: int) -> DataFrame:
-    """doc_id, set_a and set_b (128 bits that stand for the set; null: no words), paths (of the roots), sketch."""
+    """doc_id, key (of id and text), set_a and set_b (128 bits that stand for the set; null: no words), paths (of the roots), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             a, b, paths, sketches = [], [], [], []
-            for value in batch.column(1):
+            for value in batch.column(2):
                 sets = shingles(value.as_py())
                 if not len(sets):
                     for column in (a, b, paths, sketches):
                         column.append(None)
                     continue
                 least = minima(sets)
-                a.append(int((mixed(sets).sum() ^ np.uint64(len(sets))).astype(np.int64)))
-                b.append(int(mixed(sets ^ np.uint64(0x5555)).sum().astype(np.int64)))
+                for column, half in zip((a, b), halves(sets), strict=True):
+                    column.append(half)
                 paths.append(mixed(least[:runs] + np.arange(runs, dtype=np.uint64)).astype(np.int64).tolist())
                 sketches.append((mixed(least) & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "set_a", "set_b", "paths", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "key", "set_a", "set_b", "paths", "sketch"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, nonnull_text(text).alias("__text")).mapInArrow(run, f"doc_id {kind}, set_a long, set_b long, paths array<long>, sketch binary")
+    return docs.select(doc_id, text_key(doc_id, text), nonnull_text(text).alias("__text")).mapInArrow(run, f"doc_id {kind}, key long, set_a long, set_b long, paths array<long>, sketch binary")
 
 
 def descend(rows: DataFrame, sketches: DataFrame, leaf: int, levels: int) -> DataFrame:
@@ -159,8 +169,8 @@ def descend(rows: DataFrame, sketches: DataFrame, leaf: int, levels: int) -> Dat
     """
     leaves = []
     for level in range(levels + 1):
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = saved(rows.join(sizes, "path"))
+        sizes = saved(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        rows = saved(matched(rows, sizes, ["path"], hot=leaf))
         if level == levels:
             leaves.append(rows.select("path", "cid"))
             break
@@ -173,9 +183,10 @@ def descend(rows: DataFrame, sketches: DataFrame, leaf: int, levels: int) -> Dat
         drawn = rows.join(sketches.select("cid", "sketch"), "cid").select("path", "n", "cid", "sketch", F.explode(draws).alias("draw"))
         drawn = saved(drawn.select("path", "n", "cid", "draw", F.xxhash64("path", "draw", F.substring(F.col("sketch"), at + 1, F.lit(1))).alias("child")))
         shares = drawn.groupBy("path", "n", "draw", "child").agg(F.count(F.lit(1)).alias("k"))
-        dense = shares.groupBy("path", "n").agg(F.max("k").alias("k")).where("k > n / 2").select("path")
-        leaves.append(rows.select("path", "cid").join(dense, "path", "left_semi"))
-        rows = drawn.join(dense, "path", "left_anti").select(F.col("child").alias("path"), "cid")
+        # the large nodes, one row each; with their size as that of the key, so that none of their rows is gathered
+        dense = saved(shares.groupBy("path", "n").agg((F.max("k") > F.col("n") / 2).alias("dense")))
+        leaves.append(matched(rows.select("path", "cid"), dense, ["path"], hot=leaf).where("dense").select("path", "cid"))
+        rows = matched(drawn.select("path", "child", "cid"), dense, ["path"], hot=leaf).where("not dense").select(F.col("child").alias("path"), "cid")
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
@@ -256,29 +267,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     runs = runs_for(threshold, recall)
     rows = saved(sketched(docs, doc_id, text, runs))
-    # a class goes by the first half of its 128 bits; both halves tell classes apart
-    classes = rows.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    classes = saved(classes.select(F.xxhash64("set_a", "set_b").alias("cid"), "set_a", "set_b", "first", "n"))
-    own = rows.join(classes.select("cid", F.col("set_a").alias("ca"), F.col("set_b").alias("cb"), "first"), (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    own = saved(own.select("cid", "paths", "sketch").dropDuplicates(["cid"]))
-    leaves = descend(own.select(F.explode("paths").alias("path"), "cid"), own, LEAF, LEVELS)
-    met = dealt(leaves, "path", "cid", BLOCK).join(own.select("cid", "sketch"), "cid")
+    some = rows.where("set_a is not null")
+    # paths and sketch follow from the set, so those of any of its texts will do
+    classes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
+    classes = saved(classes).withColumn("cid", F.monotonically_increasing_id())  # of a saved table: the same whenever it is read
+    leaves = descend(classes.select(F.explode("paths").alias("path"), "cid"), classes, LEAF, LEVELS)
+    met = dealt(leaves, "path", "cid", BLOCK).join(classes.select("cid", "sketch"), "cid")
     groups = components(candidates(met, threshold, recall))
-    inside = saved(groups.select(F.col("node").alias("cid"), F.col("root").alias("grp")).join(classes.select("cid", "first", "n"), "cid"))
+    inside = saved(groups.select(F.col("node").alias("cid"), F.col("root").alias("grp")).join(classes.select("cid", "key", "set_a", "set_b", "n"), "cid"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(v.as_py()).astype("<u8").tobytes() for v in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["cid", "grp", "n", "shingles"])
-
-    whole = inside.join(docs.select(F.col(doc_id).alias("d"), nonnull_text(text).alias("t")), F.col("first") == F.col("d"))
-    sets = whole.select("cid", "grp", "n", "t").mapInArrow(sets_of, "cid long, grp long, n long, shingles binary").dropDuplicates(["cid"])
+            sets = [shingles(v.as_py()) for v in batch.column(5)]
+            # texts of other sets may have the same key
+            own = pa.array([len(s) > 0 and halves(s) == (a.as_py(), b.as_py()) for s, a, b in zip(sets, batch.column(3), batch.column(4), strict=True)], pa.bool_())
+            made = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["cid", "grp", "n", "shingles"])
+            yield made.filter(own)
+
+    whole = matched(docs.select(text_key(doc_id, text), nonnull_text(text).alias("t")), inside, ["key"]).select("cid", "grp", "n", "set_a", "set_b", "t")
+    sets = whole.mapInArrow(sets_of, "cid long, grp long, n long, shingles binary").dropDuplicates(["cid"])
     found = saved(verified(dealt(saved(sets), "grp", "cid", SET_BLOCK), threshold))
     linked = components(found, "cid", "root").select(F.col("node").alias("cid"), "root")
-    counted = classes.join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(linked, "cid", "left")
+    counted = classes.select("cid", "set_a", "set_b", "first", "n").join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(linked, "cid", "left")
     counted = saved(counted.withColumn("comp", F.coalesce("root", "cid")))
-    first = counted.groupBy("comp").agg(F.min("first").alias("class_id"))
-    result = counted.join(first, "comp").select(F.col("set_a").alias("ca"), F.col("set_b").alias("cb"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "class_id")
-    both = rows.select("doc_id", "set_a", "set_b").join(result, (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb")), "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    return both.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    first = counted.groupBy("comp").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("size"))
+    result = matched(counted, first, ["comp"], "size").select("set_a", "set_b", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "class_id")
+    both = matched(some.select("doc_id", "set_a", "set_b"), saved(result), ["set_a", "set_b"]).select("doc_id", "class_id", "n_links")
+    both = both.unionByName(rows.where("set_a is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    return both.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
