@@ -122,6 +122,26 @@ def test_pages(spark, sf_dir, labeller):
     assert got.count() == 4 and got.where("html is null").first().text == "" and html_blocks.extract(odd.where("false"), model=labeller).count() == 0
 
 
+def test_measures_by_hand():
+    """The sizes are those of a compressor made anew for every block."""
+    import zstandard
+
+    bad, good = b"buy now!! click here " * 300, b"the river ran slowly past the old mill and the fields " * 200
+    r = random.Random(8)
+    for n in (0, 1, 40, 900, 5000):
+        text = "".join(r.choice(["the river ", "click here ", "Old Mill 12 ", "\u00e9t\u00e9 "]) for _ in range(n))
+        raw = text.encode()
+
+        def size(part, held=None):
+            args = {"dict_data": zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT), "write_content_size": False} if held else {}
+            return len(zstandard.ZstdCompressor(level=quality_model.LEVEL, **args).compress(part))
+
+        shape = lambda b: bytes(97 if chr(c).islower() or c > 127 else 65 if chr(c).isupper() else 48 if chr(c).isdigit() else c for c in b)
+        parts = [raw[i : i + quality_model.BLOCK] for i in range(0, len(raw), quality_model.BLOCK)] or [b""]
+        want = [(sum(size(p, bad) for p in parts) - sum(size(p, good) for p in parts)) / (len(raw) + 1), (sum(size(shape(p), shape(bad)) for p in parts) - sum(size(shape(p), shape(good)) for p in parts)) / (len(raw) + 1), size(raw) / (len(raw) + 1)]
+        assert np.allclose(quality_model.Compressors(bad, good).measures(text), want, atol=0.002)
+
+
 def made(n, seed):
     r = random.Random(seed)
     word = lambda: "".join(r.choices(["an", "er", "th", "on", "re", "de"], k=r.randint(1, 4)))
@@ -197,3 +217,12 @@ def test_blocks_of_formulas_fallbacks_and_pages_without_head_tags():
     assert texts("<title>t</title><meta x><p>body</p>") == texts("<head><title>t</title><meta x><p>body</p>") == ["body"]
     assert texts("<html><head><title>t</title>plain text") == ["plain text"]
     assert texts("<p>a</p><script>x<p>y") == ["a"]
+
+
+def test_near_copies_of_repeated_and_null_ids(spark, sf_dir):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, words(1), "en", "s", 1), (1, words(1), "en", "s", 1), (1, words(2), "en", "s", 1), (None, words(2), "en", "s", 1), (None, words(3), None, None, 1), (None, words(3) + " end", None, None, 1), (None, words(4), "en", "s", 1), (5, words(1), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_copies(spark, docs, sf_dir).collect()
+    # a null id counts as the smallest
+    assert sorted((r.doc_id or 0, r.text.split("x")[0]) for r in kept) == [(0, "w2"), (0, "w3"), (0, "w4"), (1, "w1")]

@@ -104,7 +104,7 @@ def test_round_trip(spark):
     turns = [(c, k, r, t) for c in range(3) for k, (r, t) in enumerate((r, t) for t in texts for r in ("user", "assistant", "sy]s\n[x", None))]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     out = chat.render(df, block=5).select("*", chat.parse(F.col("formatted")).alias("turns"))
-    for r in out.select("*", chat.masked(F.col("turns"), F.col("loss_spans")).alias("loss")).collect():
+    for r in out.select("*", chat.masked(F.col("formatted"), F.col("loss_spans"), cut=7).alias("loss")).collect():
         want = [(x or "", t) for c, _, x, t in turns if c == r.conv_id]
         assert [(t.role, t.text) for t in r.turns] == want
         assert r.loss == "".join(t for x, t in want if x == "assistant")

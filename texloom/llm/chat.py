@@ -112,7 +112,19 @@ def parse(formatted: Column) -> Column:
     return F.transform(parts, one)
 
 
-def masked(turns: Column, loss_spans: Column) -> Column:
-    """The unescaped texts under the loss mask, joined; ``turns`` as ``parse`` gives them."""
-    under = F.zip_with(turns, loss_spans, lambda t, s: F.when(s.learn, unescape(F.substring(t.body, F.lit(1), s.length.cast("int")))).otherwise(""))
-    return F.array_join(under, "")
+def masked(formatted: Column, loss_spans: Column, cut: int = 32_768) -> Column:
+    """The texts under the loss mask, cut out of the formatted text by start and length, unescaped and joined.
+
+    The text is first cut to parts of ``cut`` characters, so that a span costs no more than the parts that it touches.
+    """
+    parts = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{cut}}}"), F.lit(0))
+
+    def under(part: Column) -> Column:
+        def one(s: Column) -> Column:
+            first = F.floor(s.start / cut).cast("int")
+            touched = F.floor((s.start + s.length - 1) / cut).cast("int") - first + 1
+            return unescape(F.substring(F.array_join(F.slice(part, first + 1, touched), ""), (s.start - first * F.lit(cut)).cast("int") + 1, s.length.cast("int")))
+
+        return F.array_join(F.transform(F.filter(loss_spans, lambda s: s.learn & (s.length > 0)), one), "")
+
+    return F.element_at(F.transform(F.array(parts), under), 1)

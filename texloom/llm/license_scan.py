@@ -20,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+from .licence_texts import BODIES
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 #: Phrases of the base scan and their labels (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label and text of licences, notices and one-line statements (fixed values: public licence texts).
+#: Label and text of parts of licences, notices and one-line statements (fixed values: public licence texts).
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("mit", "Released under the MIT License."),
@@ -49,6 +52,7 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. Released under CC0 1.0 Universal."),
     ("proprietary", "Copyright. All rights reserved."),
+    *BODIES,
 )
 
 #: Words of a match that may join a chain, words that a gap inside a chain may have, and the share of a template that
@@ -208,7 +212,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         if not _automaton:
             _automaton.append(Automaton())
         automaton = _automaton[0]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for value in batch.column(batch.num_columns - 1):
                 words = words_of(value.as_py())

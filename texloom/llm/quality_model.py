@@ -4,7 +4,8 @@ Two zstandard dictionaries hold snippets of good and bad labelled texts, two mor
 digits reduced to their class, which shows layout. A whole text is cut to blocks, so that a dictionary counts for long
 texts too, and each block is compressed with every dictionary. The size differences per byte, and the size per byte of
 the whole text compressed by itself, are calibrated to a probability by a logistic regression. The sizes that it learns
-from are those under dictionaries of other folds: under a dictionary that holds its own snippet, any text shrinks.
+from are those under dictionaries of other folds: under a dictionary that holds its own snippet, any text shrinks. The
+penalty of the regression is chosen by folds within the rows that it learns from, never by held-out rows.
 
 Fitted on at most ``rows`` labelled texts of each class, chosen by the hash of their id; every text is scored whole.
 Null texts count as empty; an empty text gets a score like any other. With no text of a class to learn from, the score
@@ -25,6 +26,7 @@ from .common import saved, with_python
 DICTIONARY, SNIPPET, BLOCK, LEVEL, FOLDS = 112_000, 1000, 1024, 3, 4
 #: The class of each byte: lower case (and all beyond ASCII), upper case, digit, itself.
 SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+PENALTIES = (0.1, 1.0, 10.0, 100.0)
 NAMES = ("difference", "shape_difference", "alone")
 
 
@@ -56,25 +58,39 @@ def _design(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(z)), z, z * z])
 
 
+def _regress(d: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
+    """Penalised logistic regression by steps of bounded curvature."""
+    w = np.zeros(d.shape[1])
+    # the curvature is at most a quarter everywhere, so these steps never overshoot, even where classes are apart
+    bound = np.linalg.inv(0.25 * d.T @ d + penalty * np.eye(len(w)))
+    for _ in range(5000):
+        step = bound @ (d.T @ (y - 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))) - penalty * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
 class Model:
     """Dictionaries and calibration; of fixed size. ``constant``: the score if there was nothing to learn from."""
 
     def __init__(self, bad: bytes = b"", good: bytes = b"", constant: float | None = None):
         self.bad, self.good, self.constant = bad, good, constant
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> Model:
-        """Penalised logistic regression by steps of bounded curvature."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> Model:
+        """Logistic regression with that one of PENALTIES whose log-loss over rows of other folds is least."""
         self.mean, self.spread = x.mean(0), x.std(0) + 1e-9
         d = _design(x, self.mean, self.spread)
-        w = np.zeros(d.shape[1])
-        # the curvature is at most a quarter everywhere, so these steps never overshoot, even where classes are apart
-        bound = np.linalg.inv(0.25 * d.T @ d + penalty * np.eye(len(w)))
-        for _ in range(5000):
-            step = bound @ (d.T @ (y - 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))) - penalty * w)
-            w += step
-            if np.abs(step).max() < 1e-6:
-                break
-        self.weights = w
+
+        def loss(penalty: float) -> float:
+            total = 0.0
+            for fold in np.unique(folds):
+                z = d[folds == fold] @ _regress(d[folds != fold], y[folds != fold], penalty)
+                total += (np.logaddexp(0, z) - y[folds == fold] * z).sum()
+            return total
+
+        self.penalty = min(PENALTIES, key=loss)
+        self.weights = _regress(d, y, self.penalty)
         return self
 
     def scorer(self):
@@ -108,13 +124,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 2000, doc_id: str = "doc
     if not all(whole):
         share = known.agg(F.avg("y")).first()[0]
         return Model(constant=0.5 if share is None else float(share))
-    values = []
+    values, folds = [], []
     for fold in range(FOLDS):
         other = [p or q for p, q in zip(parts(fold), whole, strict=True)]  # a lone text has no other fold
         measured = with_python(sample.where(F.col("fold") == fold), "text", [(n, "double") for n in NAMES], lambda other=other: Compressors(*other).measures)
-        values += [tuple(r) for r in measured.select("y", *NAMES).orderBy(*NAMES).collect()]
+        found = [tuple(r) for r in measured.select("y", *NAMES).orderBy(*NAMES).collect()]  # at most 2 * ``rows`` in all
+        values += found
+        folds += [fold] * len(found)
     values = np.array(values, float)
-    return Model(*whole).calibrate(values[:, 1:], values[:, 0])
+    return Model(*whole).calibrate(values[:, 1:], values[:, 0], np.array(folds))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -65,7 +65,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = log.unionByName(more).select("conv_id", F.col("turn").alias("msg"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
     out = chat.render(chat.fold_events(events), turn="msg")
     read = out.select("conv_id", "formatted", "loss_spans", chat.parse(F.col("formatted")).alias("turns"))
-    loss = read.select("conv_id", "formatted", "turns", chat.masked(F.col("turns"), F.col("loss_spans")).alias("loss"))
+    loss = read.select("conv_id", "formatted", "turns", chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     return loss.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
