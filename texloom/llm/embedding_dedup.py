@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import saved
 from .components import components, dealt, joined_pairs, matched, roots, tasks
 
-#: Bits of a signature, and rows of a block.
+#: Bits of a signature, and rows of a block at most.
 BITS, BLOCK = 512, 1024
 
 
@@ -131,8 +131,12 @@ def verified(rows: DataFrame, cosine: float) -> DataFrame:
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "cid long, links long, root long")
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = 0.93, recall: float = 0.9999, block: int = BLOCK) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = 0.93, recall: float = 0.9999, block: int | None = None) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept.
+
+    A block has twice the square root of the number of classes, 128 to BLOCK, so that a group that holds most of a small
+    table meets in many tasks, too.
+    """
     e = F.col(embedding).cast("array<double>")
     fine = F.col(label).isNotNull() & F.col(vec_id).isNotNull() & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     same = F.transform(F.col("embedding"), lambda x: x + F.lit(0.0).cast("float"))  # no negative zeros, which are equal but have other hashes
@@ -141,7 +145,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     some = rows.where("embedding is not null")
     classes = some.groupBy("a", "b", "label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
     classes = saved(classes).withColumn("cid", F.monotonically_increasing_id())  # of a saved table: the same whenever it is read
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+    largest, number = classes.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
+    block = block or max(128, min(BLOCK, int(2 * (number or 0) ** 0.5)))
     bits, tables, most = plan(largest or 0, cosine, recall)
     signatures = saved(signed(classes, bits, tables).join(classes.select("cid", "label"), "cid"))
     spread = signatures.select("cid", "label", F.posexplode("buckets").alias("t", "key")).select("cid", F.xxhash64("label", "t", "key").alias("bucket"))
