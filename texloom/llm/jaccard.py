@@ -32,7 +32,7 @@ from .components import components, dealt, joined_pairs, matched, roots, tasks
 #: Words of a shingle, bytes of a sketch, bytes of text hashed at a time.
 SIZE, SKETCH, SEGMENT = 5, 128, 1 << 19
 #: Classes of a node that is compared at once, levels below the root, rows of a block of sketches and of sets.
-LEAF, LEVELS, BLOCK, SET_BLOCK = 2000, 4, 1024, 512
+LEAF, LEVELS, BLOCK, SET_BLOCK = 2000, 4, 512, 512
 #: Of four nodes, those that are left by two branches; the others by one.
 DOUBLE = 3
 
