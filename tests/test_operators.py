@@ -155,3 +155,42 @@ def test_facade(spark, sf_dir):
 def test_history_zero_means_all(spark):
     m = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "conv_id long, turn long")
     assert memory.last_messages(m, 0).count() == 3 and memory.first_messages(m, 1).count() == 2
+
+
+def test_quoted_items_of_any_length(spark):
+    from texloom.operators import citations
+
+    docs = spark.createDataFrame([(1, "the big red fox ran over one green hill at dawn"), (2, "one greenhill"), (3, None), (4, "xthe big redy")], "doc_id long, text string")
+    items = ["the big red fox ran over one", "red fox ran", "hill", "one green", "e big red", "not there at all in any", "zzz", "fox ran over one"]
+    got = {r.item_id: (r.n, r.first_doc) for r in citations.quoted(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), block=2).collect()}
+    bodies = {r.doc_id: r.text for r in docs.collect() if r.text}
+    want = {i: sorted(d for d, b in bodies.items() if x in b) for i, x in enumerate(items)}
+    assert got == {i: (len(d), d[0] if d else None) for i, d in want.items()}
+
+
+def test_sentence_around(spark):
+    from texloom.operators import references
+
+    text = "First one here. Second, with more words! Third"
+    df = spark.createDataFrame([(text, 3), (text, 20), (text, 44), ("abc", 9), (None, 1)], "t string, p int")
+    got = [r.s for r in df.select(references.sentence_around(F.col("t"), F.col("p")).alias("s")).collect()]
+    assert got == ["First one here", "Second, with more words", "Third", "abc", None]  # beyond every sentence: what is around
+
+
+def test_search_job(spark, tmp_path):
+    from texloom.sources import search_job
+
+    calls = []
+
+    def source(query):
+        calls.append(query)
+        body = '{"results": [{"title": "a", "url": "u1", "content": "red fox", "score": 0.1}, {"title": "b", "url": "u2", "content": "blue whale and red", "score": 0.9}, {"title": "b", "url": "u1", "content": "again", "score": 0.9}]}'
+        return spark.createDataFrame([(body,)], "body string")
+
+    now = F.lit("2024-05-01 10:00:00").cast("timestamp")
+    rows = search_job.search(spark, "red fox", source, str(tmp_path), now, method="cross_encoder").collect()
+    assert [(r.url, r.rank, r.new_rank) for r in sorted(rows, key=lambda r: r.new_rank)] == [("u1", 1, 1), ("u2", 2, 2)]
+    again = search_job.search(spark, "red fox", source, str(tmp_path), F.lit("2024-05-01 10:30:00").cast("timestamp"), method="cross_encoder").collect()
+    assert sorted(again) == sorted(rows) and calls == ["red fox"]
+    search_job.search(spark, "red fox", source, str(tmp_path), F.lit("2024-05-01 12:30:00").cast("timestamp"), method="cross_encoder")
+    assert len(calls) == 2 and spark.read.parquet(f"{tmp_path}/history").count() == 2 and spark.read.parquet(f"{tmp_path}/results").count() == 4

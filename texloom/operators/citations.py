@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,50 @@ def linked(cited: DataFrame, references: DataFrame, key: str = "doc_id") -> Data
     return by_number.unionByName(by_year).groupBy(key, "kind", "position", "citation", "number").agg(F.min_by("ref_id", "ref_position").alias("ref_id"))
 
 
+def quoted(docs: DataFrame, items: DataFrame, window: int = 4, block: int = 1000) -> DataFrame:
+    """(item_id, n, first_doc): how many documents hold the text of each item, and the least of them.
+
+    The first and last word of an item may be parts of longer words in a document, so the key is a window of the words
+    between them, of up to ``window`` words. Only ids and hashes meet; texts are fetched for the hits. Items of one or two
+    words have no word between: they are a query set that is tested against all documents in blocks.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    long = items.withColumn("w", words("text")).withColumn("size", F.least(F.size("w") - 2, F.lit(window)))
+    keys = long.where("size > 0").select("item_id", F.xxhash64("size", F.slice("w", F.lit(2), F.col("size"))).alias("h"))
+    sizes = sorted(r[0] for r in long.where("size > 0").select("size").distinct().collect())  # at most ``window`` numbers
+    hits = None
+    for size in sizes:
+        all_windows = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(F.lit(size), F.slice("w", i, F.lit(size))))  # noqa: B023
+        found = docs.withColumn("w", words("text")).where(F.size("w") >= size).select("doc_id", F.explode(F.array_distinct(all_windows)).alias("h")).join(keys, "h").select("item_id", "doc_id")
+        hits = found if hits is None else hits.unionByName(found)
+    both = []
+    if hits is not None:
+        texts = hits.distinct().join(items.select("item_id", F.col("text").alias("item")), "item_id").join(docs.select("doc_id", F.col("text").alias("body")), "doc_id")
+        both.append(texts.where(F.contains("body", F.col("item"))).select("item_id", "doc_id"))
+    short = long.where("size <= 0")
+    if n := short.count():
+        blocks = short.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(-(-n // block)))).agg(F.collect_list(F.struct("item_id", "text")).alias("set"))
+        held = F.filter("set", lambda x: F.contains(F.col("body"), x.text))
+        both.append(docs.select("doc_id", F.col("text").alias("body")).join(blocks, F.size(held) > 0).select("doc_id", F.explode(held).alias("i")).select("i.item_id", "doc_id"))
+    none = items.select("item_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first_doc"))
+    if not both:
+        return none
+    counts = reduce(DataFrame.unionByName, both).groupBy("item_id").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("first_doc"))
+    return items.select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"), "first_doc")
+
+
+def search(references: DataFrame, cited: DataFrame, words: str, key: str = "doc_id", k: int = 20) -> DataFrame:
+    """The newest references whose title, venue or authors hold the words, with the number of their citations in the text.
+
+    ``references``: key, ref_id, title, venue, authors, year; ``cited``: links as ``linked`` gives them.
+    """
+    low = F.lit(words.lower())
+    hit = F.coalesce(F.contains(F.lower("title"), low), F.lit(False)) | F.coalesce(F.contains(F.lower("venue"), low), F.lit(False)) | F.contains(F.lower(F.array_join("authors", ", ")), low)
+    counts = cited.where("ref_id is not null").groupBy("ref_id").agg(F.count(F.lit(1)).alias("in_text"))
+    found = references.where(hit).join(counts, "ref_id", "left").withColumn("in_text", F.coalesce("in_text", F.lit(0)))
+    return found.orderBy(F.desc_nulls_last("year"), key, "ref_id").limit(k)
+
+
 def link_rate(links: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document: links found in percent."""
     return links.groupBy(key).agg((100 * F.avg(F.col("ref_id").isNotNull().cast("int"))).alias("link_rate"))

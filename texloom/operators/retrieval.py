@@ -108,10 +108,30 @@ def token_overlap(text: Column, query: list[str]) -> Column:
 
 
 def rerank_head(ranks: DataFrame, scorer: Column, head: int = 20, key: str = "doc_id") -> DataFrame:
-    """``ranks`` (with ``rank``) with ``new_rank``: the first ``head`` by the scorer, the others in their old order."""
-    scored = ranks.withColumn("rerank_score", F.when(F.col("rank") <= head, scorer))
-    order = Window.orderBy((F.col("rank") > head).cast("int"), F.desc_nulls_last("rerank_score"), "rank")
-    return scored.withColumn("new_rank", F.row_number().over(order))
+    """``ranks`` (with ``rank`` from 1) with ``new_rank``: the first ``head`` by the scorer, the others as they were.
+
+    Only the head is ranked anew, so the window sees ``head`` rows however many there are.
+    """
+    first = ranks.where(F.col("rank") <= head).withColumn("rerank_score", scorer.cast("double"))
+    first = first.withColumn("new_rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("rerank_score"), "rank")))
+    tail = ranks.where(F.col("rank") > head).withColumns({"rerank_score": F.lit(None).cast("double"), "new_rank": F.col("rank")})
+    return first.unionByName(tail)
+
+
+def rank_by(method: str, results: DataFrame, query: list[str], scorer: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``results`` (with ``rank``) with ``new_rank`` and ``new_score`` by method: bm25, rrf, cross_encoder; others leave the order.
+
+    ``results`` is what a search gave, a page of hits, so ranking it whole in one window is bounded.
+    """
+    if method == "bm25":
+        scored = results.join(okapi(results, query, key, text).select(F.col("doc_id").alias(key), F.col("score").alias("new_score")), key)
+    elif method == "rrf":
+        scored = results.join(reciprocal_rank_fusion([results], key).withColumnRenamed("rrf_score", "new_score"), key)
+    elif method == "cross_encoder":
+        scored = results.withColumn("new_score", scorer if scorer is not None else token_overlap(F.col(text), query))
+    else:
+        return results.withColumns({"new_score": F.lit(None).cast("double"), "new_rank": F.col("rank")})
+    return scored.withColumn("new_rank", F.row_number().over(Window.orderBy(F.desc("new_score"), "rank")))
 
 
 def first_of_each(lists: list[DataFrame], key: str) -> DataFrame:

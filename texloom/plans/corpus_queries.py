@@ -97,16 +97,6 @@ def page_structure(t: Tables):
     return P.structure(t.pages)
 
 
-@query()
-def section_bodies(t: Tables):
-    return P.section_bodies(t.pages)
-
-
-@query()
-def html_markdown(t: Tables):
-    return t.pages.select("page_id", P.markdown(F.col("html")).alias("markdown"))
-
-
 _CASE = " ".join("when " + " or ".join(f"contains(lower(x), '{k}')" for k in keys) + f" then '{name}'" for name, keys in T.CANONICAL)
 
 

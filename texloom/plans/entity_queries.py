@@ -95,20 +95,7 @@ def math_search(t: Tables):
 
 @query("select item_id, count(doc_id) as n, min(doc_id) as first_doc from benchmark b left join documents d on contains(d.text, b.text) group by item_id")
 def citation_theta(t: Tables):
-    """Documents that quote an item: candidates share a long word window, containment is tested on them only."""
-    window = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 3), lambda i: F.xxhash64(F.slice(x, i, F.lit(4))))
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    inner = t.benchmark.withColumn("w", words("text"))
-    # the first and last word of an item may be parts of longer words in a document, so a window inside it is the key
-    items = inner.where("size(w) >= 6").select("item_id", "text", F.xxhash64(F.slice("w", 2, 4)).alias("h"))
-    short = inner.where("size(w) < 6").select("item_id", "text").collect()  # of few words: a handful of literals
-    docs = t.documents.select("doc_id", F.col("text").alias("body"))
-    keyed = docs.withColumn("w", words("body")).where("size(w) >= 4").select("doc_id", "body", F.explode(F.array_distinct(window(F.col("w")))).alias("h"))
-    hits = keyed.join(items, "h").where(F.contains("body", F.col("text"))).select("item_id", "doc_id").distinct()
-    for row in short:
-        hits = hits.unionByName(docs.where(F.contains("body", F.lit(row.text))).select(F.lit(row.item_id).alias("item_id"), "doc_id"))
-    n = hits.groupBy("item_id").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("first_doc"))
-    return t.benchmark.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"), "first_doc")
+    return C.quoted(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", "text"))
 
 
 _CITE = "(select doc_id, 'As shown [' || (doc_id % 5) || ', 3-4] and (Smith, 2020).' as text from documents)"
