@@ -15,23 +15,24 @@ from pyspark.sql import functions as F
 from .common import saved
 
 
-#: Rows of a key from which on it counts as hot, hot keys that are broadcast at most (some 50 bytes each), and salts beyond that.
-HOT, FEW, SALTS = 10_000, 200_000, 32
+#: Rows of a key from which on it counts as hot, hot keys that are named one by one at most, and salts beyond that.
+HOT, FEW, SALTS = 1000, 10_000, 32
 
 
 def matched(rows: DataFrame, small: DataFrame, keys: list[str], size: str = "n", hot: int = HOT, few: int = FEW) -> DataFrame:
     """``rows`` joined with ``small``, which has one row for each key and in ``size`` the number of the key's rows.
 
-    The rows of hot keys stay where they are: what ``small`` has for these keys is broadcast after a count, or, if they are
-    too many for that, all of it is salted. Both tables are read more than once.
+    The rows of hot keys stay where they are: up to ``few`` hot keys are named by their hash in a filter, and what ``small``
+    has for them is broadcast; if there are more, all of it is salted. Both tables are read more than once.
     """
-    known = saved(small.where(F.col(size) > hot))
+    name = F.xxhash64(*keys)
+    known = small.where(F.col(size) > hot)
     n = known.count()
     if not n:
         return rows.join(small, keys)
     if n <= few:
-        rest = rows.join(F.broadcast(known.select(*keys)), keys, "left_anti")
-        return rows.join(F.broadcast(known), keys).unionByName(rest.join(small.where(F.col(size) <= hot), keys))
+        named = name.isin([r[0] for r in known.select(name).collect()])  # the same on both sides, so equal hashes do no harm
+        return rows.where(named).join(F.broadcast(small.where(named)), keys).unionByName(rows.where(~named).join(small.where(~named), keys))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(copies, [*keys, "__salt"]).drop("__salt")
 

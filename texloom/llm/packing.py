@@ -72,7 +72,7 @@ class Words:
         """Puts the ids of words that are not in the younger half there."""
         self.young |= {w: self.old[w] for w in words if w in self.old}
         if new := [w for w in words if w not in self.old]:
-            raw = [part.encode().decode("latin-1").translate(self.names) for part in PARTS.findall(" ".join(new))]
+            raw = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.names) for p in PARTS.findall(" ".join(new))]
             ids = np.array(self.merges.encode_batch_fast([" ".join(raw)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in new])
             cuts = [0, *(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1).tolist()]  # a word's tokens have its bytes
