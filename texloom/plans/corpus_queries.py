@@ -92,7 +92,10 @@ def url_parts(t: Tables):
     return t.pages.select("page_id", *P.url_parts(F.col("url")), F.md5("url").alias("url_md5"), F.sha2("html", 256).alias("content_hash"))
 
 
-@query()
+# the pages have headings only; no figure, table or formula
+@query("""select page_id, cast(i - 1 as int) as position, 'section' as kind, cast(substring(h[i], 2, 1) as int) as level,
+regexp_replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(h[i], '(?s)^h[1-6]\\b[^>]*>', ''), '(?s)<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') as text, regexp_extract(h[i], '^h[1-6]\\b[^>]*\\bid="([^"]*)"', 1) as label
+from (select page_id, h, unnest(range(1, len(h) + 1)) as i from (select page_id, regexp_extract_all(html, '(?is)<(h[1-6]\\b[^>]*>.*?)</h[1-6]\\s*>', 1) as h from pages))""")
 def page_structure(t: Tables):
     return P.structure(t.pages)
 
