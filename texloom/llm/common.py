@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -66,3 +66,25 @@ def with_python(df: DataFrame, column: str, fields: list[tuple[str, str]], prepa
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*(f.name for f in keep), *(k.name for k in kinds)])
 
     return source.mapInArrow(run, StructType([*keep, *made.fields]))
+
+
+#: Components whose integers go beyond this count as non-finite: of up to 512 of them squared distances still are longs.
+LARGEST = 1 << 26
+
+
+def scaled(vector: Column, factor: int) -> Column:
+    """floor(factor * x) of each component as array<int>; null if the vector is null or a component is null, non-finite or beyond LARGEST."""
+    x = vector.cast("array<double>")
+    fine = F.forall(x, lambda c: c.isNotNull() & (F.abs(c * factor) < LARGEST))  # NaN is beyond all numbers
+    return F.when(fine, F.transform(x, lambda c: F.floor(c * factor).cast("int")))
+
+
+def int_rows(lists: pa.Array, width: int | None = None) -> np.ndarray:
+    """A matrix of the lists of an Arrow column, short ones filled up with zeros to ``width``, the longest by default."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat, wide = lists.flatten().to_numpy(), int(sizes.max(initial=0)) if width is None else width
+    if (sizes == wide).all():
+        return flat.reshape(len(sizes), wide)
+    out = np.zeros((len(sizes), wide), flat.dtype)
+    out[np.arange(wide) < sizes[:, None]] = flat
+    return out

@@ -41,4 +41,45 @@ s as (select lang, source, count(*) filter (not base_failed) as k, {_OWN} from b
 f as (select s.lang, s.source, {", ".join(f"case when k >= 50 then s.q{m} else g1.q{m} end as q{m}" for m in _M)} from s left join g1 on s.lang is not distinct from g1.lang)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_INSIDE} as kept from b left join f on b.lang is not distinct from f.lang and b.source is not distinct from f.source"""
 
-ORACLE_SQL = {"op3_jaccard_join": JACCARD, "op5_chat": CHAT, "op8_embedding_dedup": EMBEDDINGS, "op9_quality_rules": RULES}
+_INTS = "(select vec_id, label, list_transform(embedding, lambda x: floor({scale} * cast(x as double))) as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)"
+
+
+def _assign(k: int) -> str:
+    """Parts with the nearest entry of codebook ``k`` (ties to the lower); sums of products of small whole numbers are exact."""
+    pairs = f"select p.*, entry, list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, c.x) + list_dot_product(c.x, c.x) as d from p join c{k} c using (part)"
+    return f"a{k} as materialized (select vec_id, label, part, any_value(x) as x, min(d) as d, arg_min(entry, d * 256 + entry) as entry from ({pairs}) group by 1, 2, 3)"
+
+
+def _means(k: int) -> str:
+    sums = f"select part, entry, i, floor(sum(v) / count(*)) as m from (select part, entry, unnest(x) as v, unnest(range(len(x))) as i from a{k}) group by 1, 2, 3"
+    return f"c{k + 1} as materialized (select c.part, c.entry, coalesce(m.x, c.x) as x from c{k} c left join (select part, entry, list(m order by i) as x from ({sums}) group by 1, 2) m using (part, entry))"
+
+
+VECTOR_CODES = f"""with v as materialized {_INTS.format(scale=1024)}, w as (select max(len(e)) // 4 as n from v),
+p as materialized (select vec_id, label, part, e[part * n + 1 : part * n + n] as x from v, w, range(4) r(part)),
+c0 as (select part, row_number() over (partition by part order by vec_id) - 1 as entry, x from p where vec_id in (select vec_id from v order by vec_id limit 256)),
+{", ".join(f"{_assign(k)}, {_means(k)}" for k in range(4))}, {_assign(4)},
+b as (select sha256(string_agg(array_to_string(list_transform(x, lambda y: cast(y as bigint)), ','), ',' order by part, entry)) as h from c4),
+o as (select vec_id, label, string_agg(lower(printf('%02x', entry)), '' order by part) as code, cast(sum(d) as bigint) as error from a4 group by 1, 2)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, h as codebooks_sha256 from o, b"""
+
+TOP_K = f"""with v as {_INTS.format(scale=64)},
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 20"""
+
+#: The checksum of a feature's bytes, byte by byte with the table of its polynomial.
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::bigint)), lambda x, b: xor(tab[(xor(x, b) & 255) + 1], x >> 8)), 4294967295)"
+RESAMPLING = f"""with k as (select list_transform(range(256), lambda i: list_reduce([i::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as tab),
+t as (select 'd' as kind, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+w as (select kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from t),
+f as materialized (select kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from w),
+b as materialized (select f, {_CRC} % 10000 as bucket from (select f, hex(encode(f)) as h from (select distinct f from f)), k),
+n as (select bucket, count(*) filter (kind = 'd') as s, count(*) filter (kind = 'b') as t from f join b using (f) group by 1),
+g as (select bucket, cast(floor(1000 * ln(((t + 1) * ((sum(s) over ()) + 10000.0::double)) / ((s + 1) * ((sum(t) over ()) + 10000.0::double)))) as bigint) as gain from n),
+m as (select id, count(*) as n, cast(floor(sum(gain) / count(*)) as bigint) as weight from f join b using (f) join g using (bucket) where kind = 'd' group by 1),
+o as (select doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, ('0x' || sha256('7:' || doc_id)[1 : 8])::bigint as h from documents left join m on id = doc_id),
+c as (select doc_id, n_features, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from o),
+r as (select *, n_features >= 39 as fit, row_number() over (partition by n_features >= 39 order by score desc, doc_id) as rank, count(*) over (partition by n_features >= 39) as n from c)
+select doc_id, n_features, weight, score, case when fit and rank <= 25 * n // 100 then rank end as rank from r"""
+
+ORACLE_SQL = {"op3_jaccard_join": JACCARD, "op5_chat": CHAT, "op8_embedding_dedup": EMBEDDINGS, "op9_quality_rules": RULES, "op11_vector_codes": VECTOR_CODES, "op12_exact_topk": TOP_K, "op13_resampling": RESAMPLING}

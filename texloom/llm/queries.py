@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, html_blocks, jaccard, license_scan, packing, pii, quality_model, quality_rules
+from . import bpe, chat, embedding_dedup, exact_topk, html_blocks, jaccard, license_scan, packing, pii, quality_model, quality_rules, resampling, vector_codes
 from .common import nonnull_text, table
 from .oracle import ORACLE_SQL  # noqa: F401  (with the queries, for the entry point)
 
@@ -113,6 +115,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short codes of all vectors, their errors, and a digest of the codebooks."""
+    coded, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(str(c) for book in books for entry in book for c in entry).encode()).hexdigest()
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 other vectors of the highest inner product for every vector whose id is divisible by 20."""
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score towards the texts of ``benchmark``, and the rank of those drawn."""
+    return resampling.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_license_scan": op2_license_scan,
@@ -124,4 +143,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_resampling": op13_resampling,
 }
