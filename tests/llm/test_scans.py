@@ -131,7 +131,33 @@ def test_keys_of_letters_and_long_keys():
         assert pii.find(text, model) == [], text
 
 
-@pytest.mark.parametrize("part", ["字" * 100 + "1", "a" * 100 + "1", "@", "1", "1.", "a_1-", "A", "a=", "secret: ", "é1"])
+def test_islands_and_left_out_segments_change_nothing():
+    """Against one pass over the lattice of the whole region with all its segments; ties may fall either way, so totals are compared."""
+    model, r = pii.fit(), random.Random(8)
+    weights, steps = model
+    none = len(pii.KINDS)
+
+    def total(n, spans, by_place):
+        sum_, at, before = 0.0, 0, none
+        for i, j, k in [*spans, (n, n, None)]:
+            for _ in range(at, i):
+                sum_, before = sum_ + steps[before, none], none
+            if k is not None:
+                sum_, before = sum_ + steps[before, k] + weights[k, by_place[i, j]].sum(), k
+            at = j
+        return sum_
+
+    texts = ["".join(r.choices("0123456789 .-@+():=Aabkey\"'_/é", k=150)) for _ in range(200)] + ["".join(r.choices("01 .-a@+(", k=120)) for _ in range(100)] + [t for t, _ in pii.sentences(50, 31)]
+    for text in texts:
+        borders, every = pii.lattice(text, 0, len(text), [])
+        by_place, place = {(i, j): on for i, j, on in every}, {b: k for k, b in enumerate(borders)}
+        found = [s for island in pii.islands(pii.segments(text, 0, len(text), [], model.looker(text, len(text)), ahead=5)) for s in pii.chosen(text, island, len(text), model.plain_steps)]
+        n = len(borders) - 1
+        mine, best = total(n, [(place[s], place[e], k) for s, k, e in found], by_place), total(n, pii.viterbi(n, every, weights, steps), by_place)
+        assert abs(mine - best) < 1e-6, text
+
+
+@pytest.mark.parametrize("part", ["字" * 100 + "1", "a" * 100 + "1", "@", "1", "1.", "a_1-", "A", "a=", "secret: ", "é1", "1 ", "12:34 ", "12.5,3.7,"])
 def test_scan_takes_time_in_proportion(part):
     model, text = pii.fit(), part * (1_000_000 // len(part))
     began = time.process_time()

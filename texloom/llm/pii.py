@@ -12,7 +12,9 @@ marked ``base``; the field adds spans between them. A span that it adds holds a
 is an access key; text without any trigger has no span.
 
 Null and empty texts have no spans. Long texts are scanned whole, in time in proportion to their length; no pattern
-backtracks over more than its own match. The input's columns are kept, those named like an added one are replaced;
+backtracks over more than its own match. Segments that lose to tokens of no kind whatever stands beside them are left
+out, and what does not overlap or touch is decoded by itself, so a text of numbers costs 5 to 30 CPU seconds and some
+20 MB of memory for each MB; only numbers that touch without end, as in ``+1(2) +1(2)``, are decoded together, at some 600 bytes a character. The input's columns are kept, those named like an added one are replaced;
 repeated rows are scanned each; an empty table gives an empty one.
 """
 
@@ -20,9 +22,10 @@ from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import cache
-from itertools import islice
+from itertools import islice, takewhile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -102,7 +105,6 @@ ACCESS = re.compile(r"A[A-Z]{3}[A-Z0-9]{16}")
 MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9]{12,}")
 
 
-
 def keyed(text: str, at: int) -> bool:
     """Whether a key word with = or : ends at this place; only 24 characters before it are read."""
     low = max(0, at - 4)
@@ -115,133 +117,277 @@ N_FEATURES = 34
 NONE = len(KINDS)  # the label of a token in no segment
 
 
-def features(text: str, start: int, end: int, tokens: int) -> list[int]:
-    """Numbers of the features that the span has; they look at the whole span and at what stands beside it."""
+def beside(c: str, known: str) -> int:
+    """0 for nothing or white space, 1 for a character of ``known``, 2 for another."""
+    return 0 if not c or c.isspace() else 1 if c in known else 2
+
+
+BEFORE, AFTER = "\"'=:(<[,", "\"').,;:>]!?"
+
+
+def features(text: str, start: int, end: int, tokens: int, led: bool) -> list[int]:
+    """Numbers of the features that the span has; they look at the whole span and at what stands beside it. ``led``: a key word stands before it."""
     span = text[start:end]
     digits = NOT_DIGIT.sub("", span)
-    n = len(digits)
+    n, size = len(digits), end - start
     on = [0, 1 + min(6, (n > 0) + (n > 6) + (n > 9) + (n > 11) + (n > 15) + (n > 19))]
     on.append(8 + (tokens > 1) + (tokens > 5) + (tokens > 9))
-    if MAIL_LIKE.fullmatch(span):
+    if "@" in span and MAIL_LIKE.fullmatch(span):
         on.append(12)
-    if QUAD.fullmatch(span):
+    if n and QUAD.fullmatch(span):
         on.append(13 if is_ip(span) else 14)
-    if GROUPED.fullmatch(span):
+    if n and GROUPED.fullmatch(span):
         on.append(15 if is_card(span) else 16)
-    if DIALLED.fullmatch(span):
+    if n == 10 and DIALLED.fullmatch(span):
         on.append(17)
-    if PHONE.fullmatch(span) and 9 <= n <= 15:
+    if span[0] == "+" and 9 <= n <= 15 and PHONE.fullmatch(span):
         on.append(18)
-    if DATED.fullmatch(span):
+    if size < 11 and DATED.fullmatch(span):
         on.append(19)
     if span[0] == "+":
         on.append(20)
-    before, after = text[start - 1 : start], text[end : end + 1]
-    if keyed(text, start):
+    if led:
         on.append(21)
         if RUN.fullmatch(span):
-            on.append(28 + (len(span) > 7))
+            on.append(28 + (size > 7))
         if not n:
-            on.append(30 + (before in "=\"'"))
-    if ACCESS.fullmatch(span):
+            on.append(30 + (text[start - 1 : start] in "=\"'"))
+    if size == 20 and ACCESS.fullmatch(span):
         on.append(22)
-    if MIXED.fullmatch(span):
+    if tokens == 1 and size > 11 and MIXED.fullmatch(span):
         on.append(23)
-    if len(span) >= 32 and RUN.fullmatch(span):
+    if size >= 32 and RUN.fullmatch(span):
         on.append(33 if HEX.fullmatch(span) else 32)
-    if before and not before.isspace():
-        on.append(24 if before in "\"'=:(<[," else 25)
-    if after and not after.isspace():
-        on.append(26 if after in "\"').,;:>]!?" else 27)
+    before, after = beside(text[start - 1 : start], BEFORE), beside(text[end : end + 1], AFTER)
+    if before:
+        on.append(23 + before)
+    if after:
+        on.append(25 + after)
     return on
 
 
-def lattice(text: str, low: int, high: int, blocked: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
-    """Token borders in text[low:high], and candidate segments (first token, end token, features), ordered by their end.
+#: Classes of tokens: digits, letters and digits, a blank, others that may stand within a segment, a run longer than any other segment, the rest.
+DIGITS, MIX, BLANK, INNER, LONG, REST = range(6)
+#: What may stand between the letters and digits of a segment.
+WITHIN = "@._%+-() /~"
+KIND_OF = {c: INNER for c in WITHIN} | {" ": BLANK}
+
+
+def tokens_of(text: str, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, class, run) of the tokens in text[low:high]; run: where a run of over 20 characters that starts there has its last
+    letter or digit, else 0. A run that is longer than any other segment is one token, as nothing starts or ends within it."""
+    runs = ((m.start(), m.start() + len(m[0].rstrip("_+/.~-"))) for m in RUN.finditer(text, low, high) if m.end() - m.start() > 20)
+    at = low
+    while at < high:
+        s, e = next(runs, (high, high))
+        to = e if e - s <= MAX_CHARS else s
+        for m in TOKEN.finditer(text, at, to):
+            word = m[0]
+            kind = DIGITS if word.isdecimal() else MIX if word.isalnum() else KIND_OF.get(word, REST)
+            yield m.start(), m.end(), kind if kind > MIX or word.isascii() else REST, e if m.start() == s else 0
+        if to < e:
+            yield s, e, LONG, e
+        at = e
+
+
+def segments(text: str, low: int, high: int, blocked: list[tuple[int, int]], look, ahead: int = 4096) -> Iterator[tuple[int, int, object]]:
+    """(start, end, what ``look`` makes of it) of the candidate segments of text[low:high], by their start.
 
     A segment starts with a letter, digit, + or (, ends with a letter or digit, holds a digit or @, or follows a key word, or
-    is an access key, holds of other characters ``WITHIN`` only, does not cut a run of letters and digits, and does not overlap ``blocked``.
+    is an access key, holds of other characters ``WITHIN`` only, does not cut a run of letters and digits, and does not overlap
+    ``blocked``. Whole runs are segments of any length. ``look(start, end, tokens, letters, led)`` gives None for those to leave out.
+    Some thousand tokens are held at a time.
     """
-    borders = [low, *(m.end() for m in TOKEN.finditer(text, low, high))]
-    segments = {}
-    last = len(borders) - 1
-    runs = [(m.start(), m.start() + len(m[0].rstrip("_+/.~-"))) for m in RUN.finditer(text, low, high) if m.end() - m.start() > 20]
-    inside = bytearray(last + 1)  # borders within a run that is longer than any other segment: only the whole is one
-    for s, e in runs:
-        if e - s > MAX_CHARS:
-            for k in range(bisect_right(borders, s), bisect_left(borders, e)):
-                inside[k] = 1
-    free = [True] * last
-    for s, e in blocked:
-        for k in range(max(0, bisect_right(borders, s) - 1), bisect_left(borders, e, hi=last)):
-            free[k] = False
-    for i in range(last):
-        first = text[borders[i]]
-        if not (first.isascii() and first.isalnum() or first in "+(") or not free[i] or inside[i]:
-            continue
-        blanks = 0
-        led = keyed(text, borders[i])
-        for j in range(i + 1, min(last, i + MAX_TOKENS) + 1):
-            if not free[j - 1] or borders[j] - borders[i] > MAX_CHARS and j > i + 1:
-                break
-            tail = text[borders[j] - 1]
-            if not (tail.isascii() and (tail.isalnum() or tail in WITHIN)):
-                break
-            if tail == " ":
-                blanks += 1
-                if blanks > 4 or j > 1 and text[borders[j] - 2] == " ":
-                    break
-            if not (tail.isascii() and tail.isalnum()) or inside[j]:
+    stream, held, over, reach = tokens_of(text, low, high), [], iter(blocked), 0
+    ahead_of = next(over, None)
+    while True:
+        more = []
+        for s, e, kind, run in islice(stream, ahead):
+            while ahead_of and ahead_of[0] < e:
+                reach, ahead_of = max(reach, ahead_of[1]), next(over, None)
+            more.append((s, e, kind, run, reach > s))
+        held += more
+        last = len(held) if not more else max(0, len(held) - MAX_TOKENS)
+        for i in range(last):
+            start, end, kind, run, taken = held[i]
+            if taken or kind > MIX and kind != LONG and text[start] not in "+(":
                 continue
-            if blanks and not DIGIT_LED.match(text, borders[j - 1]):
-                break  # words after a blank belong to no kind
-            if DIGIT_OR_AT.search(text, borders[i], borders[j]) or led and not blanks or j == i + 1 and ACCESS.fullmatch(text, borders[i], borders[j]):
-                segments[i, j] = features(text, borders[i], borders[j], j - i)
-    for s, e in runs:  # as they are, up to their last letter or digit
-        i, j = bisect_left(borders, s), bisect_left(borders, e)
-        if (i, j) not in segments and all(islice(free, i, j)) and (DIGIT_OR_AT.search(text, s, e) or keyed(text, s)):
-            segments[i, j] = features(text, s, e, j - i)
-    return borders, [(i, j, on) for (i, j), on in sorted(segments.items(), key=lambda x: (x[0][1], x[0][0]))]
-
+            led = keyed(text, start)
+            known = False
+            if kind != LONG:
+                blanks, letters, marked, before = 0, False, False, kind
+                for j in range(i, min(len(held), i + MAX_TOKENS)):
+                    _, end, kind, _, taken = held[j]
+                    if taken or kind >= LONG or end - start > MAX_CHARS and j > i:
+                        break
+                    if kind == BLANK:
+                        blanks += 1
+                        if blanks > 4 or before == BLANK:
+                            break
+                    before = kind
+                    if kind > MIX:
+                        marked = marked or text[end - 1] == "@"
+                        continue
+                    if kind == MIX:
+                        if blanks and not DIGIT_LED.match(text, held[j][0]):
+                            break  # words after a blank belong to no kind
+                        letters = True
+                        marked = marked or DIGIT_LED.search(text, held[j][0], end) is not None
+                    else:
+                        marked = True
+                    if marked or led and not blanks or j == i and ACCESS.fullmatch(text, start, end):
+                        known = known or end == run
+                        if (found := look(start, end, j - i + 1, letters, led)) is not None:
+                            yield start, end, found
+            if run and not known and (DIGIT_OR_AT.search(text, start, run) or led):  # as it is, up to its last letter or digit
+                if kind == LONG or not _overlaps(held, i, run):
+                    tokens = sum(1 for _ in TOKEN.finditer(text, start, run))
+                    if (found := look(start, run, tokens, True, led)) is not None:
+                        yield start, run, found
+        if not more:
+            return
+        del held[:last]
+
+
+def _overlaps(held: list, i: int, end: int) -> bool:
+    """Whether a token from the i-th up to ``end`` overlaps what is blocked; a run of at most MAX_CHARS is held as a whole."""
+    while i < len(held) and held[i][0] < end:
+        if held[i][4]:
+            return True
+        i += 1
+    return False
 
-DIGIT_LED = re.compile(r"[0-9]")
-#: What may stand between the letters and digits of a segment.
-WITHIN = "@._%+-() /~"
 
+def lattice(text: str, low: int, high: int, blocked: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
+    """Token borders in text[low:high], and candidate segments (first token, end token, features), ordered by their end."""
+    borders = [low, *(m.end() for m in TOKEN.finditer(text, low, high))]
+    found = segments(text, low, high, blocked, lambda start, end, tokens, letters, led: features(text, start, end, tokens, led))
+    return borders, sorted(((bisect_left(borders, s), bisect_left(borders, e), on) for s, e, on in found), key=lambda x: (x[1], x[0]))
 
-def viterbi(n: int, segments: list, weights: np.ndarray, steps: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation of n tokens: (first token, end token, kind). A token in no segment scores 0.
 
-    ``steps``: score of a label after another, NONE among them; the state of a border is the label of what ends there.
+DIGIT_LED = re.compile(r"[0-9]")
+AS_ZERO = str.maketrans("123456789", "0" * 9)
+
+
+class Field(tuple):
+    """(weights, steps), with the scores of feature sets and of shapes of numbers that it has met (KNOWN of each at most)."""
+
+    KNOWN = 1 << 16
+
+    def __init__(self, pair: tuple[np.ndarray, np.ndarray]):
+        steps = pair[1]
+        self.by_features: dict[tuple, tuple] = {}
+        self.by_shape: dict[tuple, tuple] = {}
+        self.plain_steps = steps.tolist()
+        before, after = steps[:, :NONE] - steps[:, [NONE]], steps[:NONE] - steps[NONE]
+        #: What a segment of a kind gains by its neighbours, against as many tokens of no kind: with none beside it, or at most, by
+        #: whether a segment can touch it before and after.
+        left, right = (before[NONE], before.max(0)), (after[:, NONE], np.maximum(after.max(1), 0))
+        self.slack = np.array([x + y for x in left for y in right])
+
+    def scores(self, on: list[int]) -> tuple[list[float], list[float]]:
+        """The score of each kind, and the highest with what it can gain, for each row of ``slack``."""
+        key = tuple(on)
+        if key not in self.by_features:
+            if len(self.by_features) >= self.KNOWN:
+                self.by_features.clear()
+            score = self[0][:, on].sum(1)
+            self.by_features[key] = score.tolist(), (score + self.slack).max(1).tolist()
+        return self.by_features[key]
+
+    def looker(self, text: str, high: int):
+        """For ``segments`` up to ``high``: scores of the kinds, or None for one that loses to tokens of no kind whatever stands beside it.
+
+        Segments end with a letter or digit, so they touch only where the next one starts with + or (.
+        """
+        none = self.plain_steps[NONE][NONE]
+
+        def look(start: int, end: int, tokens: int, letters: bool, led: bool) -> list[float] | None:
+            if letters or led or end - start > 40:
+                score, most = self.scores(features(text, start, end, tokens, led))
+            else:  # of a number only its shape and its checks count
+                shape = text[start:end].translate(AS_ZERO)
+                n, fine = shape.count("0"), None
+                if 12 <= n <= 19 and GROUPED.fullmatch(shape):
+                    fine = is_card(text[start:end])
+                elif QUAD.fullmatch(shape):
+                    fine = is_ip(text[start:end])
+                key = shape, fine, beside(text[start - 1 : start], BEFORE), beside(text[end : end + 1], AFTER)
+                if key not in self.by_shape:
+                    if len(self.by_shape) >= self.KNOWN:
+                        self.by_shape.clear()
+                    self.by_shape[key] = self.scores(features(text, start, end, tokens, led))
+                score, most = self.by_shape[key]
+            touch = 2 * (text[start] in "+(") + (end == high or text[end] in "+(")
+            return score if most[touch] >= (tokens - 1) * none else None
+
+        return look
+
+
+def decoded(counts: list[int], found: list[tuple[int, int, list[float]]], steps: list[list[float]]) -> list[tuple[int, int, int]]:
+    """The best segmentation: (first point, end point, kind). Between points k and k + 1 stand ``counts[k]`` tokens; a token in no segment scores 0.
+
+    ``found``: (first point, end point, score of each kind), by end, then start. ``steps``: score of a label after another,
+    NONE among them; the state of a point is the label of what ends there.
     """
-    best = np.full((n + 1, NONE + 1), -np.inf)
-    best[0, NONE] = 0
-    back = np.zeros((n + 1, NONE + 1, 2), np.int64)  # border and label before
-    reach, come = np.empty((n + 1, NONE + 1)), np.empty((n + 1, NONE + 1), np.int64)
-    used = {i for i, _, _ in segments}
+    least, labels = float("-inf"), range(NONE + 1)
+    none = steps[NONE][NONE]
+    reach, come, back = [], [], []  # by point: best score and label before, by the label after; (point, label) before, by the label that ends there
     at = 0
-    for j in range(n + 1):
-        if j:
-            best[j, NONE], back[j, NONE] = reach[j - 1, NONE], (j - 1, come[j - 1, NONE])
-            while at < len(segments) and segments[at][1] == j:
-                i, _, on = segments[at]
-                total = reach[i, :NONE] + weights[:, on].sum(1)
-                better = np.flatnonzero(total > best[j, :NONE])
-                best[j, better], back[j, better, 0], back[j, better, 1] = total[better], i, come[i, better]
-                at += 1
-        if j in used or np.isfinite(best[j, :NONE]).any():
-            all_steps = best[j][:, None] + steps
-            come[j] = all_steps.argmax(0)
-            reach[j] = all_steps.max(0)
+    for j in range(len(counts) + 1):
+        best, before = [least] * NONE, [None] * (NONE + 1)
+        best.append(reach[j - 1][NONE] + (counts[j - 1] - 1) * none if j else 0.0)
+        before[NONE] = (j - 1, come[j - 1][NONE]) if j else None
+        some = False
+        while at < len(found) and found[at][1] == j:
+            i, _, score = found[at]
+            into = reach[i]
+            for k in range(NONE):
+                if into[k] + score[k] > best[k]:
+                    best[k], before[k], some = into[k] + score[k], (i, come[i][k]), True
+            at += 1
+        back.append(before)
+        if some:
+            chosen = [max(labels, key=lambda a: best[a] + steps[a][b]) for b in labels]
+            come.append(chosen)
+            reach.append([best[a] + steps[a][b] for b, a in enumerate(chosen)])
         else:  # only NONE can end here
-            come[j], reach[j] = NONE, best[j, NONE] + steps[NONE]
-    found, j, label = [], n, int(best[n].argmax())
+            come.append([NONE] * (NONE + 1))
+            reach.append([best[NONE] + x for x in steps[NONE]])
+    out, j, label = [], len(counts), max(labels, key=best.__getitem__)
     while j:
-        i, before = back[j, label]
+        i, earlier = back[j][label]
         if label != NONE:
-            found.append((int(i), j, label))
-        j, label = int(i), int(before)
-    return found[::-1]
+            out.append((i, j, label))
+        j, label = i, earlier
+    return out[::-1]
+
+
+def viterbi(n: int, found: list, weights: np.ndarray, steps: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation of n tokens by the segments of a lattice: (first token, end token, kind)."""
+    return decoded([1] * n, [(i, j, weights[:, on].sum(1).tolist()) for i, j, on in found], steps.tolist())
+
+
+def islands(found: Iterator[tuple[int, int, list[float]]]) -> Iterator[list[tuple[int, int, list[float]]]]:
+    """Segments that overlap or touch, together; between two islands stands a token of no kind, so each is decoded by itself."""
+    held, reach = [], -1
+    for one in found:
+        if held and one[0] > reach:
+            yield held
+            held = []
+        held.append(one)
+        reach = max(reach, one[1])
+    if held:
+        yield held
+
+
+def chosen(text: str, island: list[tuple[int, int, list[float]]], high: int, steps: list[list[float]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the best segmentation of an island and of the token after it, if one comes before ``high``."""
+    points = sorted({p for s, e, _ in island for p in (s, e)})
+    counts = [sum(1 for _ in TOKEN.finditer(text, a, b)) for a, b in zip(points, points[1:])]
+    place = {p: k for k, p in enumerate(points)}
+    found = sorted(((place[s], place[e], score) for s, e, score in island), key=lambda x: (x[1], x[0]))
+    return [(points[i], k, points[j]) for i, j, k in decoded(counts + [1] * (points[-1] < high), found, steps)]
 
 
 def regions(text: str) -> list[tuple[int, int]]:
@@ -270,7 +416,7 @@ def _ascii(c: str) -> bool:
     return c.isascii() and c.isalnum()
 
 
-def find(text: str, model: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int, bool]]:
+def find(text: str, model: Field) -> list[tuple[int, int, int, bool]]:
     """(start, kind number, end, base) of all spans, sorted."""
     base = rule_spans(text) if DIGIT_OR_AT.search(text) else []
     found = [(*s, True) for s in base]
@@ -278,13 +424,9 @@ def find(text: str, model: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int
     for low, high in regions(text):
         while held < len(base) and base[held][2] <= low:
             held += 1
-        blocked = []
-        for s, _, e in islice(base, held, None):
-            if s >= high:
-                break
-            blocked.append((s, e))
-        borders, segments = lattice(text, low, high, blocked)
-        found += [(borders[i], kind, borders[j], False) for i, j, kind in viterbi(len(borders) - 1, segments, *model)] if segments else []
+        blocked = [(s, e) for s, _, e in takewhile(lambda b: b[0] < high, islice(base, held, None))]
+        for island in islands(segments(text, low, high, blocked, model.looker(text, high))):
+            found += [(*span, False) for span in chosen(text, island, high, model.plain_steps)]
     return sorted(set(found))
 
 
@@ -344,64 +486,74 @@ def _sum(x: np.ndarray, axis: int) -> np.ndarray:
         return np.log(np.exp(x - most).sum(axis)) + most.squeeze(axis)
 
 
+def _sums(values: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """Logarithms of the sums of exp(values) by ``to``, row by row; -inf where there is none."""
+    most = np.full((n, values.shape[1]), -np.inf)
+    np.maximum.at(most, to, values)
+    sums = np.zeros_like(most)
+    np.add.at(sums, to, np.exp(values - np.where(np.isfinite(most), most, 0)[to]))
+    with np.errstate(divide="ignore"):
+        return np.log(sums) + np.where(np.isfinite(most), most, 0)
+
+
 @cache
-def fit(n: int = 200, rounds: int = 20, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def fit(n: int = 200, rounds: int = 20, rate: float = 0.5) -> Field:
     """Weights (kind, feature) and steps (label, label after it) by gradient ascent on the conditional log-likelihood of
-    ``sentences``, with forward and backward sums; fitted once in a process."""
-    data = []
-    for text, spans in sentences(n):
-        borders, segments = lattice(text, 0, len(text), [])
-        at = {(borders[i], borders[j]): k for k, (i, j, _) in enumerate(segments)}
-        on = np.zeros((len(segments), N_FEATURES))
-        for k, (_, _, f) in enumerate(segments):
-            on[k, f] = 1
-        gold = {segments[at[s, e]][0]: (at[s, e], segments[at[s, e]][1], kind) for s, kind, e in spans if (s, e) in at}
-        path, j = [], 0
+    ``sentences``, with forward and backward sums over all sentences side by side; fitted once in a process."""
+    size, rows, gold_on, pairs = [], [], np.zeros((NONE, N_FEATURES)), np.zeros((NONE + 1, NONE + 1))
+    for at, (text, spans) in enumerate(sentences(n)):
+        borders, found = lattice(text, 0, len(text), [])
+        size.append(len(borders) - 1)
+        by_place = {(borders[i], borders[j]): (i, j, on) for i, j, on in found}
+        gold = {}
+        for s, kind, e in spans:
+            if (s, e) in by_place:
+                i, j, on = by_place[s, e]
+                gold[i] = j, kind
+                gold_on[kind, on] += 1
+        before, j = NONE, 0
         while j < len(borders) - 1:
-            _, j, label = gold.get(j, (None, j + 1, NONE))
-            path.append(label)
-        data.append((len(borders) - 1, [s[:2] for s in segments], on, [(k, kind) for k, _, kind in gold.values()], path))
+            j, label = gold.get(j, (j + 1, NONE))
+            pairs[before, label] += 1
+            before = label
+        rows += [(at, i, j, on) for i, j, on in found]
+    size, most = np.array(size), max(size)
+    who, first, end = (np.array([r[k] for r in rows]) for k in range(3))
+    on = np.zeros((len(rows), N_FEATURES))
+    for k, r in enumerate(rows):
+        on[k, r[3]] = 1
+    ending, starting = ([np.flatnonzero(x == j) for j in range(most + 1)] for x in (end, first))
+    every = np.arange(n)
     shapes = (NONE, N_FEATURES), (NONE + 1, NONE + 1)
     weights, steps = (np.zeros(s) for s in shapes)
     memory = [np.full(s, 1e-6) for s in shapes]
     weights[:, 0] = -2
     for _ in range(rounds):
-        slopes = [-0.02 * weights, -0.02 * steps]
-        for n_tokens, ends, on, gold, path in data:
-            scores = on @ weights.T
-            ending: list[list[int]] = [[] for _ in range(n_tokens + 1)]
-            starting: list[list[int]] = [[] for _ in range(n_tokens + 1)]
-            for k, (i, j) in enumerate(ends):
-                starting[i].append(k)
-                ending[j].append(k)
-            forward = np.full((n_tokens + 1, NONE + 1), -np.inf)  # up to a border, by the label of what ends there
-            into = np.empty((n_tokens + 1, NONE + 1))  # ... by the label of what starts there
-            forward[0, NONE] = 0
-            for j in range(n_tokens + 1):
-                if j:
-                    forward[j, NONE] = into[j - 1, NONE]
-                    if ending[j]:
-                        forward[j, :NONE] = _sum(np.array([into[ends[k][0], :NONE] + scores[k] for k in ending[j]]), 0)
-                into[j] = _sum(forward[j][:, None] + steps, 0) if ending[j] else forward[j, NONE] + steps[NONE]
-            backward, start = np.zeros((n_tokens + 1, NONE + 1)), np.full((n_tokens + 1, NONE + 1), -np.inf)
-            for i in range(n_tokens - 1, -1, -1):
-                start[i, NONE] = backward[i + 1, NONE]
-                if starting[i]:
-                    start[i, :NONE] = _sum(np.array([scores[k] + backward[ends[k][1], :NONE] for k in starting[i]]), 0)
-                backward[i] = _sum(steps + start[i][None, :], 1) if starting[i] else steps[:, NONE] + start[i, NONE]
-            total = backward[0, NONE]
-            if len(ends):
-                i, j = np.array(ends).T
-                slopes[0] -= np.exp(into[i, :NONE] + scores + backward[j, :NONE] - total).T @ on
-            slopes[1] -= np.exp(forward[:-1, :, None] + steps[None] + start[:-1, None, :] - total).sum(0)
-            for k, kind in gold:
-                slopes[0][kind] += on[k]
-            for a, b in zip([NONE, *path], path, strict=False):
-                slopes[1][a, b] += 1
+        scores = on @ weights.T
+        forward = np.full((n, most + 1, NONE + 1), -np.inf)  # up to a border, by the label of what ends there
+        into = np.empty_like(forward)  # ... by the label of what starts there
+        forward[:, 0, NONE] = 0
+        for j in range(most + 1):
+            if j:
+                forward[:, j, NONE] = into[:, j - 1, NONE]
+                forward[:, j, :NONE] = _sums(into[who[ending[j]], first[ending[j]], :NONE] + scores[ending[j]], who[ending[j]], n)
+            into[:, j] = _sum(forward[:, j, :, None] + steps, 1)
+        backward, start = np.full_like(forward, -np.inf), np.full_like(forward, -np.inf)
+        backward[every, size] = 0
+        for i in range(most - 1, -1, -1):
+            start[:, i, NONE] = backward[:, i + 1, NONE]
+            start[:, i, :NONE] = _sums(scores[starting[i]] + backward[who[starting[i]], end[starting[i]], :NONE], who[starting[i]], n)
+            found = _sum(steps + start[:, i, None, :], 2)
+            backward[:, i] = np.where((i < size)[:, None], found, backward[:, i])
+        total = backward[:, 0, NONE]
+        slopes = [-0.02 * weights + gold_on, -0.02 * steps + pairs]
+        slopes[0] -= np.exp(into[who, first, :NONE] + scores + backward[who, end, :NONE] - total[who, None]).T @ on
+        within = np.arange(most) < size[:, None]
+        slopes[1] -= np.exp((forward[:, :-1, :, None] + steps + start[:, :-1, None, :] - total[:, None, None, None])[within]).sum(0)
         for x, slope, m in zip((weights, steps), slopes, memory, strict=True):
             m += slope**2
             x += rate * slope / np.sqrt(m)
-    return weights, steps
+    return Field((weights, steps))
 
 
 def spans(df: DataFrame, text: str = "text") -> DataFrame:
