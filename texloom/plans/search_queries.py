@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from texloom.functions import text as T
 from texloom.operators import retrieval as R
+from texloom.operators import text_index
 
 from .registry import Tables, query
 
@@ -28,15 +29,23 @@ o as (select doc_id, w0 * tf0 * 2.5 / (tf0 + 1.5 * (0.25 + 0.75 * dl / avgdl)) +
 
 @query(f"{OKAPI} select doc_id, round(score, 6) as score from o order by o.score desc, doc_id limit 10")
 def bm25_topk(t: Tables):
-    return R.okapi(t.documents, TERMS).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
+    return text_index.of(t.documents).top(TERMS, 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"{OKAPI} select o.doc_id, round(score, 6) as score, quality from o join labels l on o.doc_id = l.doc_id order by o.score desc, o.doc_id limit 10")
 def bm25_with_labels(t: Tables):
-    hits = R.okapi(t.documents, TERMS).select("doc_id", "score").join(t.labels.select("doc_id", "quality"), "doc_id")
+    hits = text_index.of(t.documents).top(TERMS, 10, within=t.labels).join(t.labels.select("doc_id", "quality"), "doc_id")
     return hits.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"), "quality")
 
 
+@query(f"""with {COUNTS.replace("'the'", "'nosuchterm'")},
+i as (select avgdl, ln(n - df1 + 0.5) - ln(df1 + 0.5) as w1, ln(n - df2 + 0.5) - ln(df2 + 0.5) as w2 from s)
+select doc_id, round(score, 6) as score from (select doc_id, w1 * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) + 2 * w2 * tf2 * 2.2 / (tf2 + 1.2 * (0.25 + 0.75 * dl / avgdl)) as score from c, i) order by 2 desc, 1 limit 300""")
+def bm25_index_repeated(t: Tables):
+    """A term twice in the query, one that no text has, and more hits asked for than there may be."""
+    return text_index.of(t.documents).top(["erth", "ening", "nosuchterm", "ening"], 300, k1=1.2).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"""with {COUNTS},
 i as (select avgdl, greatest(ln(n - df0 + 0.5) - ln(df0 + 0.5), 1e-6) as w0, greatest(ln(n - df2 + 0.5) - ln(df2 + 0.5), 1e-6) as w2 from s)
 select doc_id, round(w0 * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / avgdl)) + w2 * tf2 * 2.2 / (tf2 + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) as score
@@ -131,7 +140,7 @@ b as (select doc_id, row_number() over (order by n_chars desc, doc_id) as rank f
 
 
 def _lists(t: Tables):
-    return R.ranked(R.okapi(t.documents, TERMS)), R.ranked(t.documents.select("doc_id", F.col("n_chars").alias("score")))
+    return R.ranked(text_index.of(t.documents).top(TERMS, 100)), R.ranked(t.documents.select("doc_id", F.col("n_chars").alias("score")))
 
 
 @query(f"{LISTS} select doc_id, round(sum(1.0 / (60 + rank)), 6) as rrf_score from (select * from a union all select * from b) group by doc_id")
@@ -156,5 +165,5 @@ def hybrid_weighted(t: Tables):
 @query(f"""{LISTS}, r as (select a.doc_id, rank, {OVERLAP} as s from a join documents d on a.doc_id = d.doc_id)
 select doc_id, cast(rank as int) as rank, cast(row_number() over (order by case when rank > 20 then 1 else 0 end, case when rank <= 20 then s end desc nulls last, rank) as int) as new_rank from r""")
 def rerank_head(t: Tables):
-    ranks = R.ranked(R.okapi(t.documents, TERMS)).join(t.documents.select("doc_id", "text"), "doc_id")
+    ranks = R.ranked(text_index.of(t.documents).top(TERMS, 100)).join(t.documents.select("doc_id", "text"), "doc_id")
     return R.rerank_head(ranks, R.token_overlap(F.col("text"), TERMS)).select("doc_id", "rank", "new_rank")
