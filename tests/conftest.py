@@ -14,7 +14,7 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp()).config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.checkpoint.dir", tempfile.mkdtemp()).config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", tempfile.mkdtemp()).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

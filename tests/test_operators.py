@@ -162,7 +162,7 @@ def test_quoted_items_of_any_length(spark):
 
     docs = spark.createDataFrame([(1, "the big red fox ran over one green hill at dawn"), (2, "one greenhill"), (3, None), (4, "xthe big redy")], "doc_id long, text string")
     items = ["the big red fox ran over one", "red fox ran", "hill", "one green", "e big red", "not there at all in any", "zzz", "fox ran over one"]
-    got = {r.item_id: (r.n, r.first_doc) for r in citations.quoted(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), block=2).collect()}
+    got = {r.item_id: (r.n, r.first_doc) for r in citations.quoted(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
     bodies = {r.doc_id: r.text for r in docs.collect() if r.text}
     want = {i: sorted(d for d, b in bodies.items() if x in b) for i, x in enumerate(items)}
     assert got == {i: (len(d), d[0] if d else None) for i, d in want.items()}

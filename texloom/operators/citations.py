@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+
+from .intervals import located
+from .phrases import held
 
 
 def _first(text: Column, *patterns: str) -> Column:
@@ -29,22 +29,26 @@ def parsed(entries: DataFrame, text: str = "citation_text", position: str = "pos
     })
 
 
-_IN_TEXT = (("numeric", re.compile(r"\[[0-9]+(?:\s*[,–-]\s*[0-9]+)*\]")), ("author_year", re.compile(r"\([A-Z][A-Za-z'-]+(?:\s+et al\.|\s+and\s+[A-Z][A-Za-z'-]+)?,\s*(?:19|20)[0-9]{2}[a-z]?\)")), ("named", re.compile(r"[A-Z][A-Za-z'-]+(?:\s+et al\.|\s+and\s+[A-Z][A-Za-z'-]+)?\s+\((?:19|20)[0-9]{2}[a-z]?\)")))
-
+#: Kinds of citations in the text and their patterns.
+IN_TEXT = {
+    "numeric": r"\[[0-9]+(?:\s*[,–-]\s*[0-9]+)*\]",
+    "author_year": r"\([A-Z][A-Za-z'-]+(?:\s+et al\.|\s+and\s+[A-Z][A-Za-z'-]+)?,\s*(?:19|20)[0-9]{2}[a-z]?\)",
+    "named": r"[A-Z][A-Za-z'-]+(?:\s+et al\.|\s+and\s+[A-Z][A-Za-z'-]+)?\s+\((?:19|20)[0-9]{2}[a-z]?\)",
+}
 
-@udtf(returnType="kind string, position int, citation string, before string, after string")
-class InText:
-    """Citations of a paragraph with their place and 100 characters on both sides."""
 
-    def eval(self, text: str) -> Iterator[tuple]:
-        for kind, pattern in _IN_TEXT:
-            for m in pattern.finditer(text or ""):
-                yield kind, m.start(), m[0], text[max(0, m.start() - 100) : m.start()], text[m.end() : m.end() + 100]
+def in_text(paragraphs: DataFrame, key: str = "doc_id", text: str = "text", around: int = 100) -> DataFrame:
+    """key, kind, position, citation, before, after: citations with their place and the characters on both sides.
 
-
-def in_text(paragraphs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, kind, position, citation, before, after."""
-    return paragraphs.select(key, text).lateralJoin(InText(F.col(text).outer())).select(key, "kind", "position", "citation", "before", "after")
+    A row of ``paragraphs`` is told by its key. Texts without any citation are not looked at again.
+    """
+    some = paragraphs.where(F.col(text).rlike("|".join(IN_TEXT.values()))).select(key, text)
+    found = reduce(DataFrame.unionByName, [located(some, p, key, text).withColumn("kind", F.lit(kind)) for kind, p in IN_TEXT.items()])
+    low = F.greatest(F.col("start") - around, F.lit(0))
+    return found.join(some, key).select(
+        key, "kind", F.col("start").cast("int").alias("position"), F.col("match").alias("citation"),
+        F.substring(text, low + 1, F.col("start") - low).alias("before"), F.substring(text, F.col("end") + 1, F.lit(around)).alias("after"),
+    )
 
 
 def cited_numbers(citation: Column) -> Column:
@@ -67,12 +71,12 @@ def linked(cited: DataFrame, references: DataFrame, key: str = "doc_id") -> Data
     return by_number.unionByName(by_year).groupBy(key, "kind", "position", "citation", "number").agg(F.min_by("ref_id", "ref_position").alias("ref_id"))
 
 
-def quoted(docs: DataFrame, items: DataFrame, window: int = 4, block: int = 1000) -> DataFrame:
+def quoted(docs: DataFrame, items: DataFrame, window: int = 4) -> DataFrame:
     """(item_id, n, first_doc): how many documents hold the text of each item, and the least of them.
 
     The first and last word of an item may be parts of longer words in a document, so the key is a window of the words
     between them, of up to ``window`` words. Only ids and hashes meet; texts are fetched for the hits. Items of one or two
-    words have no word between: they are a query set that is tested against all documents in blocks.
+    words have no word between and are keyed by their rarest q-gram.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     long = items.withColumn("w", words("text")).withColumn("size", F.least(F.size("w") - 2, F.lit(window)))
@@ -88,10 +92,8 @@ def quoted(docs: DataFrame, items: DataFrame, window: int = 4, block: int = 1000
         texts = hits.distinct().join(items.select("item_id", F.col("text").alias("item")), "item_id").join(docs.select("doc_id", F.col("text").alias("body")), "doc_id")
         both.append(texts.where(F.contains("body", F.col("item"))).select("item_id", "doc_id"))
     short = long.where("size <= 0")
-    if n := short.count():
-        blocks = short.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(-(-n // block)))).agg(F.collect_list(F.struct("item_id", "text")).alias("set"))
-        held = F.filter("set", lambda x: F.contains(F.col("body"), x.text))
-        both.append(docs.select("doc_id", F.col("text").alias("body")).join(blocks, F.size(held) > 0).select("doc_id", F.explode(held).alias("i")).select("i.item_id", "doc_id"))
+    if not short.isEmpty():
+        both.append(held(docs, short, phrase_id="item_id", phrase="text").select(F.col("phrase_id").alias("item_id"), "doc_id"))
     none = items.select("item_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first_doc"))
     if not both:
         return none

@@ -102,12 +102,16 @@ def cooccurrence(found: DataFrame) -> DataFrame:
     return left.select("doc_id", "chunk_id", "source", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("target"))
 
 
+def phrases(chunks: DataFrame, patterns: dict[str, tuple[str, ...]] = RELATIONS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, relationship, context): the distinct phrases of a document that tell a relationship."""
+    found = [F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({p})"), F.lit(1)), _named(kind)) for kind, ps in patterns.items() for p in ps]
+    return chunks.select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(*found)).alias("p")).select("doc_id", "p.*").distinct()
+
+
 def relations(chunks: DataFrame, entities: DataFrame, patterns: dict[str, tuple[str, ...]] = RELATIONS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, relationship, source, target, context): pairs of a document's entities whose text stands in a matched phrase."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({p})"), F.lit(1)), _named(kind)) for kind, ps in patterns.items() for p in ps]
-    phrases = chunks.select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(*found)).alias("p")).select("doc_id", "p.*").distinct()
     names = entities.select("doc_id", "normalized").distinct()
-    inside = phrases.join(names, "doc_id").where(F.contains(F.lower("context"), F.col("normalized")))
+    inside = phrases(chunks, patterns, doc_id, text).join(names, "doc_id").where(F.contains(F.lower("context"), F.col("normalized")))
     each = inside.groupBy("doc_id", "relationship", "context").agg(F.array_sort(F.collect_set("normalized")).alias("es"))
     left = each.select("doc_id", "relationship", "context", "es", F.posexplode("es").alias("i", "source"))
     return left.select("doc_id", "relationship", "source", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("target"), "context")

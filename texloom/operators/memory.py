@@ -69,3 +69,23 @@ def recent_context(vectors: DataFrame, query: list[float], user: str, k: int = 2
     if as_of is not None:
         similarity = similarity * F.when(as_of - F.col("at") > F.expr("interval 1 day"), 0.5).otherwise(1.0)
     return own.select("vec_id", similarity.alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
+
+
+def cascade(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]], root: str, doomed: DataFrame) -> dict[str, DataFrame]:
+    """What stays of every table when the rows ``doomed`` of the table ``root`` go, with all that hangs on them.
+
+    ``links``: (child, its column, parent, the parent's column), parents before children. ``doomed`` has the root's columns that
+    its children name, and is matched by all columns that it has. A row of a child goes if one of its parents does; null refers to nothing.
+    """
+    gone = {root: doomed}
+    left = dict(tables)
+    keys = doomed.columns
+    left[root] = tables[root].join(doomed.dropDuplicates(keys), keys, "left_anti").select(*tables[root].columns)
+    for child, column, parent, name in links:
+        if parent in gone:
+            ids = gone[parent].select(F.col(name).alias(column)).where(F.col(column).isNotNull()).distinct()
+            columns = tables[child].columns
+            lost = left[child].join(ids, column, "left_semi").select(*columns)
+            gone[child] = gone[child].unionByName(lost) if child in gone else lost
+            left[child] = left[child].join(ids, column, "left_anti").select(*columns)
+    return left

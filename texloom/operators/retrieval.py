@@ -150,13 +150,3 @@ def nearest(vectors: DataFrame, query: Column | list[float], k: int, vec_id: str
     at = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
     d = squared_l2(F.col(embedding), at)
     return vectors.select(vec_id, d.alias("distance")).orderBy("distance", vec_id).limit(k).withColumn("similarity", 1 / (1 + F.col("distance")))
-
-
-def nearest_per_query(vectors: DataFrame, queries: DataFrame, k: int, group: str) -> DataFrame:
-    """For each query row (query_id, query_vec, ``group``) the k nearest vectors of its group, itself left out.
-
-    Every task keeps the k best of a query before the shuffle, as the rank is limited.
-    """
-    pairs = queries.join(vectors, group).where(F.col("query_id") != F.col("vec_id"))
-    d = pairs.select("query_id", "vec_id", squared_l2(F.col("embedding"), F.col("query_vec")).alias("distance"))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)

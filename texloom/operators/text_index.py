@@ -25,7 +25,7 @@ from texloom.functions.text import blank_tokens
 from .retrieval import idf
 
 #: Layers of term weight, and documents of a share at most.
-LAYERS, SHARE = 16, 1 << 16
+LAYERS, SHARE = 16, 1 << 12
 
 
 def saturation(tf: Column, dl: Column, avgdl: float, k1: float, b: float) -> Column:
@@ -108,13 +108,12 @@ class TextIndex:
         """The blocks that hold every document of the top k with all its terms; the others' documents cannot reach it.
 
         Weights are not negative, so a part of a document's terms gives it no more than its score: the k-th score by the best
-        layers of each term is a lower bound. A document of a block scores at most the block's bound and the
-        greatest ones of the other terms.
+        layers of each term is a lower bound. A document of a block scores at most the block's bound and the greatest ones of
+        the other terms in its share of the documents, so a common term is read only where a rarer one can help.
         """
         weight = F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("term"))
         bound = weight * saturation(F.col("max_tf"), F.col("min_dl"), avgdl, k1, b)
-        layers = blocks.groupBy("term", "layer").agg(F.max(bound).alias("bound"), F.sum("n").alias("n")).collect()  # LAYERS rows a term at most
-        most = {t: max((r.bound for r in layers if r.term == t), default=0.0) for t in weights}
+        layers = blocks.groupBy("term", "layer").agg(F.sum("n").alias("n")).collect()  # LAYERS rows a term at most
         first = F.lit(False)
         for t in weights:
             held = 0
@@ -125,8 +124,9 @@ class TextIndex:
         head = kept(self.scores(weights, avgdl, blocks.where(first), k1, b)).orderBy(F.desc("score")).limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
         if head.n < k:
             return blocks
-        others = F.element_at(F.create_map(*[F.lit(x) for t in weights for x in (t, sum(most.values()) - most[t])]), F.col("term"))
-        return blocks.where(bound + others >= head.least * (1 - 1e-9))
+        shares = blocks.groupBy("share").agg(*[F.coalesce(F.max(F.when(F.col("term") == t, bound)), F.lit(0.0)).alias(f"m{i}") for i, t in enumerate(weights)])
+        others = sum((F.when(F.col("term") == t, F.lit(0.0)).otherwise(F.col(f"m{i}")) for i, t in enumerate(weights)), F.lit(0.0))
+        return blocks.join(shares, "share").where(bound + others >= head.least * (1 - 1e-9)).select(blocks.columns)
 
 
 def of(docs: DataFrame, folder: str | None = None, **options) -> TextIndex:

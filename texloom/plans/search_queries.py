@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from texloom.functions import text as T
 from texloom.operators import retrieval as R
-from texloom.operators import text_index
+from texloom.operators import neighbours, text_index
 
 from .registry import Tables, query
 
@@ -131,7 +131,19 @@ from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_i
 select query_id, vec_id, cast(rank as int) as rank, round(d, 6) as distance from (select *, row_number() over (partition by query_id order by d, vec_id) as rank from p) where rank <= 5""")
 def knn_per_label_topk(t: Tables):
     asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), "label")
-    return R.nearest_per_query(t.embeddings, asked, 5, "label").select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
+    return neighbours.nearest_per_query(t.embeddings, asked, 5, "label").select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""with p as (select a.vec_id as query_id, b.vec_id, {L2.replace('embedding', 'b.embedding').replace(', q)', ', a.embedding)')} as d
+from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+r as (select query_id, vec_id, row_number() over (partition by query_id order by d, vec_id) as rank from p)
+select query_id, cast(rank as int) as rank, doc_id, lang, source, n_chars from r join documents on doc_id = vec_id where rank <= 10""")
+def knn_documents(t: Tables):
+    """The documents behind the nearest vectors of many queries: ids first, then one join for what is shown of them."""
+    asked = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    hits = neighbours.nearest_per_query(t.embeddings, asked, 10)
+    shown = t.documents.select("doc_id", "lang", "source", "n_chars")
+    return hits.join(shown, hits.vec_id == shown.doc_id).select("query_id", "rank", "doc_id", "lang", "source", "n_chars")
 
 
 LISTS = f"""{OKAPI},
