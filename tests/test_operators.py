@@ -1,7 +1,10 @@
 """Hand-worked cases of operators whose inputs the tables do not hold."""
 
 import datetime as dt
+import os
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from texloom.functions import formulas, text
@@ -119,7 +122,23 @@ def test_writes(spark, tmp_path):
     files.save_vectors(spark.createDataFrame([(1, [1.0, 2.0])], "id long, embedding array<double>"), str(tmp_path / "v"))
     assert tuple(files.vector_stats(spark.read.parquet(str(tmp_path / "v"))).first()) == (1, 2)
     done = files.offload(spark.createDataFrame([("A title", "u1", "body"), ("A title", "u2", "other")], "title string, url string, text string"), str(tmp_path / "md"), now)
-    assert len({r.name for r in done.collect()}) == 2
+    names = {r.name for r in done.collect()}
+    assert len(names) == 2 and set(os.listdir(tmp_path / "md")) == names
+    assert {(tmp_path / "md" / n).read_text().rsplit("---", 1)[1].strip() for n in names} == {"body", "other"}
+
+
+def test_one_file_a_document(spark, tmp_path):
+    spark.dataSource.register(files.DocumentFiles)
+    rows = [(f"d{k}.md", f"line\r\n{k}\n") for k in range(40)] + [("d0.md", "line\r\n0\n"), ("none.md", None)]
+    save = lambda rows: spark.createDataFrame(rows, "name string, value string").repartition(4).write.format("document_files").mode("append").save(str(tmp_path / "docs"))
+    for _ in range(2):
+        save(rows)
+        assert {n: (tmp_path / "docs" / n).read_bytes().decode() for n in os.listdir(tmp_path / "docs")} == {n: v or "" for n, v in rows}
+    for bad in ("../up.md", None, ".hidden"):
+        with pytest.raises(Exception, match="not a file name"):
+            save([(f"new{k}.md", "x") for k in range(40)] + [(bad, "x")])
+    time.sleep(1)  # tasks that are being stopped
+    assert len([n for n in os.listdir(tmp_path / "docs") if not n.startswith(".")]) == 41  # no file of a write that failed
 
 
 def test_dataset(spark, tmp_path):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from texloom.functions import formulas as L
 from texloom.operators import citations as C
 from texloom.operators import entities as E
+from texloom.operators import intervals
 
 from .registry import Tables, query
 
@@ -63,19 +64,21 @@ def relations_pairs(t: Tables):
     return E.relations(t.documents, E.merged(_found(t)), {"uses": (r"[^.!?\n]{0,80}\b(?:with)\b[^.!?\n]{0,80}",)}).select("doc_id", "source", "target", F.md5("context").alias("context_md5"))
 
 
-LATEX = r"\frac{a}{b} + \sqrt{x} = \alpha"
-MATH = f"(select doc_id, case doc_id % 3 when 0 then '{LATEX}' when 1 then 'x = y + 2.5' else '\\sum_i \\sin(x_i) \\leq n' end as f from documents)"
+#: What stands between single dollar signs in the documents, cleaned.
+MATH = "(select doc_id, trim(regexp_replace(regexp_replace(m, '(?s)^\\$(.*)\\$$', '\\1'), '\\s+', ' ', 'g')) as f from (select doc_id, unnest(regexp_extract_all(text, '(\\$[^$]+\\$)', 1)) as m from documents))"
 
 
 def _latex(t: Tables):
-    return t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, LATEX).when(F.col("doc_id") % 3 == 1, "x = y + 2.5").otherwise(r"\sum_i \sin(x_i) \leq n").alias("f"))
+    return intervals.located(t.documents, r"\$[^$]+\$").select("doc_id", L.cleaned(F.col("match")).alias("f"))
 
 
+#: Word borders are those of any script, which this SQL reads only as ASCII: letters beyond it stand as underscores.
+_B = "regexp_replace(f, '[^\\x00-\\x7F\\p{P}\\p{S}\\p{Z}]', '_', 'g')"
 _G, _FN, _OP, _K = ("|".join(x) for x in (L.GREEK, L.FUNCTIONS, L.OPERATORS, L.CONSTANTS))
-_VARS = f"list_distinct(list_concat(regexp_extract_all(f, '\\b([a-zA-Z])\\b', 1), regexp_extract_all(f, '\\\\({_G})', 1)))"
+_VARS = f"list_distinct(list_concat(regexp_extract_all({_B}, '\\b([a-zA-Z])\\b', 1), regexp_extract_all(f, '\\\\({_G})', 1)))"
 _FUNS = f"list_distinct(list_concat(regexp_extract_all(f, '\\\\({_FN})', 1), regexp_extract_all(f, '([a-zA-Z]+)\\s*\\(', 1)))"
 _OPS = f"list_distinct(list_concat(regexp_extract_all(f, '\\\\({_OP})', 1), regexp_extract_all(f, '([+\\-*/=<>])', 1)))"
-_CONS = f"list_distinct(list_concat(regexp_extract_all(f, '\\\\({_K})', 1), regexp_extract_all(f, '([0-9]+(?:\\.[0-9]+)?)', 1)))"
+_CONS = f"list_distinct(list_concat(regexp_extract_all(f, '\\\\({_K})', 1), regexp_extract_all({_B}, '\\b([0-9]+(?:\\.[0-9]+)?)\\b', 1)))"
 
 
 @query(f"""select doc_id, array_to_string(list_sort(v), ',') as variables, array_to_string(list_sort(n), ',') as functions, array_to_string(list_sort(o), ',') as operators, array_to_string(list_sort(c), ',') as constants,
@@ -88,9 +91,9 @@ def latex_features(t: Tables):
     return rows.select("doc_id", *[F.array_join(a, ",").alias(b) for a, b in (("v", "variables"), ("n", "functions"), ("o", "operators"), ("c", "constants"))], "math_type", F.round(L.complexity(f, F.size("v"), F.size("n"), F.size("o")), 6).alias("complexity"))
 
 
-@query(f"select doc_id, f as latex from {MATH} where contains(lower(f), 'sin') order by doc_id limit 20")
+@query(f"select doc_id, f as latex from {MATH} where contains(lower(f), 'an') order by doc_id, f limit 20")
 def math_search(t: Tables):
-    return _latex(t).where(F.contains(F.lower("f"), F.lit("sin"))).orderBy("doc_id").limit(20).select("doc_id", F.col("f").alias("latex"))
+    return _latex(t).where(F.contains(F.lower("f"), F.lit("an"))).orderBy("doc_id", "f").limit(20).select("doc_id", F.col("f").alias("latex"))
 
 
 @query("select item_id, count(doc_id) as n, min(doc_id) as first_doc from benchmark b left join documents d on contains(d.text, b.text) group by item_id")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import os
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from texloom.functions.text import safe_filename
 from texloom.operators.corpus import unexpired
@@ -48,9 +54,14 @@ def front_matter(title: Column, url: Column, body: Column, as_of: Column) -> Col
 
 
 def offload(pages: DataFrame, path: str, as_of: Column, title: str = "title", url: str = "url", body: str = "text") -> DataFrame:
-    """Write documents under a folder of their hashed name, and give (url, name). Equal titles do not collide."""
+    """Write each document to a file of its title and a hash of its url in a folder that all executors share, and give (url, name).
+
+    Equal titles do not collide. No file is left of a write that fails (``DocumentFiles``).
+    """
     named = pages.withColumn("name", F.concat_ws("_", safe_filename(F.col(title)), F.substring(F.md5(F.col(url)), 1, 8)))
-    named.select("name", front_matter(F.col(title), F.col(url), F.col(body), as_of).alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\u0000").text(path)
+    named = named.withColumn("name", F.concat("name", F.lit(".md")))
+    pages.sparkSession.dataSource.register(DocumentFiles)
+    named.select("name", front_matter(F.col(title), F.col(url), F.col(body), as_of).alias("value")).write.format("document_files").mode("append").save(path)
     return named.select(url, "name")
 
 
@@ -87,3 +98,60 @@ def search_records(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
     history = named.select("search_id", "session_id", "query", F.size("results").alias("result_count"), "ts")
     results = named.select("search_id", F.posexplode("results").alias("position", "r")).select(F.md5(F.concat_ws("|", "search_id", F.col("position").cast("string"))).alias("id"), "search_id", "position", "r.*")
     return history, results
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The files of one task, under names of their own until the write is committed."""
+
+    files: list[tuple[str, str]]
+
+
+class DocumentFiles(DataSource):
+    """A sink of one file per row: ``df.write.format("document_files").mode("append").save(folder)`` with columns name and value.
+
+    ``folder`` is one that all executors share. A task writes under names of its own, and the driver gives files their names
+    once all tasks have ended, and then removes what else the write has left, so a task that fails or runs twice leaves no file. Of rows
+    of one name the last committed stays. Files that are there already and are not written again stay.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "document_files"
+
+    def writer(self, schema, overwrite: bool) -> DocumentWriter:
+        return DocumentWriter(self.options["path"], schema)
+
+
+class DocumentWriter(DataSourceWriter):
+    def __init__(self, folder: str, schema):
+        self.folder, self.mark = folder.removeprefix("file:"), f".{uuid.uuid4().hex}"  # one of this write, for all its tasks
+        missing = {"name", "value"} - set(schema.fieldNames())
+        if missing:
+            raise ValueError(f"columns are missing: {sorted(missing)}")
+
+    def write(self, iterator: Iterator[Row]) -> Written:
+        os.makedirs(self.folder, exist_ok=True)
+        files: list[tuple[str, str]] = []
+        for row in iterator:
+            if not row.name or "/" in row.name or row.name.startswith("."):
+                raise ValueError(f"not a file name: {row.name!r}")
+            held = os.path.join(self.folder, f"{self.mark}-{uuid.uuid4().hex}")
+            files.append((held, os.path.join(self.folder, row.name)))
+            with open(held, "w", encoding="utf-8", newline="") as f:
+                f.write(row.value or "")
+        return Written(files)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        for held, name in (pair for m in messages if m for pair in m.files):
+            os.replace(held, name)
+        self.clear()
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        """Remove what tasks of this write have left, those that failed, were killed or ran twice among them."""
+        for name in os.listdir(self.folder) if os.path.isdir(self.folder) else ():
+            if name.startswith(self.mark):
+                os.remove(os.path.join(self.folder, name))
