@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from texloom.operators import chunking, citations, corpus, intervals, memory, phrases
 from texloom.operators import entities as E
-from texloom.operators import intervals, memory, phrases
 from texloom.streaming import deltas, sinks
 
+from .corpus_queries import CHUNKS
 from .registry import Tables, query
 
 #: Formulas between single dollar signs.
@@ -56,9 +57,18 @@ def phrase_documents(t: Tables):
 #: Word borders are those of any script, which this SQL reads only as ASCII: letters beyond it stand as underscores, but for a pattern that takes text along.
 _BORDERED = "regexp_replace(text, '[^\\x00-\\x7F\\p{P}\\p{S}\\p{Z}]', '_', 'g')"
 _BOOST = lambda words: " + ".join(f"cast(contains(lower(text), '{w}') as int)" for w in words)
-LEXICON = "with m as (" + " union all ".join(
-    f"select doc_id, '{kind}' as entity_type, {seq} as seq, unnest(regexp_extract_all({'text' if '[^.]' in pattern else _BORDERED}, '(?i)({pattern})', 1)) as x, {_BOOST(context)} as boost from documents" for seq, (kind, pattern, context) in enumerate(E.LEXICON)
-) + "), e as (select *, least(1.0, 0.5 + case when regexp_matches(x, '^[A-Z]') then 0.2 else 0 end + case when contains(x, ' ') then 0.1 else 0 end + 0.1 * boost) as c from m where length(x) >= 3 and lower(x) not in ('the', 'and', 'or', 'in', 'on', 'at'))"
+
+
+def _mentions(key: str, source: str) -> str:
+    """SQL of the tables m and e: all matches of the lexicon in the rows of ``source`` (``key``, text), and those kept, with their confidence c."""
+    each = " union all ".join(
+        f"select {key}, '{kind}' as entity_type, unnest(regexp_extract_all({'text' if '[^.]' in pattern else _BORDERED}, '(?i)({pattern})', 1)) as x, {_BOOST(context)} as boost from {source}" for kind, pattern, context in E.LEXICON
+    )
+    c = "least(1.0, 0.5 + case when regexp_matches(x, '^[A-Z]') then 0.2 else 0 end + case when contains(x, ' ') then 0.1 else 0 end + 0.1 * boost)"
+    return f"m as ({each}), e as (select *, {c} as c from m where length(x) >= 3 and lower(x) not in ('the', 'and', 'or', 'in', 'on', 'at'))"
+
+
+LEXICON = f"with {_mentions('doc_id', 'documents')}"
 
 
 def _lexicon(t: Tables) -> DataFrame:
@@ -85,6 +95,37 @@ def lexicon_phrases(t: Tables):
     return both.groupBy("doc_id", "relationship", "context").agg(F.array_sort(F.collect_set("normalized")).alias("entities"))
 
 
+_CITED = " + ".join("len(regexp_extract_all(coalesce(text, ''), '{}'))".format(p.replace("'", "''")) for p in citations.IN_TEXT.values())
+
+
+@query(f"""{CHUNKS}, {_mentions("doc_id, chunk_index", "(select doc_id, chunk_index, chunk_text as text from c)")},
+ck as (select doc_id, count(*) as chunks, min(char_count) as lo, max(char_count) as hi from c group by 1),
+cn as (select doc_id, count(*) as entities, min(c) as least from (select doc_id, entity_type, lower(x), max(c) as c from e group by 1, 2, 3) group by 1),
+co as (select c.doc_id, count(*) as orphans from c left join (select distinct doc_id, chunk_index from e) h on h.doc_id = c.doc_id and h.chunk_index = c.chunk_index where h.doc_id is null group by 1),
+cf as (select d.doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '\\S'))) as sections, len(regexp_extract_all(coalesce(text, ''), '{FORMULA}')) as math, {_CITED} as cites,
+ coalesce(chunks, 0) as chunks, lo, hi, coalesce(entities, 0) as entities, least, coalesce(orphans, 0) as orphans from documents d left join ck on ck.doc_id = d.doc_id left join cn on cn.doc_id = d.doc_id left join co on co.doc_id = d.doc_id),
+cs as (select doc_id, ((case when sections >= 5 then 100 else 0 end) + (case when sections = 0 then 0 else 70 end) + (case when chunks >= 10 then 100 else 0 end) + (case when math > 0 then 100 else 80 end) + (case when cites >= 3 then 100 else 0 end) + (case when entities >= 5 then 100 else 70 end)) / 6.0 as cm,
+ ((case when lo < 100 then 80 when hi > 2000 then 85 else 100 end) + (case when least < 0.3 then 75 else 100 end) + (case when cites = 0 then 50 else 100 end)) / 3.0 as qu,
+ ((case when orphans > 0 then 85 else 100 end) + (case when math > 0 and cites > 0 and chunks > 0 and entities > 0 then 100 else 60 end)) / 2.0 as it from cf)
+select doc_id, round(cm, 6) as completeness, round(qu, 6) as quality, round(it, 6) as integrity, round(0.4 * cm + 0.4 * qu + 0.2 * it, 6) as overall from cs""")
+def validation_extracted(t: Tables):
+    """Validation of every document on what the library itself finds in it: lines, formulas, citations, chunks, entities, chunks without any."""
+    docs = t.documents.select("doc_id", "text")
+    chunks = chunking.chunked(docs).select("doc_id", "chunk_index", "chunk_text", "char_count")
+    found = E.mentions(chunks, chunk_id="chunk_index", text="chunk_text")
+    sizes = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.min("char_count").alias("min_chunk"), F.max("char_count").alias("max_chunk"))
+    names = E.merged(found).groupBy("doc_id").agg(F.count(F.lit(1)).alias("entity_count"), F.min("confidence").alias("min_confidence"))
+    without = chunks.join(found.select("doc_id", F.col("chunk_id").alias("chunk_index")).distinct(), ["doc_id", "chunk_index"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("orphan_chunks"))
+    lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"\S")))
+    counted = corpus.counted(docs, {"math": intervals.located(docs, FORMULA), "citation": citations.in_text(docs)})
+    facts = reduce(lambda a, b: a.join(b, "doc_id", "left"), [sizes, names, without], docs.select("doc_id", lines.alias("section_count")).join(counted, "doc_id", "left"))
+    had = {"math_processing": "math_count", "citation_parsing": "citation_count", "content_chunking": "chunk_count", "entity_extraction": "entity_count"}
+    stages = F.array_compact(F.array(F.lit("document_structure"), *[F.when(F.col(c) > 0, stage) for stage, c in had.items()]))
+    shares = {"author_share": F.lit(None).cast("double"), "title_share": F.lit(None).cast("double")}  # of references, of which there are none
+    v = corpus.validated(facts.withColumns({"section_types": F.array().cast("array<string>"), "stages": stages, **shares}))
+    return v.select("doc_id", *[F.round(c, 6).alias(c) for c in ("completeness", "quality", "integrity", "overall")])
+
+
 SPOKEN = "select conv_id, turn as msg, coalesce(text, '') as text, cast(greatest(1, ceil(length(coalesce(text, '')) / 40.0)) as int) as n_deltas from conversations"
 
 
