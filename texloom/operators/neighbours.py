@@ -12,7 +12,8 @@ BLOCK = 4096
 
 
 def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
-    return np.array(lists.to_pylist(), np.float64)
+    flat = lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), len(flat) // max(1, len(lists)))
 
 
 def nearest_per_query(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None, block: int = BLOCK) -> DataFrame:

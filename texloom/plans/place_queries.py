@@ -143,10 +143,15 @@ def message_deltas(t: Tables):
 @query(SPOKEN)
 def message_deltas_stream(t: Tables):
     """The same through keyed state and a sink that may run twice."""
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", deltas.STATE_STORE)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(setting)
     folder = f"{t.spark.conf.get('spark.sql.warehouse.dir')}/texloom_messages_{uuid.uuid4().hex}"
     stream = t.spark.readStream.schema(t.conversations.schema).parquet(f"{t.sf_dir}/conversations.parquet*")
-    sinks.run(deltas.accumulated(_spoken(stream)), sinks.upsert(f"{folder}/messages", ["conv_id", "msg"], "at"), f"{folder}/checkpoint")
+    t.spark.conf.set(setting, deltas.STATE_STORE)
+    try:
+        sinks.run(deltas.accumulated(_spoken(stream)), sinks.upsert(f"{folder}/messages", ["conv_id", "msg"], "at"), f"{folder}/checkpoint")
+    finally:
+        t.spark.conf.set(setting, before)
     return t.spark.read.parquet(f"{folder}/messages").select("conv_id", "msg", "text", "n_deltas")
 
 
