@@ -52,8 +52,12 @@ class TextIndex:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(f"{self.name}_totals")  # written last
 
-    def build(self, docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", tokens=blank_tokens, buckets: int = 32, share: int = SHARE) -> TextIndex:
-        """Write all tables under ``folder``, in place of those that are there; the one row of totals comes last."""
+    def build(self, docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", tokens=blank_tokens, buckets: int | None = None, share: int = SHARE) -> TextIndex:
+        """Write all tables under ``folder``, in place of those that are there; the one row of totals comes last.
+
+        There is a bucket for each million documents, 32 at least. The blocks of a bucket are written by several tasks, by their
+        share, so the blocks of a common term are not one task's; a bucket has as many files.
+        """
 
         def write(df: DataFrame, part: str, by: str | None = None) -> None:
             out = df.write.mode("overwrite").format("parquet").option("path", f"{folder}/{self.name}/{part}")
@@ -62,12 +66,14 @@ class TextIndex:
         self.spark.sql(f"drop table if exists {self.name}_totals")
         write(docs.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.col(text))).cast("long").alias("dl")), "documents")
         n, avgdl = self.table("documents").agg(F.count(F.lit(1)), F.avg("dl")).first()
+        shares, buckets = -(-max(n, 1) // share), buckets or max(32, n >> 20)
+        spread = min(64, -(-shares // 16))
         layer = F.least(F.lit(LAYERS - 1), F.floor(saturation(F.col("tf"), F.col("dl"), avgdl or 1.0, 1.5, 0.75) / 2.5 * LAYERS).cast("int"))
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(-(-max(n, 1) // share))).cast("int")
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(shares)).cast("int")
         blocks = postings(docs, doc_id, text, tokens).groupBy("term", layer.alias("layer"), part.alias("share")).agg(
             F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("docs"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")
         )
-        write(blocks.repartition(buckets, "term"), "postings", "term")
+        write(blocks.repartition(buckets * spread, F.pmod(F.hash("term"), F.lit(buckets)), F.pmod("share", F.lit(spread))), "postings", "term")
         write(self.table("postings").groupBy("term").agg(F.sum("n").alias("df")).repartition(buckets, "term"), "terms", "term")
         mean = self.table("terms").agg(F.avg(idf(F.lit(n), F.col("df")))).first()[0]
         write(self.spark.createDataFrame([(n, avgdl or 0.0, mean or 0.0)], "n long, avgdl double, mean_idf double"), "totals")
