@@ -1,9 +1,11 @@
-"""Per-document counts, validation, summaries, selection, stage log and writes."""
+"""Per-document counts, validation, summaries, selection, issues, stage log and writes."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +43,55 @@ def validated(facts: DataFrame, key: str = "doc_id") -> DataFrame:
     return scored.withColumn("overall", overall).withColumn("ready", (c("overall") >= 70) & (c("completeness") >= 60))
 
 
+def complete(required: dict[str, DataFrame], optional: dict[str, DataFrame], key: str = "doc_id") -> DataFrame:
+    """key of the documents that every required table has, once each, and has_<name> for every optional table.
+
+    Rows of a table are never multiplied by those of another: only distinct keys are joined, and
+    they are made distinct before the shuffle as far as each task sees them. All joins are on ``key``, so one partitioning serves them.
+    """
+    first, *others = required.values()
+    out = first.select(key).where(F.col(key).isNotNull()).distinct()
+    out = reduce(lambda a, b: a.join(b.select(key).distinct(), key, "left_semi"), others, out)
+    for name, rows in optional.items():
+        out = out.join(rows.select(key).distinct().withColumn(f"has_{name}", F.lit(True)), key, "left")
+    return out.select(key, *[F.coalesce(f"has_{name}", F.lit(False)).alias(f"has_{name}") for name in optional])
+
+
+def issues(facts: DataFrame, rules: dict[str, Column], key: str = "doc_id") -> DataFrame:
+    """key and the issues, each once, of the rows for which a rule holds; a rule that is null does not hold."""
+    found = F.array_distinct(F.array_compact(F.array(*[F.when(rule, F.lit(text)) for text, rule in rules.items()])))
+    return facts.select(key, found.alias("issues")).where(F.size("issues") > 0)
+
+
+def distinct_issues(found: DataFrame, key: str = "doc_id", column: str = "issues") -> DataFrame:
+    """issue, n_rows, first_key: every issue once, with how many rows have it."""
+    each = found.select(F.col(key).alias("k"), F.explode(F.array_distinct(column)).alias("issue"))
+    return each.groupBy("issue").agg(F.count(F.lit(1)).alias("n_rows"), F.min("k").alias("first_key"))
+
+
 def orphans(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """Rows that no other row belongs to."""
     return rows.join(others, key, "left_anti")
 
 
+def eligible(docs: DataFrame, abstract: Column, authors: Column, least_authors: int = 1, require_abstract: bool = True, predicate: Column | Callable[[pd.DataFrame], pd.Series] | None = None) -> DataFrame:
+    """The rows that may be selected: an abstract that is not empty, ``least_authors`` entries or more in the array ``authors`` (null: none),
+    and the caller's own predicate, a column or a function of a batch of rows that tells which of them stay."""
+    kept = docs.where(F.coalesce(F.size(authors), F.lit(0)) >= least_authors)
+    if require_abstract:
+        kept = kept.where(F.length(abstract) > 0)
+    if isinstance(predicate, Column):
+        return kept.where(predicate)
+    if predicate is None:
+        return kept
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[predicate(batch).fillna(False).astype(bool)]
+
+    return kept.mapInPandas(run, docs.schema)
+
+
 def selection_score(strategy: str, html: Column, pdf: Column, abstract: Column, authors: Column, categories: Column, age_days: Column | None = None, weight: float = 0.0, custom: Column | None = None) -> Column:
     """How good a document is to take: format by strategy, abstract, authors, categories, recency; -1 if the format rules it out."""
     forms = {

@@ -128,6 +128,55 @@ def section_bodies(pages: DataFrame, key: str = "page_id", html: str = "html") -
     return each.select(key, "position", F.col("p.level").alias("level"), plain(title).alias("title"), plain(F.regexp_replace(inside, r"(?is)^<h[1-6]\b[^>]*>.*?</h[1-6]\s*>", "")).alias("body"))
 
 
+def section_or_start(pages: DataFrame, sought: str, key: str = "page_id", html: str = "html", chars: int = 2000) -> DataFrame:
+    """key, found, body: the body of the first section whose title holds ``sought`` in any case, else the first ``chars`` characters of the page.
+
+    A page stays in its row. Null pages give a null body.
+    """
+    plain = lambda x: F.btrim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    heading = r"(?is)^<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>"
+    page = pages.select(key, cleaned(F.col(html)).alias("page"))
+    cut = page.select("*", F.slice(F.split(F.regexp_replace("page", r"(?i)<(?=h[1-6]\b)", "\u0001<"), "\u0001"), 2, 1_000_000_000).alias("cuts"))
+    named = lambda c: F.contains(F.lower(plain(F.regexp_extract(c, heading, 1))), F.lit(sought.lower()))
+    at = cut.select("*", F.array_position(F.transform("cuts", named), True).cast("int").alias("k"))
+    rest = at.select("*", F.slice("cuts", F.col("k") + 1, 1_000_000_000).alias("later"), F.substring(F.get("cuts", F.col("k") - 1), 3, 1).alias("level"))
+    ended = rest.select("*", F.array_position(F.transform("later", lambda c: F.substring(c, 3, 1) <= F.col("level")), True).cast("int").alias("end"))
+    inside = F.array_join(F.slice("cuts", F.greatest("k", F.lit(1)), F.when(F.col("end") > 0, F.col("end")).otherwise(F.size("cuts"))), " ")
+    start = F.substring(plain(F.regexp_replace("page", r"(?is)<head\b.*?</head\s*>", "")), 1, chars)
+    body = F.when(F.col("k") > 0, plain(F.regexp_replace(inside, heading, ""))).otherwise(start)
+    return ended.select(key, (F.col("k") > 0).alias("found"), body.alias("body"))
+
+
+#: What marks a formula on a page: the element, and what its class holds (fixed values).
+FORMULA_NODES = {"math": None, "span": "math", "div": "equation"}
+
+
+def equations(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, kind (math, span, div), position among its kind, latex, number: formulas and the number "(n)" that next follows each.
+
+    The latex is the alttext, else the title, else the text of the element up to its end or to the number inside it. A
+    number is a text of its own between two tags. The page is cut at its numbers, so a piece's formulas have the number
+    that ends it, those of the last piece none; all of it happens in the page's row. Null pages have no formulas.
+    """
+    number = r">(\(\d+\))\n?(?=<(?!/math))"
+    shown = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", ""), r"(?s)<!--.*?-->", "")
+    page = pages.select(key, F.split(shown, number).alias("pieces"), F.regexp_extract_all(shown, F.lit(number), F.lit(1)).alias("numbers"))
+    plain = lambda x: F.btrim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*(?:>|\z)", " "), r"\s+", " "))  # noqa: E731  (the number may have cut a tag)
+
+    def nodes(kind: str, marked: str | None) -> Column:
+        said = rf"""[^>]*\bclass\s*=\s*["'][^"']*{marked}""" if marked else ""
+        pattern = rf"(?is)<{kind}\b{said}[^>]*>.*?(?:</{kind}\s*>|\z)"
+        return F.flatten(F.transform("pieces", lambda p, i: F.transform(F.regexp_extract_all(p, F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("m"), F.get("numbers", i).alias("number")))))
+
+    lists = F.array(*[F.struct(F.lit(kind).alias("kind"), nodes(kind, marked).alias("found")) for kind, marked in FORMULA_NODES.items()])
+    each = page.select(key, F.inline(lists)).select(key, "kind", F.posexplode("found").alias("position", "f"))
+    attribute = lambda name: F.nullif(F.regexp_extract("f.m", rf"""(?is)^<[^>]*?\s{name}\s*=\s*(["'])(.*?)\1""", 2), F.lit(""))
+    latex = F.coalesce(attribute("alttext"), attribute("title"), plain(F.regexp_replace("f.m", r"(?s)^<[^>]*>", "")))
+    for reference, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
+        latex = F.replace(latex, F.lit(reference), F.lit(char))
+    return each.select(key, "kind", "position", latex.alias("latex"), F.col("f.number").alias("number"))
+
+
 def markdown(html: Column) -> Column:
     """A page as Markdown: headings, list items, bold, links, paragraphs; other tags dropped, empty lines removed."""
     out = F.regexp_replace(cleaned(html), r"(?is)<head\b.*?</head\s*>", "")
