@@ -116,7 +116,7 @@ CHUNK_TERMS = "list_filter(regexp_split_to_array(lower(chunk_text), '\\s+'), lam
 
 
 @query(f"""{CHUNKS}, w as (select *, doc_id || '-' || chunk_index as chunk_id, {CHUNK_TERMS} as w from c),
-tf as (select *, len(w) as dl, len(list_filter(w, lambda x: x = 'the')) as tf0, len(list_filter(w, lambda x: x = 'ening')) as tf1 from w),
+tf as materialized (select *, len(w) as dl, len(list_filter(w, lambda x: x = 'the')) as tf0, len(list_filter(w, lambda x: x = 'ening')) as tf1 from w),
 st as (select count(*) as n, avg(dl) as avgdl, count(*) filter (tf0 > 0) as df0, count(*) filter (tf1 > 0) as df1 from tf),
 so as (select tf.*, (greatest(ln(n - df0 + 0.5) - ln(df0 + 0.5), 1e-6) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / avgdl)) + greatest(ln(n - df1 + 0.5) - ln(df1 + 0.5), 1e-6) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from tf, st where tf0 > 0 and tf1 > 0)
 select doc_id, chunk_id, case when length(chunk_text) > 500 then substring(chunk_text, 1, 500) || '...' else chunk_text end as chunk_text, round(score, 3) as relevance_score, context_before, context_after, 'semantic' as match_type
