@@ -53,6 +53,60 @@ def test_templates_with_changes():
         assert label in {a.templates[s[0]][0] for s in [*a.spans(matches), *whole]}, t
 
 
+def labelled(a, text):
+    words = license_scan.words_of(text)
+    _, matches, whole = a.scan(words)
+    return {a.templates[s[0]][0] for s in a.parted(list({*a.spans(matches), *whole}), len(words))}
+
+
+def test_statements():
+    """The ways in which files state their licence, each with its own label and no relative's."""
+    a = license_scan.Automaton()
+    notice = "x y. This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version. z"
+    for text, label in (
+        ("x SPDX-License-Identifier: MIT\nimport", "mit"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl"), ("BSD 3-Clause License", "bsd"), ("Copyright 2024 Foo Inc. All rights reserved.", "proprietary"), ("copyright all rights reserved", "proprietary"),
+        (notice.format("General Public License", 2), "gpl"), (notice.format("General Public License", 3), "gpl"), (notice.format("Lesser General Public License", 3), "lgpl"), (notice.format("Affero General Public License", 3), "agpl"),
+        (notice.format("Affero General Public License", 3).replace("redistribute", "spread"), "agpl"), ("subject to the Mozilla Public License, v. 2.0", "mpl"),
+        ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ):
+        assert labelled(a, text) == {label}, text
+    for text in ("all rights reserved", "copyright one two three four five six seven all rights reserved", "All rights reserved. Copyright", "SPDX-License-Identifier", "a general licence of the public"):
+        assert labelled(a, text) == set(), text
+    for label, text in license_scan.TEMPLATES:
+        assert label in labelled(a, text), text
+
+
+def test_notices_and_whole_templates():
+    """Whole templates and notices are those that a search at every place finds."""
+    a, r = license_scan.Automaton((("one", "a b"), ("two", "b c a")), {}, (("n", "a", "c b"), ("m", "b b", "c"))), random.Random(5)
+    ends = list(zip(a.notices[::2], a.notices[1::2], strict=True))
+    for _ in range(5000):
+        words = r.choices("abcx", k=r.randint(0, 16))
+        at = lambda x: [k for k in range(len(words) - len(x) + 1) if words[k : k + len(x)] == x]
+        want = {(t, k, k + len(x), len(x)) for t, (_, x) in enumerate(a.templates) for k in at(x)}
+        for t, (first, last) in enumerate(ends, 2):
+            for k in at(last):
+                # the nearest first words that end before the place where the last ones are complete
+                begins = [j for j in at(first) if j + len(first) <= k + len(last)]
+                if begins and 0 <= k - (begins[-1] + len(first)) <= license_scan.MAX_GAP:
+                    want.add((t, begins[-1], k + len(last), len(first) + len(last)))
+        assert set(a.scan(words)[2]) == want
+
+
+def test_parted():
+    """Against the same rule word by word."""
+    a, r = license_scan.Automaton((("one", "a"), ("two", "b"), ("three", "c"), ("one", "d")), {}, ()), random.Random(6)
+    for _ in range(2000):
+        spans = list({(r.randrange(4), b := r.randrange(20), b + (n := r.randint(1, 9)), r.randint(1, n)) for _ in range(r.randint(0, 6))})
+        owner, want = {}, []
+        for s in sorted(spans, key=lambda s: (-s[3], s[2] - s[1], s[1], s[2], s[0])):
+            label = a.templates[s[0]][0]
+            if 2 * sum(owner.get(k, label) != label for k in range(s[1], s[2])) <= s[2] - s[1]:
+                owner = {k: label for k in range(s[1], s[2])} | owner
+                want.append(s)
+        assert a.parted(spans, 30) == sorted(want, key=lambda s: (s[1], s[2], s[0]))
+
+
 def test_scan_rows(spark, odd, docs):
     got = license_scan.scan(odd)
     assert got.count() == odd.count() and got.where("size(phrase_labels) > 0").count() == 0 and license_scan.scan(odd.where("false")).count() == 0

@@ -4,7 +4,9 @@ The automaton holds every substring of the word sequences of all templates. A te
 each word it gives the longest suffix of what was read that occurs in any template. A phrase ends wherever its state is
 that suffix's state or an ancestor of it. Maximal long matches are chained in text order per template: matches of one
 template whose gaps in text and template are small and alike are joined to a span, and a span that covers enough of its
-template gives the template's label.
+template gives the template's label. A notice with a name between its first and last words is found by those two. Words
+that several spans claim go to the one that covers most, and a span of another label that has lost more than half of its
+words to such spans is dropped, so a licence is not taken for its near relative.
 
 Words are runs of ASCII digits, ASCII letters in lower case, and all characters beyond ASCII. Null and empty texts have
 no words, no labels and score 0. Texts of any length are streamed whole, in time in proportion to their length. The
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +54,32 @@ TEMPLATES = (
     ("cc-by", "Licensed under CC BY 4.0."),
     ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. Released under CC0 1.0 Universal."),
-    ("proprietary", "Copyright. All rights reserved."),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("lgpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     *BODIES,
 )
 
+#: Label and first and last words of notices that have a name between them (fixed values).
+NOTICES = (("proprietary", "Copyright", "All rights reserved"),)
+
+#: Names of licences by which a text states them, by label (fixed values).
+TITLES = {
+    "agpl": ("GNU Affero General Public License",), "boost": ("Boost Software License",), "bsd": ("BSD License", "BSD 2-Clause License", "BSD 3-Clause License"), "cc-by": ("Creative Commons Attribution License",),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial",), "cc-by-sa": ("Creative Commons Attribution-ShareAlike",), "cc0": ("CC0 1.0 Universal", "Creative Commons Zero"), "epl": ("Eclipse Public License",),
+    "eupl": ("European Union Public Licence",), "isc": ("ISC License",), "lgpl": ("GNU Lesser General Public License", "GNU Library General Public License"), "mpl": ("Mozilla Public License",), "zlib": ("zlib License",),
+}
+
+#: Identifiers of the SPDX list that stand in file headers, by label; "-only" and "-or-later" may follow (fixed values).
+SPDX = {
+    "agpl": ("AGPL-3.0",), "apache": ("Apache-2.0",), "boost": ("BSL-1.0",), "bsd": ("BSD-2-Clause", "BSD-3-Clause"), "cc-by": ("CC-BY-4.0",), "cc-by-nc": ("CC-BY-NC-4.0",), "cc-by-sa": ("CC-BY-SA-4.0",), "cc0": ("CC0-1.0",), "epl": ("EPL-2.0",),
+    "eupl": ("EUPL-1.2",), "gpl": ("GPL-2.0", "GPL-3.0"), "isc": ("ISC",), "lgpl": ("LGPL-2.1", "LGPL-3.0"), "mit": ("MIT",), "mpl": ("MPL-2.0",), "unlicense": ("Unlicense",), "zlib": ("Zlib",),
+}
+TEMPLATES += tuple((label, title) for label, titles in TITLES.items() for title in titles)
+TEMPLATES += tuple((label, f"SPDX-License-Identifier: {name}") for label, names in SPDX.items() for name in names)
+
 #: Words of a match that may join a chain, words that a gap inside a chain may have, and the share of a template that
 #: its chain must cover for the label.
 MIN_MATCH, MAX_GAP, MIN_COVER = 4, 6, 0.8
@@ -67,15 +92,18 @@ def words_of(text: str) -> list[str]:
 class Automaton:
     """Generalised suffix automaton over word numbers. ``ends``: where in which templates each state's words end."""
 
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES):
-        self.templates = [(label, words_of(text)) for label, text in templates]
+    def __init__(self, templates=TEMPLATES, phrases=PHRASES, notices=NOTICES):
+        ends_of = [(label, words_of(first), words_of(last)) for label, first, last in notices]
+        #: the templates, and after them the notices, their two ends put together
+        self.templates = [*((label, words_of(text)) for label, text in templates), *((label, first + last) for label, first, last in ends_of)]
+        self.notices = [words for _, first, last in ends_of for words in (first, last)]
         self.phrases = [(label, words_of(text)) for text, label in phrases.items()]
         self.number: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         ends: list[set[tuple[int, int]]] = [set()]
         self.ends = ends
-        for t, (_, words) in enumerate([*self.templates, *self.phrases]):
+        for t, words in enumerate([*(words for _, words in [*self.templates, *self.phrases]), *self.notices]):
             last = 0
             for at, word in enumerate(words):
                 last = self.extend(last, self.number.setdefault(word, len(self.number)))
@@ -84,9 +112,9 @@ class Automaton:
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
             if self.link[state] > 0:
                 ends[self.link[state]] |= ends[state]
-        #: the phrases, and after them the whole templates, that end in a state: (number, words), by following its links
+        #: the phrases, and after them the whole templates and the ends of notices, that end in a state: (number, words), by following its links
         own: dict[int, list[tuple[int, int]]] = {}
-        for p, (_, words) in enumerate([*self.phrases, *self.templates]):
+        for p, words in enumerate([*(words for _, words in [*self.phrases, *self.templates]), *self.notices]):
             state = 0
             for word in words:
                 state = self.next[state][self.number[word]]
@@ -128,10 +156,13 @@ class Automaton:
 
     def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
         """(phrase, start) of every phrase, (end, words, state) of every maximal match of MIN_MATCH words or more, and the
-        spans of whole templates, which may end inside a longer match."""
+        spans of whole templates and notices, which may end inside a longer match. A notice begins at the nearest of its first
+        words that at most MAX_GAP words part from its last ones."""
         number, following, link, length, found = self.number.get, self.next, self.link, self.length, self.found
         phrases, matches, whole = [], [], []
-        n_phrases = len(self.phrases)
+        n_phrases, n_texts = len(self.phrases), len(self.phrases) + len(self.templates)
+        first_notice = len(self.templates) - len(self.notices) // 2
+        opened: dict[int, tuple[int, int]] = {}
         state = size = 0
         for at, word in enumerate(words):
             w = number(word)
@@ -155,8 +186,13 @@ class Automaton:
                     continue
                 if p < n_phrases:
                     phrases.append((p, at - n + 1))
-                else:
+                elif p < n_texts:
                     whole.append((p - n_phrases, at - n + 1, at + 1, n))
+                elif (p - n_texts) % 2 == 0:
+                    opened[(p - n_texts) // 2] = (at - n + 1, at + 1)
+                elif (k := (p - n_texts) // 2) in opened and 0 <= at - n + 1 - opened[k][1] <= MAX_GAP:
+                    begin, end = opened[k]
+                    whole.append((first_notice + k, begin, at + 1, end - begin + n))
         if size >= MIN_MATCH:
             matches.append((len(words), size, state))
         return phrases, matches, whole
@@ -190,6 +226,21 @@ class Automaton:
         return done
 
 
+    def parted(self, spans: list[tuple[int, int, int, int]], n_words: int) -> list[tuple[int, int, int, int]]:
+        """The spans in text order without those that lost more than half of their words to spans of other labels that cover more."""
+        labels = sorted({self.templates[s[0]][0] for s in spans})
+        if len(labels) < 2:
+            return sorted(spans, key=lambda s: s[1:3] + s[:1])
+        number = {label: k for k, label in enumerate(labels, 1)}
+        owner, kept = np.zeros(n_words, np.int16), []
+        for span in sorted(spans, key=lambda s: (-s[3], s[2] - s[1], *s[1:3], s[0])):
+            own, part = number[self.templates[span[0]][0]], owner[span[1] : span[2]]
+            if 2 * np.count_nonzero((part != 0) & (part != own)) <= len(part):
+                part[part == 0] = own
+                kept.append(span)
+        return sorted(kept, key=lambda s: s[1:3] + s[:1])
+
+
 _automaton: list[Automaton] = []
 
 FIELDS = "n_words bigint, phrase_labels array<string>, phrase_starts array<bigint>, span_labels array<string>, span_starts array<bigint>, span_ends array<bigint>, coverage double"
@@ -217,7 +268,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
             for value in batch.column(batch.num_columns - 1):
                 words = words_of(value.as_py())
                 phrases, matches, whole = automaton.scan(words)
-                spans = sorted({*automaton.spans(matches), *whole}, key=lambda s: s[1:3] + s[:1]) if matches or whole else []
+                spans = automaton.parted(list({*automaton.spans(matches), *whole}), len(words)) if matches or whole else []
                 phrases.sort(key=lambda p: (p[1], p[0]))
                 best = max((min(1.0, s[3] / len(automaton.templates[s[0]][1])) for s in spans), default=0.0)
                 rows.append((len(words), [automaton.phrases[p][0] for p, _ in phrases], [at for _, at in phrases], [automaton.templates[s[0]][0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], best))
