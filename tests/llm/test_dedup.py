@@ -119,9 +119,12 @@ def test_recall_of_paths_at_the_deepest_level(spark):
 
 def test_sketch_filter_loses_less_than_the_recall(spark):
     """Of pairs at 0.8, 8 in a million have at most 81 of 128 equal bytes, but 2 in 10,000 at most 85."""
-    rows = [(1, 0, False, c, bytes(x)) for c, x in ((1, [0] * 128), (2, [0] * 82 + [1] * 46))]
-    met = spark.createDataFrame(rows, "task long, part int, across boolean, cid long, sketch binary")
-    assert jaccard.least_equal(0.8, 0.9999) <= 82 and jaccard.candidates(met, 0.8, 0.9999).count() == 1
+    rows = [(1, 0, False, c, 10 * c, bytes(x)) for c, x in ((1, [0] * 128), (2, [0] * 82 + [1] * 46), (3, [2] * 128))]
+    met = spark.createDataFrame(rows, "task long, part int, across boolean, cid long, block long, sketch binary")
+    alike = jaccard.alike_sketches(0.8, 0.9999)
+    assert jaccard.least_equal(0.8, 0.9999) <= 82 and [tuple(r) for r in C.block_pairs(met, alike).collect()] == [(10, 20)]
+    led = {r.cid: r.leader for r in C.leaders(met, alike).collect()}
+    assert set(led) == {1, 2} and led[1] == led[2] == (np.array([1, 2]) * C.RANK).min()
 
 
 def test_shingles_of_long_and_odd_texts(odd, monkeypatch):
@@ -163,6 +166,36 @@ def test_chain_of_near_misses(spark):
     assert got == {i: (0, 1 if i in (0, n - 1) else 2) for i in range(n)}
 
 
+def test_work_on_a_long_chain_of_near_misses_follows_the_matches(spark, monkeypatch):
+    """Neighbours share 49 of 63 shingles, below 0.8 but not excluded by their sketches; here and there two are linked."""
+    n, shift, at, rows = 20_000, 7, 0, []
+    for i in range(n):
+        at += 3 if i % 1000 == 500 else shift
+        rows.append((i, " ".join(f"w{j}" for j in range(at, at + 60))))
+    compared, given = [], C.given
+
+    def counted(*args):
+        out = given(*args)
+        sizes = out.groupBy("task", "part").count().groupBy("task").agg(F.sum("count").alias("s"), F.collect_list("count").alias("c"))
+        compared.append(sizes.agg(F.sum(F.when(F.size("c") == 2, F.col("c")[0] * F.col("c")[1]).otherwise(F.col("s") * (F.col("s") - 1) / 2))).first()[0])
+        return out
+
+    monkeypatch.setattr(jaccard, "given", counted)
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).where("n_links > 0")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in found.collect()) == sorted((i + d, i, 1) for i in range(499, n, 1000) for d in (0, 1))
+    assert compared[0] < 20 * n  # all pairs would be 2 * 10 ** 8
+
+
+def test_blocks_with_many_tasks(spark):
+    """A block that meets very many others is salted; each row still comes once to every task of its block."""
+    pairs = spark.createDataFrame([(0, k) for k in range(300)] + [(7, 7), (8, 9)], "a long, b long")
+    met, salts = C.block_tasks(pairs, most=10)
+    rows = spark.createDataFrame([(c, c // 2) for c in range(600)], "cid long, block long").join(salts, "block")
+    got = C.given(rows, met).groupBy("task").agg(F.sort_array(F.collect_list("cid")).alias("cids"), F.max("across").alias("across")).collect()
+    want = [([2 * a, 2 * a + 1] + ([2 * b, 2 * b + 1] if a != b else []), a != b) for a, b in [(0, k) for k in range(300)] + [(7, 7), (8, 9)]]
+    assert sorted((r.cids, r.across) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("block", [16, 1024])
 def test_embeddings(spark, block):
     r = np.random.default_rng(4)

@@ -120,6 +120,75 @@ def joined_pairs(keys: np.ndarray, parts: np.ndarray, across: np.ndarray, alike,
             yield np.full(int(on.sum()), i), j[on], value[on]
 
 
+#: An odd number, so that ``cid * RANK`` (of 64 bits) puts numbers into another order without making two equal.
+RANK = np.int64(-7046029254386353131)
+
+
+def leaders(rows: DataFrame, alike_of) -> DataFrame:
+    """(cid, leader) of the rows that match another: the least rank among a row and all that it matches.
+
+    ``rows``: task, part, across, cid, and what ``alike_of(table)`` makes its ``alike(i, j)`` from. Of each task one row for
+    a cid is passed on, never the matches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tasks(batches):
+            cid, keys, parts, across = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "task", "part", "across"))
+            rank = cid * RANK
+            least, some = rank.copy(), np.zeros(len(cid), bool)
+            for i, j, _ in joined_pairs(keys, parts, across, alike_of(table)):
+                np.minimum.at(least, i, rank[j])
+                np.minimum.at(least, j, rank[i])
+                some[i] = some[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(least[some])], ["cid", "leader"])
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "cid long, leader long").groupBy("cid").agg(F.min("leader").alias("leader"))
+
+
+def blocks_of(led: DataFrame, block: int) -> DataFrame:
+    """(cid, block): rows of one leader together, cut by their hash to blocks of about ``block`` rows at most. ``led`` is read more than once.
+
+    Near copies share their leader, so a group of them fills its blocks; along a chain leaders change every few rows.
+    """
+    sizes = saved(led.groupBy("leader").agg(F.count(F.lit(1)).alias("n")))
+    part = F.pmod(F.xxhash64("cid", F.lit(7)), F.ceil(F.col("n") / block))
+    return matched(led, sizes, ["leader"], hot=block).select("cid", F.xxhash64("leader", part).alias("block"))
+
+
+def block_pairs(rows: DataFrame, alike_of) -> DataFrame:
+    """(a, b), a <= b: the pairs of blocks in which some row of one matches a row of the other; ``rows`` as for ``leaders``, with block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tasks(batches):
+            keys, parts, across = (table.column(c).to_numpy(zero_copy_only=False) for c in ("task", "part", "across"))
+            own, at = np.unique(table.column("block").to_numpy(), return_inverse=True)
+            code = lambda i, j: np.minimum(at[i], at[j]) * len(own) + np.maximum(at[i], at[j])  # noqa: E731, B023
+            found = [np.unique(code(i, j)) for i, j, _ in joined_pairs(keys, parts, across, alike_of(table)) if len(i)]
+            if found:
+                codes = np.unique(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([pa.array(own[codes // len(own)]), pa.array(own[codes % len(own)])], ["a", "b"])
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+
+
+def block_tasks(pairs: DataFrame, most: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Tasks (block, salt, task, across), one or two rows for each pair of blocks, and (block, salts): a block in more than ``most`` tasks has several salts.
+
+    Rows of a block meet their tasks by block and salt, so a block with very many tasks is no hot key. ``pairs`` is read more than once.
+    """
+    each = pairs.select(F.xxhash64("a", "b").alias("task"), (F.col("a") != F.col("b")).alias("across"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    degree = saved(each.groupBy("block").agg(F.count(F.lit(1)).alias("n")))
+    salts = F.ceil(F.col("n") / most).cast("int")
+    salted = matched(each, degree, ["block"]).select("block", F.pmod(F.xxhash64("task", F.lit(13)), salts).cast("int").alias("salt"), "task", "across")
+    return salted, degree.select("block", salts.alias("salts"))
+
+
+def given(rows: DataFrame, block_task: DataFrame) -> DataFrame:
+    """``rows`` (with block, salts), each copied to every task of its block; part is the block."""
+    copies = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return copies.join(block_task, ["block", "salt"]).drop("salt").withColumnRenamed("block", "part")
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each of n rows the row of least ``order`` that the pairs (a, b) connect it with."""
     rank = np.empty(n, np.int64)

@@ -2,10 +2,10 @@
 
 1. Vectors that are equal within their label are one class; only classes go on.
 2. Signs on fixed pseudo-random hyperplanes give each class a signature, and signs on further ones, of its own for each
-   table, a bucket in every table. Classes of one bucket whose signatures differ in few bits are connected, and what is
-   connected is a candidate group.
-3. The vectors of a group meet once, in blocks, and all their cosines are computed in double precision. Links are
-   counted there and only a spanning set of them leaves the task, so no pairs are listed.
+   table, a bucket in every table. Classes of one bucket whose signatures differ in few bits match.
+3. Classes are put into blocks by the leader among those that they match, and two blocks meet, once, if a class of one
+   matches one of the other. There all cosines are computed in double precision, so the work follows the matches, also in
+   labels so dense that matches connect everything. Only a spanning set of the links leaves the task; no pairs are listed.
 4. Components of the spanning links, and counts weighted by the size of the classes, go back to every row.
 
 Bits and tables follow from the classes of the largest label, the threshold and the recall asked for (``plan``), so buckets
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .components import components, dealt, joined_pairs, matched, roots, tasks
+from .components import block_pairs, block_tasks, blocks_of, components, dealt, given, leaders, matched, roots, tasks
 
 #: Bits of a signature, and rows of a block at most.
 BITS, BLOCK = 512, 1024
@@ -77,23 +77,15 @@ def signed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
     return classes.select("cid", "embedding").mapInArrow(run, "cid long, signature binary, buckets array<long>")
 
 
-def candidates(rows: DataFrame, most: int) -> DataFrame:
-    """Spanning links (a, b) of the classes whose signatures differ in at most ``most`` bits; ``rows``: task, part, across, cid, signature."""
+def alike_signatures(most: int):
+    """For the rows of a table with ``signature``: a function that is positive for pairs that differ in at most ``most`` bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(table: pa.Table):
         ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-        for table in tasks(batches):
-            cid, keys, parts, across = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "task", "part", "across"))
-            signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(cid), -1)
-            alike = lambda i, j: most + 1 - ones[signature[i] ^ signature[j]].sum(1, dtype=np.int64)  # noqa: E731, B023
-            found = list(joined_pairs(keys, parts, across, alike))
-            if found:
-                a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                root = roots(len(cid), a, b, cid)
-                on = np.flatnonzero(root != np.arange(len(cid)))
-                yield pa.RecordBatch.from_arrays([pa.array(cid[on]), pa.array(cid[root[on]])], ["a", "b"])
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(table), -1)
+        return lambda i, j: most + 1 - ones[signature[i] ^ signature[j]].sum(1, dtype=np.int64)
 
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return of
 
 
 def verified(rows: DataFrame, cosine: float) -> DataFrame:
@@ -150,10 +142,12 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     bits, tables, most = plan(largest or 0, cosine, recall)
     signatures = saved(signed(classes, bits, tables).join(classes.select("cid", "label"), "cid"))
     spread = signatures.select("cid", "label", F.posexplode("buckets").alias("t", "key")).select("cid", F.xxhash64("label", "t", "key").alias("bucket"))
-    met = dealt(spread, "bucket", "cid", block).join(signatures.select("cid", "signature"), "cid")
-    groups = components(candidates(met, most))
-    inside = saved(groups.select(F.col("node").alias("cid"), F.col("root").alias("grp")).join(classes.select("cid", "n", "embedding"), "cid"))
-    found = saved(verified(dealt(inside, "grp", "cid", block), cosine))
+    alike, signs = alike_signatures(most), signatures.select("cid", "signature")
+    blocks = saved(blocks_of(saved(leaders(dealt(spread, "bucket", "cid", block).join(signs, "cid"), alike)), block))
+    matching = saved(spread.join(blocks, "cid"))
+    met, salts = block_tasks(saved(block_pairs(dealt(matching, "bucket", "cid", block).join(signs, "cid"), alike)))
+    inside = saved(blocks.join(salts, "block").join(classes.select("cid", "n", "embedding"), "cid"))
+    found = saved(verified(given(inside, met), cosine))
     linked = components(found, "cid", "root").select(F.col("node").alias("cid"), "root")
     counted = classes.select("cid", "a", "b", "first", "n").join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(linked, "cid", "left")
     counted = saved(counted.withColumn("comp", F.coalesce("root", "cid")))

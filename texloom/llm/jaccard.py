@@ -6,8 +6,9 @@
    that a pair at the threshold still shares a branch at the deepest level in most runs. A node of at most ``leaf`` classes is compared by brute force on
    the sketches of its classes; so are groups of near copies, which no path parts, and what is left at the last level, in blocks. Nodes of a single class end at once.
    As many runs are made as the recall asks for.
-3. What a sketch does not exclude is connected to candidate groups. The sets of a group meet once, in blocks, where all
-   intersections are counted exactly. Links are counted there, and only a spanning set of them leaves the task.
+3. What a sketch does not exclude matches. Classes are put into blocks by the leader among those that they match, and two
+   blocks meet, once, if some sketch of one matches one of the other. There all intersections are counted exactly, so the
+   work follows the matches, also along chains of near misses. Only a spanning set of the links leaves the task.
 4. Components of the spanning links, and counts weighted by the size of the classes, go back to every text.
 
 Words are the runs of other characters than blanks and control white space, in lower case. A text of fewer than five
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import nonnull_text, saved, slices
-from .components import components, dealt, joined_pairs, matched, roots, tasks
+from .components import block_pairs, block_tasks, blocks_of, components, dealt, given, leaders, matched, roots, tasks
 
 #: Words of a shingle, bytes of a sketch, bytes of text hashed at a time.
 SIZE, SKETCH, SEGMENT = 5, 128, 1 << 19
@@ -193,23 +194,15 @@ def descend(rows: DataFrame, sketches: DataFrame, leaf: int, levels: int) -> Dat
     return out
 
 
-def candidates(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Spanning links (a, b) of the classes whose sketches may belong to similar sets; ``rows``: task, part, across, cid, sketch."""
+def alike_sketches(threshold: float, recall: float):
+    """For the rows of a table with ``sketch``: a function that is positive for pairs whose sets may be similar enough."""
     least = least_equal(threshold, recall)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tasks(batches):
-            cid, keys, parts, across = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "task", "part", "across"))
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(cid), -1)
-            alike = lambda i, j: (sketch[i] == sketch[j]).sum(1, dtype=np.int64) - least + 1  # noqa: E731, B023
-            found = list(joined_pairs(keys, parts, across, alike))
-            if found:
-                a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                root = roots(len(cid), a, b, cid)
-                on = np.flatnonzero(root != np.arange(len(cid)))
-                yield pa.RecordBatch.from_arrays([pa.array(cid[on]), pa.array(cid[root[on]])], ["a", "b"])
+    def of(table: pa.Table):
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(table), -1)
+        return lambda i, j: (sketch[i] == sketch[j]).sum(1, dtype=np.int64) - least + 1
 
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return of
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -272,21 +265,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     classes = saved(classes).withColumn("cid", F.monotonically_increasing_id())  # of a saved table: the same whenever it is read
     leaves = descend(classes.select(F.explode("paths").alias("path"), "cid"), classes, LEAF, LEVELS)
-    met = dealt(leaves, "path", "cid", BLOCK).join(classes.select("cid", "sketch"), "cid")
-    groups = components(candidates(met, threshold, recall))
-    inside = saved(groups.select(F.col("node").alias("cid"), F.col("root").alias("grp")).join(classes.select("cid", "key", "set_a", "set_b", "n"), "cid"))
+    alike, sketches = alike_sketches(threshold, recall), classes.select("cid", "sketch")
+    blocks = saved(blocks_of(saved(leaders(dealt(leaves, "path", "cid", BLOCK).join(sketches, "cid"), alike)), SET_BLOCK))
+    matching = saved(leaves.join(blocks, "cid"))
+    met, salts = block_tasks(saved(block_pairs(dealt(matching, "path", "cid", BLOCK).join(sketches, "cid"), alike)))
+    inside = saved(blocks.join(salts, "block").join(classes.select("cid", "key", "set_a", "set_b", "n"), "cid"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(v.as_py()) for v in batch.column(5)]
+            sets = [shingles(v.as_py()) for v in batch.column(6)]
             # texts of other sets may have the same key
-            own = pa.array([len(s) > 0 and halves(s) == (a.as_py(), b.as_py()) for s, a, b in zip(sets, batch.column(3), batch.column(4), strict=True)], pa.bool_())
-            made = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["cid", "grp", "n", "shingles"])
+            own = pa.array([len(s) > 0 and halves(s) == (a.as_py(), b.as_py()) for s, a, b in zip(sets, batch.column(4), batch.column(5), strict=True)], pa.bool_())
+            made = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["cid", "block", "salts", "n", "shingles"])
             yield made.filter(own)
 
-    whole = matched(docs.select(text_key(doc_id, text), nonnull_text(text).alias("t")), inside, ["key"]).select("cid", "grp", "n", "set_a", "set_b", "t")
-    sets = whole.mapInArrow(sets_of, "cid long, grp long, n long, shingles binary").dropDuplicates(["cid"])
-    found = saved(verified(dealt(saved(sets), "grp", "cid", SET_BLOCK), threshold))
+    whole = matched(docs.select(text_key(doc_id, text), nonnull_text(text).alias("t")), inside, ["key"]).select("cid", "block", "salts", "n", "set_a", "set_b", "t")
+    sets = whole.mapInArrow(sets_of, "cid long, block long, salts int, n long, shingles binary").dropDuplicates(["cid"])
+    found = saved(verified(given(saved(sets), met), threshold))
     linked = components(found, "cid", "root").select(F.col("node").alias("cid"), "root")
     counted = classes.select("cid", "set_a", "set_b", "first", "n").join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(linked, "cid", "left")
     counted = saved(counted.withColumn("comp", F.coalesce("root", "cid")))
