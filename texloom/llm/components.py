@@ -122,10 +122,12 @@ def joined_pairs(keys: np.ndarray, parts: np.ndarray, across: np.ndarray, alike,
 
 #: An odd number, so that ``cid * RANK`` (of 64 bits) puts numbers into another order without making two equal.
 RANK = np.int64(-7046029254386353131)
+#: How often a row takes over its leader's leader; the way doubles each time.
+STEPS = 2
 
 
 def leaders(rows: DataFrame, alike_of) -> DataFrame:
-    """(cid, leader) of the rows that match another: the least rank among a row and all that it matches.
+    """(cid, rank, leader) of the rows that match another: the least rank among a row and all that it matches.
 
     ``rows``: task, part, across, cid, and what ``alike_of(table)`` makes its ``alike(i, j)`` from. Of each task one row for
     a cid is passed on, never the matches.
@@ -140,16 +142,21 @@ def leaders(rows: DataFrame, alike_of) -> DataFrame:
                 np.minimum.at(least, i, rank[j])
                 np.minimum.at(least, j, rank[i])
                 some[i] = some[j] = True
-            yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(least[some])], ["cid", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(rank[some]), pa.array(least[some])], ["cid", "rank", "leader"])
 
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "cid long, leader long").groupBy("cid").agg(F.min("leader").alias("leader"))
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "cid long, rank long, leader long").groupBy("cid", "rank").agg(F.min("leader").alias("leader"))
 
 
 def blocks_of(led: DataFrame, block: int) -> DataFrame:
     """(cid, block): rows of one leader together, cut by their hash to blocks of about ``block`` rows at most. ``led`` is read more than once.
 
-    Near copies share their leader, so a group of them fills its blocks; along a chain leaders change every few rows.
+    A leader hands its rows on to its own leader, ``STEPS`` times. So near copies end up with one leader, even if not all of
+    them match it, and a group of them fills its blocks; along a chain leaders change every few rows.
     """
+    for _ in range(STEPS):
+        sizes = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+        heads = saved(sizes.join(led.select(F.col("rank").alias("leader"), F.col("leader").alias("next")), "leader"))
+        led = saved(matched(led, heads, ["leader"], hot=block).select("cid", "rank", F.col("next").alias("leader")))
     sizes = saved(led.groupBy("leader").agg(F.count(F.lit(1)).alias("n")))
     part = F.pmod(F.xxhash64("cid", F.lit(7)), F.ceil(F.col("n") / block))
     return matched(led, sizes, ["leader"], hot=block).select("cid", F.xxhash64("leader", part).alias("block"))
