@@ -61,6 +61,41 @@ def test_index_leaves_out_blocks(spark, tmp_path):
     assert {r.term for r in kept.select("term").distinct().collect()} >= {"rare"} and kept.where("term = 'common'").count() < blocks.where("term = 'common'").count() / 2
 
 
+def test_index_is_not_lost_to_others(spark, sf_dir, texts, tmp_path):
+    path, folder = str(tmp_path / "documents.parquet"), str(tmp_path / "index")
+    texts.repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    want = [tuple(r) for r in retrieval.okapi(docs, ["dd"]).select("doc_id", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(5).collect()]
+    top = lambda d: [tuple(r) for r in text_index.of(d, folder).top(["dd"], 5).select("doc_id", F.round("score", 9)).collect()]
+    assert top(docs) == want
+    index = text_index.of(docs, folder)
+    index.build(docs.limit(10), folder)  # something else under its name
+    assert top(docs) == want and index.table("totals").first().n == docs.count()
+    some = docs.where("doc_id < 100")  # other rows of the same files
+    assert text_index.of(some, folder) != index and text_index.of(some, folder).table("totals").first().n == 100
+    for part in ("postings", "terms", "documents", "totals"):  # a catalog without the tables, as of a new session: the files are taken up
+        spark.sql(f"drop table {index.name}_{part}")
+    held = index.spark.read.parquet(f"{folder}/{index.name}/*/totals").where("made_for is not null").first().folder
+    assert top(docs) == want and index.table("totals").first().folder == held and "SelectedBucketsCount: " in plan(index.top(["dd"], 5))
+    for part in ("terms", "documents"):
+        gone = sorted((tmp_path / "index" / index.name / held.rsplit("/", 1)[-1] / part).glob("*.parquet"))[0]
+        gone.unlink()  # files that another session took away
+        assert top(docs) == want
+        held = index.table("totals").first().folder
+    held = {index.table("totals").first().folder}
+    import shutil
+
+    shutil.rmtree(folder)
+    assert top(docs) == want and index.table("totals").first().folder not in held
+
+
+def test_index_build_shuffles_texts_only(spark, texts, tmp_path):
+    dealt = texts.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int")).repartition(5, "share")
+    counted = text_index.postings(dealt, "doc_id", "text", text_index.blank_tokens).groupBy("share", "term").agg(F.count(F.lit(1)).alias("n"))
+    shown = counted._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("Exchange hashpartitioning") == 1 and counted.agg(F.sum("n")).first()[0] == retrieval.postings(texts).count()
+
+
 def test_located_and_overlapping(spark):
     r = random.Random(4)
     rows = [(i, "".join(r.choices("ab$é 1", k=r.randint(0, 80)))) for i in range(200)] + [(200, None), (200, "$$$$"), (201, "")]
