@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from texloom.llm import bpe, packing
+from texloom.llm import bpe, packing, queries
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -72,6 +72,14 @@ def test_encode_takes_odd_rows(spark, odd):
     assert bpe.encode(odd.where("false"), BYTE).count() == 0
 
 
+def test_round_trip_is_one_pass(spark, sf_dir, odd):
+    both, out = bpe.round_trip(odd, BYTE), bpe.decode(bpe.encode(odd, BYTE), BYTE)
+    assert both.columns == [*(c for c in odd.columns if c not in ("text", "ids", "decoded")), "ids", "decoded"] and bpe.round_trip(odd.where("false"), BYTE).count() == 0
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, out.select(both.columns).collect()))
+    plan = queries.op1_bpe(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # each one more holds the tables once more in an executor
+
+
 def test_words_are_exact(monkeypatch):
     coder, given = packing.Words(open(WORD, encoding="utf-8").read()), texts()
     for entries in (packing.CACHE_ENTRIES, 50, 0):

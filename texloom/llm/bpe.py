@@ -255,6 +255,26 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return _mapped(df, ids, out, "string", path)
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with ``text`` replaced by its packed ``ids`` and the text that they give, as ``encode`` and ``decode`` do, in one
+    pass: a task holds the vocabulary once, and a text travels to Python once."""
+    with open(path, encoding="utf-8") as f:
+        spec = df.sparkSession.sparkContext.broadcast(f.read())
+    fields = [f for f in df.schema.fields if f.name.lower() not in {text.lower(), ids.lower(), decoded.lower()}]
+    keep = [f.name for f in fields]
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__in"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{ids}` binary", f"`{decoded}` string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tables(spec.value)
+        for batch in slices(batches):
+            packed = [bpe.encode(v.as_py() or "") for v in batch.column(batch.num_columns - 1)]
+            made = [pa.array(packed, pa.binary()), pa.array(map(bpe.decode, packed), pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*keep, ids, decoded])
+
+    return source.mapInArrow(run, schema)
+
+
 def n_ids(packed: Column) -> Column:
     """How many tokens the packed ids hold."""
     return (F.octet_length(packed) / 4).cast("long")

@@ -22,8 +22,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every whole text, as digests."""
     path = vocabulary("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", nonnull_text().alias("text"))
-    coded = bpe.encode(docs, path).select("doc_id", "ids")
-    return bpe.decode(coded, path).select(
+    return bpe.round_trip(docs, path).select(
         "doc_id",
         bpe.n_ids(F.col("ids")).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
