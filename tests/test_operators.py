@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import time
 
 import pytest
@@ -213,3 +214,28 @@ def test_search_job(spark, tmp_path):
     assert sorted(again) == sorted(rows) and calls == ["red fox"]
     search_job.search(spark, "red fox", source, str(tmp_path), F.lit("2024-05-01 12:30:00").cast("timestamp"), method="cross_encoder")
     assert len(calls) == 2 and spark.read.parquet(f"{tmp_path}/history").count() == 2 and spark.read.parquet(f"{tmp_path}/results").count() == 4
+
+
+def test_only_texts_that_can_match_are_searched(spark):
+    assert entities.needed(r"\b(?:neural network|CNN)\b") == ["neural network", "cnn"] and entities.needed(r"\b[a-z]*erth[a-z]*\b") == ["erth"]
+    assert entities.needed(r"\w+\s+(?:vs|versus)\s+\w+") in (["s", "ersus"], ["vs", "versus"], ["v"]) and entities.needed("(?:a|[bc])x*") == [] and entities.needed("(?:ab)?c?") == []
+    r = random.Random(8)
+    some = ["CNN", "cnn", "Neural  Network", "neural network", "with", "WITH", "withal", "uses", "x", "versus", "\u212a", "\u0130", "Lab", "lab of it", "R", "datasets", "dataset", ".", "!", "\n", "implementS"]
+    texts = ["".join(x + r.choice([" ", "", "  "]) for x in r.choices(some, k=r.randint(0, 40))) for _ in range(150)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for kind, pattern, _ in entities.LEXICON:
+        whole = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"(?i)({pattern})"), F.lit(1)).alias("m"))
+        some_only = docs.select("doc_id", entities.matches(F.col("text"), F.lower("text"), pattern).alias("m"))
+        assert [tuple(x) for x in whole.select("doc_id", F.coalesce("m", F.array())).collect()] == [tuple(x) for x in some_only.select("doc_id", F.coalesce("m", F.array())).collect()], (kind, pattern)
+    one = {"uses": (r"[^.!?\n]{0,80}\b(?:with)\b[^.!?\n]{0,80}",)}
+    pieces, plain = (sorted(map(tuple, entities.phrases(docs, one, apart=a).collect())) for a in (r"[.!?\n]", None))
+    assert pieces == plain and len(plain) > 50
+
+
+def test_matches_are_made_once(spark):
+    docs = spark.createDataFrame([(1, 1, "a CNN uses it"), (2, 1, ""), (3, 1, None)], "doc_id long, chunk_id long, text string")
+    found = entities.mentions(docs, (("method", "CNN", ()),))
+    said = entities.phrases(docs, {"uses": ("uses it",)})
+    assert [r.entity_text for r in found.collect()] == ["CNN"] and [r.context for r in said.collect()] == ["uses it"]
+    for df, name in ((found, "regexp_extract_all"), (said, "regexp_extract_all"), (chunking.chunked(docs).select("chunk_index"), "aggregate(")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(name) == 1

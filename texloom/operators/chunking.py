@@ -43,7 +43,7 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     Chunks shorter than ``least`` are dropped. Context is the two sentences before and after, 200 characters of them.
     """
     cut = docs.select(F.col(doc_id).alias("doc_id"), sentences(F.col(text)).alias("s"))
-    each = cut.withColumn("c", greedy_chunks(F.col("s"), least, most)).select("doc_id", "s", F.posexplode("c").alias("chunk_index", "c"))
+    each = cut.withColumn("c", greedy_chunks(F.col("s"), least, most)).select("doc_id", "s", F.posexplode_outer("c").alias("chunk_index", "c"))  # outer: without a filter for which the fold would run again
     part = lambda a, n: F.array_join(F.slice("s", a, n), " ")
     first, n = F.col("c.start"), F.col("c.n")
     before = F.least(first, F.lit(2))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re._parser as sre
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,19 +57,63 @@ RELATIONS = {
 }
 
 
+def needed(pattern: str) -> list[str]:
+    """Strings, in lower case, of which every match of a pattern holds one, whatever the case; none if that can't be told."""
+
+    def of(parts) -> list[str]:
+        found, run = [], ""
+        for op, arg in [*parts, (None, None)]:
+            if op is sre.LITERAL:
+                run += chr(arg)
+                continue
+            found, run = found + ([[run]] if run else []), ""
+            if op is sre.SUBPATTERN:
+                found.append(of(arg[3]))
+            elif op is sre.BRANCH:
+                each = [of(p) for p in arg[1]]
+                found.append([x for xs in each for x in xs] if all(each) else [])
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
+                found.append(of(arg[2]))
+        return max(found, key=lambda xs: min(map(len, xs), default=0), default=[])
+
+    return list(dict.fromkeys(x.lower() for x in of(sre.parse(pattern))))
+
+
+def matches(text: Column, low: Column, pattern: str) -> Column:
+    """All matches of a pattern, whatever the case. Most texts hold none, and are told by plain searches in ``low``, the text in lower case."""
+    found = F.regexp_extract_all(text, F.lit(f"(?i)({pattern})"), F.lit(1))
+    some = needed(pattern)
+    if not some or not all(x.isascii() for x in some):
+        return found
+    return F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in some]), found).otherwise(F.array().cast("array<string>"))
+
+
+def with_mentions(chunks: DataFrame, lexicon=LEXICON, text: str = "text", out: str = "mentions") -> DataFrame:
+    """``chunks`` and an array of the mentions in each: entity_type, seq, position, entity_text, confidence.
+
+    Each pattern is an expression over the chunk, and what its context adds is found once for a chunk, if it has a match.
+    """
+    rows, parts = chunks.withColumn("__low", F.lower(text)), []
+    for seq, (kind, pattern, context) in enumerate(lexicon):
+        boost = sum((F.contains("__low", F.lit(w)).cast("int") for w in context), F.lit(0)) * 0.1
+        found = matches(F.col(text), F.col("__low"), pattern)
+        parts.append(F.flatten(F.transform(F.filter(F.array(found), lambda x: F.size(x) > 0), _mentions(kind, seq, boost))))
+    kept = F.filter(F.concat(*parts), lambda m: (F.length(m.entity_text) >= 3) & ~F.lower(m.entity_text).isin(*STOP))
+    return rows.withColumn(out, kept).drop("__low")
+
+
 def mentions(chunks: DataFrame, lexicon=LEXICON, doc_id: str = "doc_id", chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
     """(doc_id, chunk_id, entity_type, seq, position, entity_text, confidence): all matches of all patterns, whatever the case.
 
-    Each pattern is an expression over the chunk; the arrays are joined and exploded once, so a chunk is read once.
+    The arrays of a chunk are joined and exploded once, so a chunk is read once. (An outer explode: of an inner one Spark infers
+    a filter on the array, for which it makes the array twice more.)
     """
-    parts = []
-    for seq, (kind, pattern, context) in enumerate(lexicon):
-        found = F.regexp_extract_all(text, F.lit(f"(?i)({pattern})"), F.lit(1))
-        boost = sum((F.contains(F.lower(text), F.lit(w)).cast("int") for w in context), F.lit(0)) * 0.1
-        parts.append(F.transform(found, _mention(kind, seq, boost)))
-    rows = chunks.select(F.col(doc_id).alias("doc_id"), F.col(chunk_id).alias("chunk_id"), F.explode(F.concat(*parts)).alias("m"))
-    kept = rows.where((F.length("m.entity_text") >= 3) & ~F.lower("m.entity_text").isin(*STOP))
-    return kept.select("doc_id", "chunk_id", "m.*")
+    rows = chunks.select(F.col(doc_id).alias("doc_id"), F.col(chunk_id).alias("chunk_id"), F.col(text).alias("__text"))
+    return with_mentions(rows, lexicon, "__text").select("doc_id", "chunk_id", F.explode_outer("mentions").alias("m")).where("m is not null").select("doc_id", "chunk_id", "m.*")
+
+
+def _mentions(kind: str, seq: int, boost: Column):
+    return lambda found: F.element_at(F.transform(F.array(boost), lambda b: F.transform(found, _mention(kind, seq, b))), 1)
 
 
 def _mention(kind: str, seq: int, boost: Column):
@@ -102,16 +149,26 @@ def cooccurrence(found: DataFrame) -> DataFrame:
     return left.select("doc_id", "chunk_id", "source", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("target"))
 
 
-def phrases(chunks: DataFrame, patterns: dict[str, tuple[str, ...]] = RELATIONS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, relationship, context): the distinct phrases of a document that tell a relationship."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({p})"), F.lit(1)), _named(kind)) for kind, ps in patterns.items() for p in ps]
-    return chunks.select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(*found)).alias("p")).select("doc_id", "p.*").distinct()
+def phrases(chunks: DataFrame, patterns: dict[str, tuple[str, ...]] = RELATIONS, doc_id: str = "doc_id", text: str = "text", apart: str | None = None) -> DataFrame:
+    """(doc_id, relationship, context): the distinct phrases of a document that tell a relationship.
 
-
-def relations(chunks: DataFrame, entities: DataFrame, patterns: dict[str, tuple[str, ...]] = RELATIONS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    ``apart`` is a class of characters other than word characters that no match holds: a text is cut at them, and a pattern tried only on the pieces that can match.
+    """
+    rows = chunks.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
+    if apart is None:
+        rows = rows.withColumn("__low", F.lower("__text"))
+        each = lambda p: matches(F.col("__text"), F.col("__low"), p)
+    else:
+        rows = rows.withColumn("__pieces", F.split("__text", apart))
+        each = lambda p: F.flatten(F.transform("__pieces", lambda x: matches(x, F.lower(x), p)))
+    found = [F.transform(each(p), _named(kind)) for kind, ps in patterns.items() for p in ps]
+    return rows.select("doc_id", F.explode_outer(F.concat(*found)).alias("p")).where("p is not null").select("doc_id", "p.*").distinct()
+
+
+def relations(chunks: DataFrame, entities: DataFrame, patterns: dict[str, tuple[str, ...]] = RELATIONS, doc_id: str = "doc_id", text: str = "text", apart: str | None = None) -> DataFrame:
     """(doc_id, relationship, source, target, context): pairs of a document's entities whose text stands in a matched phrase."""
     names = entities.select("doc_id", "normalized").distinct()
-    inside = phrases(chunks, patterns, doc_id, text).join(names, "doc_id").where(F.contains(F.lower("context"), F.col("normalized")))
+    inside = phrases(chunks, patterns, doc_id, text, apart).join(names, "doc_id").where(F.contains(F.lower("context"), F.col("normalized")))
     each = inside.groupBy("doc_id", "relationship", "context").agg(F.array_sort(F.collect_set("normalized")).alias("es"))
     left = each.select("doc_id", "relationship", "context", "es", F.posexplode("es").alias("i", "source"))
     return left.select("doc_id", "relationship", "source", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("target"), "context")

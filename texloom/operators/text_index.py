@@ -40,7 +40,7 @@ def saturation(tf: Column, dl: Column, avgdl: float, k1: float, b: float) -> Col
 
 def postings(docs: DataFrame, doc_id: str, text: str, tokens) -> DataFrame:
     """(share, term, doc_id, dl, tf). Of ``docs`` that are dealt by ``share`` the counts are made where the texts are."""
-    each = docs.select("share", F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t")).select("share", "doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    each = docs.select("share", F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t")).select("share", "doc_id", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("term")).where("term is not null")
     return each.groupBy("share", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -61,7 +61,7 @@ def cooccurrence(t: Tables):
 x as (select distinct p.doc_id, context, normalized from p join e on p.doc_id = e.doc_id and contains(lower(context), normalized))
 select a.doc_id, a.normalized as source, b.normalized as target, md5(a.context) as context_md5 from x a join x b on a.doc_id = b.doc_id and a.context = b.context and a.normalized < b.normalized""")
 def relations_pairs(t: Tables):
-    return E.relations(t.documents, E.merged(_found(t)), {"uses": (r"[^.!?\n]{0,80}\b(?:with)\b[^.!?\n]{0,80}",)}).select("doc_id", "source", "target", F.md5("context").alias("context_md5"))
+    return E.relations(t.documents, E.merged(_found(t)), {"uses": (r"[^.!?\n]{0,80}\b(?:with)\b[^.!?\n]{0,80}",)}, apart=r"[.!?\n]").select("doc_id", "source", "target", F.md5("context").alias("context_md5"))
 
 
 #: What stands between single dollar signs in the documents, cleaned.

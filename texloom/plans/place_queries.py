@@ -113,12 +113,12 @@ def validation_extracted(t: Tables):
     docs = t.documents.select("doc_id", "text")
     chunks = chunking.chunked(docs).select("doc_id", "chunk_index", "chunk_text", "char_count")
     found = E.mentions(chunks, chunk_id="chunk_index", text="chunk_text")
-    sizes = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.min("char_count").alias("min_chunk"), F.max("char_count").alias("max_chunk"))
+    orphans = F.count_if(F.size("mentions") == 0).alias("orphan_chunks")
+    sizes = E.with_mentions(chunks, text="chunk_text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.min("char_count").alias("min_chunk"), F.max("char_count").alias("max_chunk"), orphans)
     names = E.merged(found).groupBy("doc_id").agg(F.count(F.lit(1)).alias("entity_count"), F.min("confidence").alias("min_confidence"))
-    without = chunks.join(found.select("doc_id", F.col("chunk_id").alias("chunk_index")).distinct(), ["doc_id", "chunk_index"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("orphan_chunks"))
     lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"\S")))
     counted = corpus.counted(docs, {"math": intervals.located(docs, FORMULA), "citation": citations.in_text(docs)})
-    facts = reduce(lambda a, b: a.join(b, "doc_id", "left"), [sizes, names, without], docs.select("doc_id", lines.alias("section_count")).join(counted, "doc_id", "left"))
+    facts = reduce(lambda a, b: a.join(b, "doc_id", "left"), [sizes, names], docs.select("doc_id", lines.alias("section_count")).join(counted, "doc_id", "left"))
     had = {"math_processing": "math_count", "citation_parsing": "citation_count", "content_chunking": "chunk_count", "entity_extraction": "entity_count"}
     stages = F.array_compact(F.array(F.lit("document_structure"), *[F.when(F.col(c) > 0, stage) for stage, c in had.items()]))
     shares = {"author_share": F.lit(None).cast("double"), "title_share": F.lit(None).cast("double")}  # of references, of which there are none

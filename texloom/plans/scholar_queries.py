@@ -74,7 +74,7 @@ n as (select doc_id, count(*) as entities, cast(sum(mention_count) as bigint) as
 
 def _extracted(t: Tables) -> list[DataFrame]:
     merged = E.merged(_found(t))
-    related = E.relations(t.documents, merged, {"uses": (r"[^.!?\n]{0,80}\b(?:with)\b[^.!?\n]{0,80}",)})
+    related = E.relations(t.documents, merged, {"uses": (r"[^.!?\n]{0,80}\b(?:with)\b[^.!?\n]{0,80}",)}, apart=r"[.!?\n]")
     return [merged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entities"), F.sum("mention_count").alias("mentions")), related.groupBy("doc_id").agg(F.count(F.lit(1)).alias("relations"))]
 
 
