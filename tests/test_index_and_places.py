@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import shutil
 import uuid
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,8 +85,6 @@ def test_index_is_not_lost_to_others(spark, sf_dir, texts, tmp_path):
         assert top(docs) == want
         held = index.table("totals").first().folder
     held = {index.table("totals").first().folder}
-    import shutil
-
     shutil.rmtree(folder)
     assert top(docs) == want and index.table("totals").first().folder not in held
 
@@ -256,3 +256,22 @@ def test_no_nested_loops_in_place_queries(spark, sf_dir):
     for name in ("formula_in_chunk", "formulas_per_chunk", "phrase_documents", "citation_theta", "knn_per_label_topk", "knn_documents"):
         shown = plan(catalog.QUERIES[name](spark, sf_dir))
         assert "NestedLoop" not in shown and "Cartesian" not in shown, name
+
+
+def test_whole_messages_leave_no_state():
+    class State:
+        def __init__(self, calls):
+            self.calls = calls
+
+        def __getattr__(self, name):
+            return lambda *a, **k: self.calls.append(name) or (self if name.startswith("get") else [] if name == "listTimers" else None)
+
+    calls = []
+    one = deltas.Accumulator(1000)
+    one.init(State(calls))
+    calls.clear()
+    at = pd.Timestamp("2024-01-01")
+    rows = pd.DataFrame({"seq": [1, 0, 1, 2], "delta": ["b", "a", "b", "c"], "last": [False, False, False, True], "at": [at] * 4})
+    (made,) = one.handleInputRows((1, 2), iter([rows[:2], rows[2:]]), None)
+    assert made.to_dict("records") == [{"conv_id": 1, "msg": 2, "text": "abc", "n_deltas": 3, "at": at}] and calls == ["exists"]
+    assert list(one.handleInputRows((1, 3), iter([rows[:3]]), None)) == [] and calls.count("updateValue") == 2 and "registerTimer" in calls

@@ -43,23 +43,33 @@ class Accumulator(StatefulProcessor):
         self.about = handle.getValueState("about", "end int, n int, at_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        end, n, at = self.about.get() if self.about.exists() else (-1, 0, 0)
+        known = self.about.exists()
+        end, n, at = self.about.get() if known else (-1, 0, 0)
+        new: dict[int, str] = {}
         for batch in rows:
             for seq, delta, last, when in zip(batch["seq"], batch["delta"], batch["last"], batch["at"], strict=True):
-                if not self.parts.containsKey((int(seq),)):
-                    self.parts.updateValue((int(seq),), (delta,))
-                    n += 1
+                new.setdefault(int(seq), delta)
                 end, at = int(seq) if last else end, max(at, int(when.timestamp() * 1000))
+        if not known and len(new) == end + 1:  # a message that is whole in one batch leaves no state: each access is a round trip
+            yield self.message(key, [new[k] for k in sorted(new)], at)
+            return
+        for seq, delta in new.items():
+            if not (known and self.parts.containsKey((seq,))):
+                self.parts.updateValue((seq,), (delta,))
+                n += 1
         if n == end + 1:
-            text = "".join(v[0] for _, v in sorted((k[0], v) for k, v in self.parts.iterator()))
+            parts = [v[0] for _, v in sorted((k[0], v) for k, v in self.parts.iterator())]
             self.clear()
-            yield pd.DataFrame({"conv_id": [key[0]], "msg": [key[1]], "text": [text], "n_deltas": [n], "at": [pd.Timestamp(at, unit="ms")]})
+            yield self.message(key, parts, at)
         else:
             self.about.update((end, n, at))
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(at + self.keep_ms)
 
+    def message(self, key, parts: list[str], at: int) -> pd.DataFrame:
+        return pd.DataFrame({"conv_id": [key[0]], "msg": [key[1]], "text": ["".join(parts)], "n_deltas": [len(parts)], "at": [pd.Timestamp(at, unit="ms")]})
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.clear()
         return iter(())
