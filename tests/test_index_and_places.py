@@ -275,3 +275,15 @@ def test_whole_messages_leave_no_state():
     (made,) = one.handleInputRows((1, 2), iter([rows[:2], rows[2:]]), None)
     assert made.to_dict("records") == [{"conv_id": 1, "msg": 2, "text": "abc", "n_deltas": 3, "at": at}] and calls == ["exists"]
     assert list(one.handleInputRows((1, 3), iter([rows[:3]]), None)) == [] and calls.count("updateValue") == 2 and "registerTimer" in calls
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_phrases_by_both_ways(spark, few):
+    r = random.Random(9)
+    some = lambda k: "".join(r.choices("abcé d", k=k))
+    rows = [(i, some(r.randint(0, 60))) for i in range(80)] + [(80, None), (0, "abc again"), (None, "abcd")]
+    names = [some(r.randint(1, 9)) for _ in range(200)] + ["", None, "abc", "abc"]
+    docs, wanted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(names)), "phrase_id long, phrase string")
+    found = phrases.held(docs, wanted, few=few)
+    assert sorted(map(tuple, found.collect())) == sorted({(p, i) for p, n in enumerate(names) for i, t in rows if n and t and i is not None and n in t})
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == (1 if few else 0)

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Phrases, at most, that every task holds.
+FEW = 100_000
+
+
 def grams(text: Column, size: int) -> Column:
     """Hashes of the distinct runs of ``size`` characters."""
 
@@ -15,12 +19,12 @@ def grams(text: Column, size: int) -> Column:
     return F.element_at(F.transform(F.array(F.filter(F.split(text, ""), lambda c: c != "")), of), 1)  # split once, not for each place
 
 
-def held(texts: DataFrame, phrases: DataFrame, q: int = 4, key: str = "doc_id", text: str = "text", phrase_id: str = "phrase_id", phrase: str = "phrase") -> DataFrame:
+def held(texts: DataFrame, phrases: DataFrame, q: int = 4, key: str = "doc_id", text: str = "text", phrase_id: str = "phrase_id", phrase: str = "phrase", few: int = FEW) -> DataFrame:
     """(phrase_id, key): each pair of a phrase and a text that holds it, once; places within words count, as in ``contains``.
 
     A phrase is keyed by the q-gram of it (all of it, if it is shorter) that the fewest phrases share, and texts by all
     theirs, so any number of phrases costs one pass over the texts and leaves what a text sends as it is; only pairs
-    that meet by such a gram are compared whole. Null and empty phrases are held by none. Rows of one key are one text each, and give one pair.
+    that meet by such a gram are compared whole. Up to ``few`` phrases are sent to the texts; of more, grams and texts are joined. Null and empty phrases are held by none. Rows of one key are one text each, and give one pair.
     """
     own = phrases.select(F.col(phrase_id).alias("phrase_id"), F.col(phrase).alias("phrase")).where("length(phrase) > 0").withColumn("size", F.least(F.length("phrase"), F.lit(q)))
     rows = texts.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
@@ -32,6 +36,12 @@ def held(texts: DataFrame, phrases: DataFrame, q: int = 4, key: str = "doc_id",
     counts = one.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = one.join(counts, "gram").groupBy("phrase_id").agg(F.min(F.struct("n", "gram")).alias("g")).select("phrase_id", F.col("g.gram").alias("gram"))
     none = F.array().cast("array<bigint>")
-    each = rows.select("__key", F.explode(F.concat(*[F.when(F.length("__text") >= s, grams(F.col("__text"), s)).otherwise(none) for s in sizes])).alias("gram"))
+    # an outer explode: of an inner one Spark infers a filter on the array, for which it makes all grams again
+    parts = F.concat(*[F.when(F.length("__text") >= s, grams(F.col("__text"), s)).otherwise(none) for s in sizes])
+    if own.limit(few + 1).count() <= few:  # the text goes along to the comparison, and nothing but hits is shuffled
+        keyed = rarest.join(own.select("phrase_id", "phrase"), "phrase_id")
+        met = rows.select("__key", "__text", F.explode_outer(parts).alias("gram")).join(F.broadcast(keyed), "gram")
+        return met.where(F.col("__key").isNotNull() & F.contains("__text", F.col("phrase"))).select("phrase_id", F.col("__key").alias(key)).distinct()
+    each = rows.select("__key", F.explode_outer(parts).alias("gram"))
     pairs = each.join(rarest, "gram").select("phrase_id", "__key").distinct().join(own.select("phrase_id", "phrase"), "phrase_id").join(rows, "__key")
     return pairs.where(F.contains("__text", F.col("phrase"))).select("phrase_id", F.col("__key").alias(key)).distinct()
