@@ -48,6 +48,31 @@ def test_dealt_meets_every_pair_once(spark, block):
     assert sorted(pairs) == sorted((a, b) for g, a in rows for h, b in rows if g == h and a < b)
 
 
+def test_dealt_by_weight(spark):
+    """Near copies of long texts: a part is bounded by bytes, not by rows alone."""
+    rows = [(g, 100 * g + k, g * 10) for g in (1, 8) for k in range(20)]
+    met = C.dealt(spark.createDataFrame(rows, "g long, id long, w long"), "g", "id", 100, F.col("w"), 400).collect()
+    assert {g: len({m.part for m in met if m.g == g}) for g in (1, 8)} == {1: 1, 8: 4} and "__parts" not in met[0]
+    tasks = [[m for m in met if m.task == task] for task in {m.task for m in met}]
+    pairs = [tuple(sorted((a.id, b.id))) for own in tasks for i, a in enumerate(own) for b in own[i + 1 :] if not a.across or a.part != b.part]
+    assert sorted(pairs) == sorted((a, b) for g, a, _ in rows for h, b, _ in rows if g == h and a < b)
+
+
+def test_intersections_in_bounded_memory():
+    """What is made beside the sets does not grow with them."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**64, 40_000, np.uint64)
+    sets = [np.unique(np.r_[base[r.random(len(base)) < 0.9], r.integers(0, 2**64, 50, np.uint64)]) for _ in range(100)] + [base[:0], np.array([0, 2**64 - 1], np.uint64)]
+    tracemalloc.start()
+    got = jaccard.intersections(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20  # 3.6 million elements of 8 bytes
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i, j in ((0, 1), (3, 99), (7, 7), (5, 100), (101, 100), (101, 101), (42, 43)) if i != j)
+
+
 def test_tasks_and_pairs():
     keys = np.array([1, 1, 2, 5, 5, 5, 5, 9])
     import pyarrow as pa

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -58,19 +58,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def dealt(rows: DataFrame, group: str, node: str, block: int) -> DataFrame:
+def dealt(rows: DataFrame, group: str, node: str, block: int, weight: Column | None = None, most: int = 1) -> DataFrame:
     """``rows`` of groups of two or more, with ``task``, ``part`` and ``across``, so that any two rows of a group meet in one task.
 
-    A group of more than ``block`` rows is cut to parts by the hash of ``node``; a task has one part, or two parts whose
+    A group of more than ``block`` rows, or of more than ``most`` in the sum of ``weight``, is cut to parts by the hash of ``node``; a task has one part, or two parts whose
     rows are compared across only, even if one of them turns out empty. So no task gets more than about two blocks, and every row goes to as many tasks as its
     group has parts. The rows of a group that is cut are not gathered for it. ``rows`` is read more than once.
     """
-    sizes = saved(rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
-    parts = F.ceil(F.col("__n") / block).cast("int")
+    count = F.count(F.lit(1))
+    needed = F.ceil(count / block) if weight is None else F.least(count, F.greatest(F.ceil(count / block), F.ceil(F.sum(weight) / most)))
+    sizes = saved(rows.groupBy(group).agg(count.alias("__n"), needed.cast("int").alias("__parts")).where("__n > 1"))
+    parts = F.col("__parts")
     met = matched(rows, sizes, [group], "__n", block).withColumn("part", F.pmod(F.xxhash64(node, F.lit(7)), parts).cast("int"))
     other = F.explode(F.sequence(F.lit(0), parts - 1))
     met = met.withColumn("__other", other)
-    return met.withColumn("task", F.xxhash64(group, F.least("part", "__other"), F.greatest("part", "__other"))).withColumn("across", F.col("part") != F.col("__other")).drop("__n", "__other")
+    return met.withColumn("task", F.xxhash64(group, F.least("part", "__other"), F.greatest("part", "__other"))).withColumn("across", F.col("part") != F.col("__other")).drop("__n", "__parts", "__other")
 
 
 def tasks(batches: Iterator[pa.RecordBatch], key: str = "task") -> Iterator[pa.Table]:

@@ -33,6 +33,8 @@ from .components import components, dealt, joined_pairs, matched, roots, tasks
 SIZE, SKETCH, SEGMENT = 5, 128, 1 << 19
 #: Classes of a node that is compared at once, levels below the root, rows of a block of sketches and of sets.
 LEAF, LEVELS, BLOCK, SET_BLOCK = 2000, 4, 512, 512
+#: Bytes of sets in a block, too: near copies of long texts fill more blocks, so that a task holds about twice this at most.
+SET_BYTES = 1 << 26
 #: Of four nodes, those that are left by two branches; the others by one.
 DOUBLE = 3
 
@@ -212,24 +214,34 @@ def candidates(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements any two sets share, counted in slices of elements that two sets or more have."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(flat := np.concatenate(sets), kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.r_[True, flat[1:] != flat[:-1]]
-    number = np.cumsum(new) - 1
-    often = np.bincount(number)[number] > 1
-    owner, number = owner[often], number[often]
-    number = np.unique(number, return_inverse=True)[1]
+def intersections(sets: list[np.ndarray], most: int = 1 << 20) -> np.ndarray:
+    """How many elements any two sets (sorted, of hashes) share, counted in slices of elements that two sets or more have.
+
+    The sets meet in ranges of hashes that hold about ``most`` elements in all, so that what is made beside them is of that size.
+    """
     shared = np.zeros((len(sets), len(sets)), np.float32)
-    cuts = np.searchsorted(number, np.arange(0, (number[-1] + 1 if len(number) else 0) + 2048, 2048))
-    for k in range(len(cuts) - 1):
-        own, num = owner[cuts[k] : cuts[k + 1]], number[cuts[k] : cuts[k + 1]] - 2048 * k
-        there = np.unique(own)
-        has = np.zeros((len(there), 2048), np.float32)
-        has[np.searchsorted(there, own), num] = 1
-        shared[np.ix_(there, there)] += has @ has.T
+    ranges = sum(len(s) for s in sets) // most + 1
+    edges = np.array([k * 2**64 // ranges for k in range(1, ranges)], np.uint64)
+    bounds = [np.r_[0, np.searchsorted(s, edges), len(s)] for s in sets]
+    for k in range(ranges):
+        parts = [s[at[k] : at[k + 1]] for s, at in zip(sets, bounds, strict=True)]
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        if not len(owner):
+            continue
+        order = np.argsort(flat := np.concatenate(parts), kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.r_[True, flat[1:] != flat[:-1]]
+        number = np.cumsum(new) - 1
+        often = np.bincount(number)[number] > 1
+        owner, number = owner[often], number[often]
+        number = np.unique(number, return_inverse=True)[1]
+        cuts = np.searchsorted(number, np.arange(0, (number[-1] + 1 if len(number) else 0) + 2048, 2048))
+        for j in range(len(cuts) - 1):
+            own, num = owner[cuts[j] : cuts[j + 1]], number[cuts[j] : cuts[j + 1]] - 2048 * j
+            there = np.unique(own)
+            has = np.zeros((len(there), 2048), np.float32)
+            has[np.searchsorted(there, own), num] = 1
+            shared[np.ix_(there, there)] += has @ has.T
     return shared
 
 
@@ -243,7 +255,7 @@ def verified(rows: DataFrame, threshold: float) -> DataFrame:
             for s, e in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
                 one = table.slice(s, e - s)
                 cid, n, parts = (one.column(c).to_numpy() for c in ("cid", "n", "part"))
-                sets = [np.frombuffer(v, "<u8") for v in one.column("shingles").to_pylist()]
+                sets = [np.frombuffer(v.as_buffer(), "<u8") for v in one.column("shingles")]  # where they lie
                 size = np.array([len(x) for x in sets], float)
                 shared = intersections(sets)
                 on = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-6
@@ -286,7 +298,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     whole = matched(docs.select(text_key(doc_id, text), nonnull_text(text).alias("t")), inside, ["key"]).select("cid", "grp", "n", "set_a", "set_b", "t")
     sets = whole.mapInArrow(sets_of, "cid long, grp long, n long, shingles binary").dropDuplicates(["cid"])
-    found = saved(verified(dealt(saved(sets), "grp", "cid", SET_BLOCK), threshold))
+    found = saved(verified(dealt(saved(sets), "grp", "cid", SET_BLOCK, F.length("shingles"), SET_BYTES), threshold))
     linked = components(found, "cid", "root").select(F.col("node").alias("cid"), "root")
     counted = classes.select("cid", "set_a", "set_b", "first", "n").join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(linked, "cid", "left")
     counted = saved(counted.withColumn("comp", F.coalesce("root", "cid")))
