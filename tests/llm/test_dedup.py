@@ -173,6 +173,38 @@ def test_hot_keys_are_matched_whole(spark, few):
     assert got == sorted(tuple(r) for r in rows.join(sizes, "k").select("k", "id", "n").collect()) and len(got) == 300
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_thin_rows_of_hot_keys_are_matched_whole_in_one_join(spark, few):
+    """Thin rows move once: the plan reads them once, whether keys are hot or not."""
+    rows = spark.range(300).select(F.when(F.col("id") < 200, 1).otherwise(F.col("id") % 20).alias("k"), "id")
+    sizes = rows.groupBy("k").agg(F.count("id").alias("n"))
+    got = C.matched(rows, sizes, ["k"], hot=50, few=few, thin=True).select("k", "id", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in rows.join(sizes, "k").select("k", "id", "n").collect()) and got.count() == 300
+    assert got.groupBy("id").count().where("count > 1").isEmpty()
+
+
+def test_tasks_of_components(spark):
+    """Every task leaves files and log lines, however little it reads: a hub with a tail takes few steps, also where no partitions are put together."""
+    parts, context, held = 16, spark.sparkContext, {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    df = spark.createDataFrame([(5000, k) for k in range(2000)] + [(k, k + 1) for k in range(6000, 6003)] + [(7000, 7001), (7001, 7000)], "a long, b long")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("tasks of components", "")
+        got = {x.node: x.root for x in C.components(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {**{k: 0 for k in [*range(2000), 5000]}, **{k: 6000 for k in range(6000, 6004)}, 7000: 7000, 7001: 7000}
+    status = context.statusTracker()
+    stages = {s for job in status.getJobIdsForGroup("tasks of components") for s in status.getJobInfo(job).stageIds}
+    n = sum(found.numCompletedTasks for s in stages if (found := status.getStageInfo(s)))
+    print("tasks", n, n / parts)
+    assert 0 < n < 45 * parts
+
+
 def test_repeated_ids_of_embeddings(spark):
     """Different vectors of one id, and of one id in two labels, are vectors of their own."""
     rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (1, [1.0, 0.0], 1), (4, [1.0, -0.0], 0), (4, [1.0, -0.0], 0)]

@@ -19,43 +19,44 @@ from .common import saved
 HOT, FEW, SALTS = 1000, 10_000, 32
 
 
-def matched(rows: DataFrame, small: DataFrame, keys: list[str], size: str = "n", hot: int = HOT, few: int = FEW) -> DataFrame:
+def matched(rows: DataFrame, small: DataFrame, keys: list[str], size: str = "n", hot: int = HOT, few: int = FEW, thin: bool = False) -> DataFrame:
     """``rows`` joined with ``small``, which has one row for each key and in ``size`` the number of the key's rows.
 
     The rows of hot keys stay where they are: up to ``few`` hot keys are named by their hash in a filter, and what ``small``
-    has for them is broadcast; if there are more, all of it is salted. Both tables are read more than once.
+    has for them is broadcast; if there are more, all of it is salted. ``thin`` rows, of a few numbers, are cheaper to move
+    than to read twice: theirs are salted for the hot keys alone, in one join. Give a saved ``small``; it is read more than once.
     """
     name = F.xxhash64(*keys)
-    known = small.where(F.col(size) > hot)
-    n = known.count()
-    if not n:
+    known = [r[0] for r in small.where(F.col(size) > hot).select(name).take(few + 1)]
+    if not known:
         return rows.join(small, keys)
-    if n <= few:
-        named = name.isin([r[0] for r in known.select(name).collect()])  # the same on both sides, so equal hashes do no harm
+    named = name.isin(known) if len(known) <= few else F.lit(True)  # the same on both sides, so equal hashes do no harm
+    if len(known) <= few and not thin:
         return rows.where(named).join(F.broadcast(small.where(named)), keys).unionByName(rows.where(~named).join(small.where(~named), keys))
-    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(copies, [*keys, "__salt"]).drop("__salt")
+    copies = small.withColumn("__salt", F.explode(F.when(named, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    salt = F.when(named, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    return rows.withColumn("__salt", salt).join(copies, [*keys, "__salt"]).drop("__salt")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node reachable, for every node that has a link to another; nulls and loops are left out.
 
-    Each round hangs the larger neighbours of a node on its smallest one, then the smaller ones, until nothing changes:
-    about log n rounds, each saved in the shared checkpoint folder.
+    Each round hangs the larger neighbours of a node on its smallest one, then the smaller ones, until a node with a
+    smaller neighbour has no other: about log n rounds, each saved in the shared checkpoint folder.
     """
-    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges, before = saved(edges), None
+    edges = saved(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
     while True:
-        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = saved(matched(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = matched(large, least, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        both = edges.select(ends.alias("end")).select("end.u", "end.v")
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        if not least.where("m < u and n > 1").take(1):  # all are stars, each around its least node
+            return least.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        hung = edges.select(F.col("v").alias("u"), F.col("u").alias("other"))
+        large = saved(matched(hung, least, ["u"], thin=True).select(F.col("other").alias("u"), F.col("m").alias("v")).distinct())
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        # the row of the smallest neighbour itself gives the node's own link
+        small = matched(large, least, ["u"], thin=True).select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        edges = saved(small.distinct())
 
 
 def dealt(rows: DataFrame, group: str, node: str, block: int, weight: Column | None = None, most: int = 1) -> DataFrame:
@@ -63,13 +64,13 @@ def dealt(rows: DataFrame, group: str, node: str, block: int, weight: Column | N
 
     A group of more than ``block`` rows, or of more than ``most`` in the sum of ``weight``, is cut to parts by the hash of ``node``; a task has one part, or two parts whose
     rows are compared across only, even if one of them turns out empty. So no task gets more than about two blocks, and every row goes to as many tasks as its
-    group has parts. The rows of a group that is cut are not gathered for it. ``rows`` is read more than once.
+    group has parts. The rows of a group that is cut are not gathered for it; with a ``weight`` they are taken as long, and stay where they are. ``rows`` is read more than once.
     """
     count = F.count(F.lit(1))
     needed = F.ceil(count / block) if weight is None else F.least(count, F.greatest(F.ceil(count / block), F.ceil(F.sum(weight) / most)))
     sizes = saved(rows.groupBy(group).agg(count.alias("__n"), needed.cast("int").alias("__parts")).where("__n > 1"))
     parts = F.col("__parts")
-    met = matched(rows, sizes, [group], "__n", block).withColumn("part", F.pmod(F.xxhash64(node, F.lit(7)), parts).cast("int"))
+    met = matched(rows, sizes, [group], "__n", block, thin=weight is None).withColumn("part", F.pmod(F.xxhash64(node, F.lit(7)), parts).cast("int"))
     other = F.explode(F.sequence(F.lit(0), parts - 1))
     met = met.withColumn("__other", other)
     return met.withColumn("task", F.xxhash64(group, F.least("part", "__other"), F.greatest("part", "__other"))).withColumn("across", F.col("part") != F.col("__other")).drop("__n", "__parts", "__other")
@@ -154,7 +155,7 @@ def blocks_of(led: DataFrame, block: int) -> DataFrame:
     """
     sizes = saved(led.groupBy("leader").agg(F.count(F.lit(1)).alias("n")))
     part = F.pmod(F.xxhash64("cid", F.lit(7)), F.ceil(F.col("n") / block))
-    return matched(led, sizes, ["leader"], hot=block).select("cid", F.xxhash64("leader", part).alias("block"))
+    return matched(led, sizes, ["leader"], hot=block, thin=True).select("cid", F.xxhash64("leader", part).alias("block"))
 
 
 def block_pairs(rows: DataFrame, alike_of) -> DataFrame:
@@ -181,7 +182,7 @@ def block_tasks(pairs: DataFrame, most: int = 64) -> tuple[DataFrame, DataFrame]
     each = pairs.select(F.xxhash64("a", "b").alias("task"), (F.col("a") != F.col("b")).alias("across"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
     degree = saved(each.groupBy("block").agg(F.count(F.lit(1)).alias("n")))
     salts = F.ceil(F.col("n") / most).cast("int")
-    salted = matched(each, degree, ["block"]).select("block", F.pmod(F.xxhash64("task", F.lit(13)), salts).cast("int").alias("salt"), "task", "across")
+    salted = matched(each, degree, ["block"], thin=True).select("block", F.pmod(F.xxhash64("task", F.lit(13)), salts).cast("int").alias("salt"), "task", "across")
     return salted, degree.select("block", salts.alias("salts"))
 
 

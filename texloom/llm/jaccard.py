@@ -172,13 +172,13 @@ def descend(rows: DataFrame, sketches: DataFrame, leaf: int, levels: int) -> Dat
     leaves = []
     for level in range(levels + 1):
         sizes = saved(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        rows = saved(matched(rows, sizes, ["path"], hot=leaf))
+        rows = saved(matched(rows, sizes, ["path"], hot=leaf, thin=True))
         if level == levels:
             leaves.append(rows.select("path", "cid"))
             break
         leaves.append(rows.where(F.col("n") <= leaf).select("path", "cid"))
         rows = rows.where(F.col("n") > leaf)
-        if rows.isEmpty():
+        if not rows.take(1):
             break
         draws = F.sequence(F.lit(0), F.when(F.pmod(F.xxhash64("path", F.lit(level)), F.lit(4)) < DOUBLE, 1).otherwise(0))
         at = F.pmod(F.xxhash64("path", "draw", F.lit(11)), F.lit(SKETCH)).cast("int")
@@ -187,8 +187,9 @@ def descend(rows: DataFrame, sketches: DataFrame, leaf: int, levels: int) -> Dat
         shares = drawn.groupBy("path", "n", "draw", "child").agg(F.count(F.lit(1)).alias("k"))
         # the large nodes, one row each; with their size as that of the key, so that none of their rows is gathered
         dense = saved(shares.groupBy("path", "n").agg((F.max("k") > F.col("n") / 2).alias("dense")))
-        leaves.append(matched(rows.select("path", "cid"), dense, ["path"], hot=leaf).where("dense").select("path", "cid"))
-        rows = matched(drawn.select("path", "child", "cid"), dense, ["path"], hot=leaf).where("not dense").select(F.col("child").alias("path"), "cid")
+        drawn = saved(matched(drawn.select("path", "child", "draw", "cid"), dense, ["path"], hot=leaf, thin=True))
+        leaves.append(drawn.where("dense and draw = 0").select("path", "cid"))
+        rows = drawn.where("not dense").select(F.col("child").alias("path"), "cid")
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
@@ -302,8 +303,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked = components(found, "cid", "root").select(F.col("node").alias("cid"), "root")
     counted = classes.select("cid", "set_a", "set_b", "first", "n").join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(linked, "cid", "left")
     counted = saved(counted.withColumn("comp", F.coalesce("root", "cid")))
-    first = counted.groupBy("comp").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("size"))
-    result = matched(counted, first, ["comp"], "size").select("set_a", "set_b", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "class_id")
-    both = matched(some.select("doc_id", "set_a", "set_b"), saved(result), ["set_a", "set_b"]).select("doc_id", "class_id", "n_links")
+    first = saved(counted.groupBy("comp").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("size")))
+    result = matched(counted, first, ["comp"], "size", thin=True).select("set_a", "set_b", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "class_id")
+    both = matched(some.select("doc_id", "set_a", "set_b"), saved(result), ["set_a", "set_b"], thin=True).select("doc_id", "class_id", "n_links")
     both = both.unionByName(rows.where("set_a is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
     return both.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
