@@ -6,8 +6,10 @@ import re
 import shutil
 import uuid
 
+import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,3 +289,42 @@ def test_phrases_by_both_ways(spark, few):
     found = phrases.held(docs, wanted, few=few)
     assert sorted(map(tuple, found.collect())) == sorted({(p, i) for p, n in enumerate(names) for i, t in rows if n and t and i is not None and n in t})
     assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == (1 if few else 0)
+
+
+@pytest.mark.parametrize("q,window,sliced", [(1, 16, 40), (3, 7, 1), (4, 1 << 18, 1 << 20), (12, 64, 200)])
+def test_phrases_in_bytes_of_texts(monkeypatch, q, window, sliced):
+    monkeypatch.setattr(phrases, "WINDOW", window)
+    monkeypatch.setattr(phrases, "SLICE", sliced)
+    r = random.Random(q)
+    some = lambda k: "".join(r.choices("ab\U0001f600é d", k=k))
+    texts = [some(r.randint(0, 70)) for _ in range(120)] + ["", None, "a" * 300, "b" * 299 + "a", "ends in th", "en no more", "\0a\0\0b"]
+    names = sorted({some(r.randint(1, 25)) for _ in range(150)} | {"a" * k for k in range(1, 120)} | {"b" * 200, "ends in then", "then", "th", "\0\0b", "a\0", texts[3] or "d"})
+    finder = phrases.Finder([n.encode() for n in names], q)
+    keys = pa.array([None, *map(str, range(1, len(texts)))])
+    batch = pa.RecordBatch.from_arrays([keys, pa.array(texts, pa.string())], ["__key", "__text"])
+    found = [(k, names[n]) for b in finder.batches(iter([batch.slice(0, 50), batch.slice(50), batch.slice(0, 0)])) for k, n in zip(*(c.to_pylist() for c in b.columns))]
+    want = [(k, n) for k, t in zip(keys.to_pylist(), texts) for n in names if t and n in t]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("few,size", [(0, 1 << 24), (1000, 1 << 24), (1000, 3)])
+def test_every_row_meets_its_phrases(spark, monkeypatch, few, size):
+    monkeypatch.setattr(phrases, "FEW_BYTES", size)
+    rows = [(1, "red fox"), (1, "red fox"), (1, "red"), (None, "a fox"), (None, "fox fox"), (2, None), (3, ""), (4, "é fox")]
+    docs, wanted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("r", "red"), ("f", "fox"), ("g", "fox"), ("n", None)], "phrase_id string, phrase string")
+    found = phrases.matches(docs, wanted, few=few)
+    want = [(p, i) for p, w in (("r", "red"), ("f", "fox"), ("g", "fox")) for i, t in rows if t and w in t]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert ("mapInArrow" in plan(found) or "MapInArrow" in plan(found)) == (few > 0 and size > 3)
+
+
+def test_phrase_documents_counts_rows_and_cuts_no_text(spark, tmp_path):
+    docs = [(5, "The İstanbul paper"), (5, "the paper"), (None, "Paper then"), (7, None), (8, ""), (3, "\u212aelvin's other; papers" + " x" * 5000)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "the istanbul PAPER of kelvin"), (2, "\u212aelv İst absent"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    found = catalog.QUERIES["phrase_documents"](spark, str(tmp_path))
+    assert "xxhash64" not in found._jdf.queryExecution().optimizedPlan().toString()  # no text is cut into grams
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalog.ORACLE_SQL["phrase_documents"]).fetchall())
